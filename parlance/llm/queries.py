@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.llm import suffix_array_dedup
+from parlance.llm import suffix_array_dedup, suffix_tree_dedup
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
+    "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
