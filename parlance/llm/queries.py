@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from parlance.llm import suffix_array_dedup, suffix_tree_dedup
+from parlance.llm import source_mixing, suffix_array_dedup, suffix_tree_dedup
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
+    "op8_source_mixing": source_mixing.op8_source_mixing,
     "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_source_mixing": source_mixing.ORACLE_SQL,
+}
