@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from parlance.llm import source_mixing, suffix_array_dedup, suffix_tree_dedup
+from parlance.llm import jaccard_join, language_id, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
 }
