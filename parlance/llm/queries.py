@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from parlance.llm import jaccard_join, language_id, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity
+from parlance.llm import exact_topk, jaccard_join, language_id, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_source_mixing": source_mixing.op8_source_mixing,
+    "op9_exact_topk": exact_topk.op9_exact_topk,
     "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_source_mixing": source_mixing.ORACLE_SQL,
+    "op9_exact_topk": exact_topk.ORACLE_SQL,
 }
