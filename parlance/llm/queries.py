@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from parlance.llm import exact_topk, jaccard_join, language_id, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter
+from parlance.llm import decontamination, exact_topk, jaccard_join, language_id, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter, warc_revisit
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_suffix_array_dedup": suffix_array_dedup.op2_suffix_array_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op4_warc_revisit": warc_revisit.op4_warc_revisit,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_revisit": warc_revisit.ORACLE_SQL,
     "op8_source_mixing": source_mixing.ORACLE_SQL,
     "op9_exact_topk": exact_topk.ORACLE_SQL,
 }
