@@ -161,6 +161,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, block_chars:
     return found
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold an item within its edit budget."""
+    for block in _item_blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast([t for _, t in block]), q), docs.schema)
+    return docs
+
+
+def _without(shared, q: int):
+    def without(batches):
+        import pyarrow as pa
+
+        index = Index.build(shared.value, q)
+        for batch in batches:
+            yield batch.filter(pa.array([not (t and index.hits(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return without
+
+
 def _item_blocks(benchmark: DataFrame, block_chars: int):
     """Lists of (item_id, text), each bounded; only one is held at a time."""
     block, size = [], 0

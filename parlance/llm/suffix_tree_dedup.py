@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.llm import _common as c
 
@@ -37,11 +38,14 @@ COMBINE_BYTES = 48 << 20
 LAST = (1 << 63) - 1
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tree_windows: int = TREE_WINDOWS) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tree_windows: int = TREE_WINDOWS, carry: tuple[str, ...] = (), verbatim: bool = False
+) -> DataFrame:
     """Rows (doc_id, kept binary, n_words, removed array<struct<start, end>>), one a row of ``docs``.
 
     ``kept`` holds the kept words joined by one space, ``removed`` the maximal removed
-    runs as half-open spans of word numbers.
+    runs as half-open spans of word numbers.  With ``verbatim``, ``kept`` holds the text as
+    it is but for the removed runs.  Columns named in ``carry`` come along.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be positive and at most window")
@@ -58,10 +62,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, t
     least = longer.groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"))
     first = trees.filter("h1 IS NULL").select("row", "start", "end").unionByName(longer.join(least, ["h1", "h2", "first_doc"]).select("row", "start", "end"))
     first = first.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("first"))
-    whole = c.packed_texts(docs, "text", "doc_id").join(per_doc, "row", "left").join(first, "row", "left")
-    whole = whole.select("doc_id", "packed", "prefixes", F.col("first.start").alias("starts"), F.col("first.end").alias("ends"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kept binary, n_words long, removed array<struct<start: bigint, end: bigint>>"
-    return whole.mapInArrow(_cut(window, gram), schema)
+    whole = c.packed_texts(docs, "text", "doc_id", *carry).join(per_doc, "row", "left").join(first, "row", "left")
+    whole = whole.select("doc_id", *carry, "packed", "prefixes", F.col("first.start").alias("starts"), F.col("first.end").alias("ends"))
+    own = [T.StructField(x, docs.schema[x].dataType) for x in ("doc_id", *carry)]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    more = [T.StructField("kept", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(span))]
+    return whole.mapInArrow(_cut(window, gram, ("doc_id", *carry), verbatim), T.StructType([*own, *more]))
 
 
 def _window_prefixes(b: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +241,7 @@ def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     return order, np.where(differ.any(1), differ.argmax(1), depth)
 
 
-def _cut(window: int, gram: int):
+def _cut(window: int, gram: int, own: tuple[str, ...], verbatim: bool):
     def cut(batches):
         import pyarrow as pa
 
@@ -245,22 +251,28 @@ def _cut(window: int, gram: int):
             texts = c.unpacked(batch.column("packed"))
             parts = [c.list_rows(batch.column(x), np.int64) for x in ("prefixes", "starts", "ends")]
             for i, (b, prefixes, starts, ends) in enumerate(zip(texts, *parts)):
-                words = b.tobytes().split()
-                counts.append(len(words))
                 low, again = _undecided(b, prefixes.view(c.U64), window, gram)
                 again &= ~c.cover(len(low), starts, ends)
                 s, e = c.mask_runs(again)
                 s, e = c.runs_of(s, e + window - 1)
                 spans.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
-                left, at = [], 0
-                for x, y in zip(s.tolist(), e.tolist()):
-                    left += words[at:x]
-                    at = y
-                kept.append(b" ".join(left + words[at:] if at else words))
+                if verbatim:
+                    begin, end = c.word_spans(b)
+                    counts.append(len(begin))
+                    kept.append(b[~c.cover(len(b), begin[s], end[e - 1])].tobytes() if len(s) else b.tobytes())
+                else:
+                    words = b.tobytes().split()
+                    counts.append(len(words))
+                    left, at = [], 0
+                    for x, y in zip(s.tolist(), e.tolist()):
+                        left += words[at:x]
+                        at = y
+                    kept.append(b" ".join(left + words[at:] if at else words))
                 size += len(kept[-1])
                 if size > 4 << 20 or i + 1 == len(texts):
-                    cols = [batch.column("doc_id").slice(first, i + 1 - first), pa.array(kept, pa.binary()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span))]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "kept", "n_words", "removed"])
+                    part = slice(first, i + 1)
+                    cols = [*(batch.column(x)[part] for x in own), pa.array(kept, pa.binary()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span))]
+                    yield pa.RecordBatch.from_arrays(cols, [*own, "kept", "n_words", "removed"])
                     kept, counts, spans, size, first = [], [], [], 0, i + 1
 
     return cut

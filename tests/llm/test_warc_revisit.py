@@ -61,7 +61,7 @@ def test_empty_table(spark):
 
 
 def test_matches_sql(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     got = sorted(map(tuple, m.op4_warc_revisit(spark, sf).collect()))
