@@ -112,7 +112,8 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """A model from documents (doc_id, text) and labels (doc_id, toxic)."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    rows = c.packed_texts(docs.select("doc_id", "text"), "text", "doc_id").join(known, "doc_id")
+    # Labels grow with the corpus, so they are merged at every size, never broadcast.
+    rows = c.packed_texts(docs.select("doc_id", "text"), "text", "doc_id").join(known.hint("merge"), "doc_id")
     rows = c.stored(rows.select("row", "toxic", "packed"))
     buckets, n, totals = _counts(rows)
     weights = np.zeros(BUCKETS, np.float32)
