@@ -56,7 +56,7 @@ def repeated_passages(
     runs = c.packed_texts(keyed, "text", "first_doc").join(per_doc, "row").select("row", "first_doc", "packed", "prefixes")
     runs = runs.mapInArrow(_runs(window, gram), "prefix long, first_doc long, row long, at long, body binary")
     trees = c.stored(
-        runs.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window, tree_windows), "row long, start long, end long, h1 long, h2 long, first_doc long")
+        runs.repartition("prefix").sortWithinPartitions("prefix", "body", "first_doc").mapInArrow(_trees(window, tree_windows), "row long, start long, end long, h1 long, h2 long, first_doc long")
     )
     longer = trees.filter("h1 IS NOT NULL")
     least = longer.groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"))
@@ -149,7 +149,10 @@ def _runs(window: int, gram: int):
 
 
 def _trees(window: int, tree_windows: int):
-    """Rows of one prefix come together; yields runs of windows that start in no earlier document."""
+    """Rows of one prefix come together, equal runs side by side; yields runs of windows that start in no earlier document.
+
+    Of a prefix that is made longer, a task passes on only the windows that are first among those it has held at once.
+    """
 
     def trees(batches):
         import pyarrow as pa
@@ -166,30 +169,46 @@ def _trees(window: int, tree_windows: int):
                 yield from rows(*first_windows(group, window))
 
         def as_rows(group):
+            parts = []
             for doc, row, at, body in group:
                 h = c.word_hashes(np.frombuffer(body, np.uint8))
                 h1, h2 = c.rolling(c.prefix_sums(h), window), c.rolling(c.prefix_sums(c.mix(h)), window)
-                s = at + np.arange(len(h1))
-                yield from rows(np.full(len(s), row), s, s + 1, c.signed(h1), c.signed(h2), np.full(len(s), doc))
+                parts.append((h1, h2, np.full(len(h1), doc), np.full(len(h1), row), at + np.arange(len(h1))))
+            h1, h2, doc, row, s = map(np.concatenate, zip(*parts))
+            o = np.lexsort((doc, h2, h1))
+            h1, h2, doc, row, s = h1[o], h2[o], doc[o], row[o], s[o]
+            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            first = doc == doc[new][np.cumsum(new) - 1]
+            yield from rows(row[first], s[first], s[first] + 1, c.signed(h1[first]), c.signed(h2[first]), doc[first])
 
         done, size = [], 0
-        group, held, prefix, large = [], 0, None, False
+        group, held, prefix, large, last = [], 0, None, False, (None, None)
         for batch in batches:
             for k, doc, row, at, body in zip(*(batch.column(x).to_pylist() for x in ("prefix", "first_doc", "row", "at", "body"))):
                 if k != prefix:
-                    done += group
-                    size += held
-                    group, held, prefix, large = [], 0, k, False
+                    if large and group:
+                        yield from as_rows(group)
+                    elif not large:
+                        done += group
+                        size += held
+                    group, held, prefix, large, last = [], 0, k, False, (None, None)
                     if size > BATCH_WINDOWS:
                         yield from decided(done)
                         done, size = [], 0
-                group.append((doc, row, at, body))
-                held += body.count(b" ") + 2 - window
-                if large or held > tree_windows:
+                if body == last[0]:
+                    if doc > last[1]:
+                        continue  # equal runs that other tasks have sent; the first document's come first
+                else:
+                    last = body, doc
+                    held += body.count(b" ") + 2 - window
+                group.append((doc, row, at, last[0]))
+                if held > tree_windows:
                     large = True
                     yield from as_rows(group)
                     group, held = [], 0
-        yield from decided(done + group)
+        if large and group:
+            yield from as_rows(group)
+        yield from decided(done if large else done + group)
 
     return trees
 
