@@ -249,11 +249,24 @@ def packed_texts(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return df.mapInArrow(pack, T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
 
 
-def unpacked(col) -> list[np.ndarray]:
+def unpacker():
+    """What turns one packed text into its bytes."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor()
-    return [np.frombuffer(raw.decompress(b.tobytes()), np.uint8) if len(b) else b for b in binary_rows(col)]
+    return lambda b: np.frombuffer(raw.decompress(b.tobytes()), np.uint8) if len(b) else b
+
+
+def unpacked(col) -> list[np.ndarray]:
+    raw = unpacker()
+    return [raw(b) for b in binary_rows(col)]
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches of few rows each, so that what is derived from a batch of texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
