@@ -144,7 +144,8 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int, boundary: int, comm
         lost = most_lost(n, num, den)
         out = []
         if n and n <= boundary:
-            out.append(subsets(s, lost) if lost else s[:0])
+            # A set that may lose no member can still be contained in a larger one that may.
+            out.append(subsets(s, lost) if lost or n * den // num > n else s[:0])
         if n > math.ceil(boundary * ratio) - 1:
             late = c.is_in(s, common)
             out.append(np.concatenate([s[~late], s[late]])[: lost + 1])

@@ -69,6 +69,15 @@ def test_matches_brute_force(spark, how):
     assert got(m.similar_sets(df, **how)) == brute(rows, how.get("shingle", 3), how.get("num", 90))
 
 
+@pytest.mark.parametrize("k, num, n, boundary", [(3, 90, 9, 19), (3, 90, 9, 11), (5, 80, 4, 10), (5, 80, 4, 6)])
+def test_small_set_within_a_larger_one(spark, k, num, n, boundary):
+    words = [f"w{i}" for i in range(n + k)]
+    rows = [(1, " ".join(words[:-1]), 1, 1), (2, " ".join(words), 1, 1), (3, " ".join(words[:-2]), 1, 1), (4, "other words", 1, 1)]
+    found = got(m.similar_sets(spark.createDataFrame(rows, SCHEMA), shingle=k, num=num, boundary=boundary))
+    assert found == brute(rows, k, num)
+    assert dict((r[0], r[2]) for r in found)[2] == 1
+
+
 def test_empty_table(spark):
     assert m.similar_sets(spark.createDataFrame([], SCHEMA)).count() == 0
 
