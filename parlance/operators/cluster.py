@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EPSILON = np.finfo(np.float32).eps
 
@@ -97,12 +98,24 @@ class OnlineClusters:
 def online_speakers(vectors: DataFrame, session: str, seq: str, vector: str, config: OnlineConfig = OnlineConfig()) -> DataFrame:
     """(session, seq, slot): the speaker of each embedding when it arrived."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        clusters = OnlineClusters(config)
-        return pd.DataFrame({"session": pdf[session], "seq": pdf[seq], "slot": [clusters.assign(v) for v in pdf[vector]]})
+    def fold(batches):
+        import pyarrow as pa
+
+        clusters = at = None
+        for batch in batches:
+            keys, rows = (batch.column(i).to_pylist() for i in (0, 1))
+            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
+            slots = []
+            for i, key in enumerate(keys):
+                if clusters is None or key != at:
+                    clusters, at = OnlineClusters(config), key
+                v = values[ends[i] : ends[i + 1]]
+                slots.append(clusters.assign(v) if len(v) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(slots, pa.int32())], ["session", "seq", "slot"])
 
-    return vectors.select(session, seq, vector).groupBy(session).applyInPandas(fold, "session long, seq long, slot int")
+    # A session's rows come in order to one task, which holds only its clusters and a batch.
+    rows = vectors.select(session, seq, vector).repartition(session).sortWithinPartitions(session, F.col(seq).asc_nulls_last())
+    return rows.mapInArrow(fold, "session long, seq long, slot int")
 
 
 def refine(slots, vectors, threshold: float = 0.75, least: int = 2) -> list[tuple[int, int]]:
@@ -113,8 +126,12 @@ def refine(slots, vectors, threshold: float = 0.75, least: int = 2) -> list[tupl
     kept = sorted(s for s, v in groups.items() if len(v) >= least)
     mean = {s: np.mean(groups[s], axis=0) for s in kept}
     mean = {s: v / (np.linalg.norm(v) or 1.0) for s, v in mean.items()}
-    n = {s: len(groups[s]) for s in kept}
-    out = []
+    return merges({s: len(groups[s]) for s in kept}, mean, threshold)
+
+
+def merges(n: dict[int, int], mean: dict[int, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """The same by the counts and normalised means of the speakers that have enough vectors."""
+    n, mean, kept, out = dict(n), dict(mean), sorted(n), []
     while len(kept) > 1:
         s, a, b = max(((float(mean[a] @ mean[b]), -a, -b) for i, a in enumerate(kept) for b in kept[i + 1 :]))
         if s < threshold:
@@ -129,21 +146,29 @@ def refine(slots, vectors, threshold: float = 0.75, least: int = 2) -> list[tupl
     return out
 
 
-def survivors(merges: list[tuple[int, int]]) -> dict[int, int]:
+def survivors(merged: list[tuple[int, int]]) -> dict[int, int]:
     """Each absorbed speaker and the one it ends in."""
     out: dict[int, int] = {}
-    for gone, keep in merges:
+    for gone, keep in merged:
         out = {g: keep if k == gone else k for g, k in out.items()} | {gone: keep}
     return out
 
 
-def refined_speakers(assigned: DataFrame, session: str, slot: str, vector: str, threshold: float = 0.75) -> DataFrame:
+def refined_speakers(assigned: DataFrame, session: str, slot: str, vector: str, threshold: float = 0.75, least: int = 2) -> DataFrame:
     """``assigned`` with ``refined``, the speaker after merges."""
-    from pyspark.sql import types as T
+    # Counts and sums are combined place by place in Spark; only the means of a session's speakers go to one task.
+    places = assigned.filter(F.col(slot).isNotNull()).select(session, slot, F.posexplode(vector).alias("place", "x"))
+    places = places.groupBy(session, slot, "place").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("x"))
+    means = places.groupBy(session, slot).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "x"))).alias("sums"))
+    means = means.filter(F.col("n") >= least).select(F.col(session).alias("_session"), F.col(slot).alias("_slot"), "n", F.transform("sums", lambda p: p["x"] / F.col("n")).alias("mean"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = survivors(refine(pdf[slot], pdf[vector], threshold))
-        return pdf.assign(refined=pdf[slot].map(lambda s: found.get(s, s)).astype("int32"))
-
-    schema = T.StructType([*assigned.schema.fields, T.StructField("refined", T.IntegerType())])
-    return assigned.groupBy(session).applyInPandas(fold, schema)
+        slots = pdf["_slot"].tolist()
+        mean = {s: v / (np.linalg.norm(v) or 1.0) for s, v in zip(slots, pdf["mean"])}
+        found = survivors(merges(dict(zip(slots, pdf["n"].tolist())), mean, threshold))
+        return pd.DataFrame({"_session": pdf["_session"], "_slot": pdf["_slot"], "refined": [found.get(s, s) for s in slots]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in means.schema.fields}
+    found = means.groupBy("_session").applyInPandas(fold, f"_session {kinds['_session']}, _slot {kinds['_slot']}, refined int")
+    out = assigned.join(found, F.col(session).eqNullSafe(F.col("_session")) & (F.col(slot) == F.col("_slot")), "left")
+    return out.withColumn("refined", F.coalesce("refined", F.col(slot).cast("int"))).drop("_session", "_slot")

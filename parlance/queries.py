@@ -474,16 +474,19 @@ def _(spark, sf):
 
 # --- clustering, evaluation and automata: ordered folds, no SQL twin ---------------------------
 
+#: Vectors of a session, so that sessions grow in number and not in length.
+SESSION = 1000
+
 
 @query("st07_online_speakers")
 def _(spark, sf):
-    e = p.table(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("session"), F.col("vec_id").alias("seq"), "embedding")
+    e = p.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / SESSION).alias("session"), F.col("vec_id").alias("seq"), "embedding")
     return cluster.online_speakers(e, "session", "seq", "embedding")
 
 
 @query("st10_refined_speakers")
 def _(spark, sf):
-    e = p.table(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("session"), "vec_id", F.col("label").alias("slot"), "embedding")
+    e = p.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / SESSION).alias("session"), "vec_id", F.col("label").alias("slot"), "embedding")
     return cluster.refined_speakers(e, "session", "slot", "embedding").select("session", "vec_id", "slot", "refined")
 
 
