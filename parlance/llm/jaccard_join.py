@@ -15,9 +15,11 @@ but the ``common`` most frequent members come last, so that a line which a tenth
 all documents share is no list.  That list has a fixed bound; it changes cost only.
 
 Lists with the same members give the same pairs, so one of them stands for all.
-Members are compared by sketches: a bitmap in which each member of a set flips one
-bit.  Two sketches differ in at most as many bits as the sets in members, so a pair
-whose sketches differ in too many can't link.
+Long lists of a group of near copies have almost the same members: those with equal
+values of two min-hashes are merged, which keeps all their pairs and makes one list
+of dozens.  Members are compared by sketches: a bitmap in which each member of a set
+flips one bit.  Two sketches differ in at most as many bits as the sets in members, so
+a pair whose sketches differ in too many can't link.
 
 In the first round a list is dealt to blocks of about ``tile`` members, and a long
 one a second time by another hash.  A block yields a spanning forest of the pairs
@@ -26,8 +28,9 @@ block's forest join classes which it connects already, unless an edge of it fail
 So the second round takes the lists in which an edge failed, and long ones that lie
 in several components still, and verifies each pair between two components that
 isn't refuted yet.  There, only members outside a list's largest component visit
-all of its blocks.  No link is lost, and a group of near copies needs about as many
-rows and pairs as members.
+all of its blocks, which are larger (``wide`` members), since a block's comparisons cost
+less than the rows that visit it.  No link is lost.  A group whose members aren't
+linked still has all its pairs of sketches compared, within blocks.
 
 Null, empty and blank texts have the empty set, which links with nothing.  Texts of
 fewer words than n are one whole shingle.  Rows with a null doc_id get a component
@@ -51,7 +54,10 @@ SHINGLE, NUM, DEN = 3, 90, 100
 #: Members that come last in the global order, and how frequent they are at least.
 COMMON, COMMON_LEAST = 100_000, 40
 TILE = 256
+WIDE = 2048
 SKETCH_WORDS = 4
+#: Bits of a sketch for each member in which two linked sets of that size can differ.
+SKETCH_BITS = 4.5
 MAX_SUBSETS = 64
 #: Sets that a task which verifies pairs keeps at hand, in bytes.
 CACHE_BYTES = 1 << 24
@@ -75,10 +81,10 @@ def most_lost(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """A bitmap in which each member flips a bit; it's doubled until it has a bit for two members."""
-    size = 64 * SKETCH_WORDS
-    while 2 * size < len(s):
+def sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A bitmap in which each member flips a bit; it's doubled until it tells unlike sets of this size apart."""
+    size, differ = 64 * SKETCH_WORDS, 2 * len(s) * (den - num) / (den + num)
+    while size < SKETCH_BITS * differ:
         size *= 2
     bits = np.bincount((s & c.U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(c.U64)
@@ -152,7 +158,7 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int, boundary: int, comm
         return np.unique(np.concatenate(out)) if out else s[:0]
 
     def cols(pa, row, doc, sets):
-        return [row, pa.array([len(s) for s in sets], pa.int64()), _lists(pa, [keys(s) for s in sets]), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+        return [row, pa.array([len(s) for s in sets], pa.int64()), _lists(pa, [keys(s) for s in sets]), pa.array([sketch(s, num, den).tobytes() for s in sets], pa.binary())]
 
     return _each_set(docs, k, cols, "row long, n long, keys array<long>, sketch binary")
 
@@ -173,7 +179,7 @@ def boundary_by_cost(sizes: list[tuple[int, int, int]], num: int, den: int, most
     return best
 
 
-def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, tile: int = TILE, common: int = COMMON, boundary: int | None = None) -> DataFrame:
+def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, tile: int = TILE, wide: int = WIDE, common: int = COMMON, boundary: int | None = None) -> DataFrame:
     """Rows (row, doc_id, n_shingles, component_id), one a row of ``docs``."""
     if not 0 < num <= den or shingle < 1:
         raise ValueError("the threshold must be in (0, 1] and shingles have a word at least")
@@ -191,13 +197,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     # Only one row of each class goes on.
     speakers = classes.filter("n > 0").select("row", "node").groupBy("row").agg(F.min("node").alias("node"))
     signed = c.stored(_signatures(docs, shingle, num, den, boundary, late).filter(F.size("keys") > 0).dropDuplicates(["row"]).join(speakers, "row"))
-    postings = signed.select(F.explode("keys").alias("key"), "row")
-    # Two independent fingerprints of the members; of lists with the same ones, the least key stays.
-    same = ("length", "x", "y")
-    named = postings.groupBy("key").agg(F.count("*").alias("length"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
-    shared = named.filter("length > 1").groupBy(*same).agg(F.min("key").alias("key")).select("key", "length")
-    members = postings.join(shared, "key").join(signed.select("row", "node", "n", "sketch"), "row")
-    members = c.stored(members.select("key", "length", "node", "row", "n", "sketch"))
+    members = c.stored(_lists_of(signed, tile))
 
     pairs = c.stored(_forests(members, num, den, tile))
     edges = _verified(docs, pairs.drop("key").distinct(), shingle, num, den)
@@ -205,7 +205,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     bad = edges.filter("NOT linked").select("a", "b")
     again = pairs.join(bad, ["a", "b"]).select("key").unionByName(members.filter(F.col("length") > tile).select("key")).distinct()
     if again.limit(1).count():
-        more = _between_components(members.join(again, "key", "left_semi"), found, num, den, tile)
+        more = _between_components(members.join(again, "key", "left_semi"), found, num, den, wide)
         more = more.drop("key").distinct().join(bad, ["a", "b"], "left_anti")
         more = _verified(docs, more, shingle, num, den)
         found = components(edges.unionByName(more).filter("linked"))
@@ -217,6 +217,24 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     return out.join(named, "component").select("row", "doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
+def _lists_of(signed: DataFrame, tile: int) -> DataFrame:
+    """(key, length, node, row, n, sketch): the members of the lists that more than one set is in."""
+    postings = signed.select(F.explode("keys").alias("key"), "row")
+    # Two independent fingerprints of all members, and two min-hashes of them.
+    hashes = [F.xxhash64("row", F.lit(i)) for i in range(4)]
+    named = postings.groupBy("key").agg(
+        F.count("*").alias("length"), F.bit_xor(hashes[0]).alias("x"), F.bit_xor(hashes[1]).alias("y"), F.min(hashes[2]).alias("u"), F.min(hashes[3]).alias("v")
+    )
+    named = c.stored(named.filter("length > 1"))
+    short = named.filter(F.col("length") <= tile).groupBy("length", "x", "y").agg(F.min("key").alias("key")).select("key", "length")
+    short = postings.join(short, "key").select("key", "length", "row")
+    least = named.filter(F.col("length") > tile).groupBy("u", "v").agg(F.min("key").alias("least"), F.collect_list("key").alias("keys"))
+    long = postings.join(least.select(F.explode("keys").alias("key"), "least"), "key").select(F.col("least").alias("key"), "row").distinct()
+    long = c.stored(long)
+    long = long.join(long.groupBy("key").agg(F.count("*").alias("length")), "key").select("key", "length", "row")
+    return short.unionByName(long).join(signed.select("row", "node", "n", "sketch"), "row").select("key", "length", "node", "row", "n", "sketch")
+
+
 TILE_COLUMNS = ("key", "i", "j", "node", "row", "n", "sketch", "component", "side")
 PAIR_SCHEMA = "key long, a long, row_a long, b long, row_b long"
 #: How a row takes part in a tile: residents meet visitors; where all are peers, each meets each.

@@ -62,7 +62,7 @@ def got(df):
     return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
-@pytest.mark.parametrize("how", [{}, {"num": 80, "shingle": 2, "tile": 8, "common": 5}, {"boundary": 19, "tile": 4}, {"boundary": 0, "common": 0}])
+@pytest.mark.parametrize("how", [{}, {"num": 80, "shingle": 2, "tile": 8, "wide": 16, "common": 5}, {"boundary": 19, "tile": 4, "wide": 8}, {"boundary": 0, "common": 0}])
 def test_matches_brute_force(spark, how):
     rows = fixture()
     df = spark.createDataFrame(rows, SCHEMA)
