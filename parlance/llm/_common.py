@@ -8,6 +8,7 @@ two independent fingerprints.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,22 +33,53 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where no such folder is set, as in tests, one is made in the local temp folder.
+    Only where no such folder is set and Spark runs within one machine, as in tests,
+    one is made in the local temp folder; elsewhere executors couldn't see it.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='parlance-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or f"file://{tempfile.mkdtemp(prefix='parlance-')}"
+        _LOCAL[spark.sparkContext.applicationId] = top
     return f"{top.rstrip('/')}/parlance-{uuid.uuid4().hex}"
 
 
+#: Local folders by application, and tables written since they were last cleared.
+_LOCAL: dict[str, str | None] = {}
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, so that its lineage ends there."""
     path = work_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Deletes the tables that ``stored`` has written, from number ``since`` on; call it when results are written."""
+    gone = _WRITTEN[since : len(_WRITTEN) - but_last]
+    del _WRITTEN[since : len(_WRITTEN) - but_last]
+    for x in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    """How many tables ``stored`` has written that aren't deleted, as a mark for ``clear_stored``."""
+    return len(_WRITTEN)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet, in upper or lower case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text"):
     """A key for joins that also holds when a doc_id is null or appears twice with other text."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.length(text), F.col(text))

@@ -7,12 +7,16 @@ overlapping bands of diagonals; regions that meet the bound are kept and verifie
 a banded alignment of the item against the region, free at the region's two ends.
 The edit budget is ``EDITS`` of an item's characters.
 
-Texts are compared in lower case with runs of white space as one blank; spans are of
-that form.  Benchmark items go to the tasks in blocks of at most ``BLOCK_CHARS``
-characters, so what is broadcast is bounded and any number of items is searched.
-Items of fewer than ``LEAST_CHARS`` characters are too short to tell and are skipped,
-as are null and empty ones.  Null documents have no hit.  Repeated rows have the
-same hits each; a null doc_id or item_id stays null.  Other columns aren't read.
+Texts are compared in lower case with runs of white space as one blank; spans and
+lengths are of that form.  Benchmark items go to the tasks in blocks of at most
+``BLOCK_CHARS`` characters, so what is broadcast is bounded and any number of items is
+searched.  Where the bound would be 0 or less for ``Q`` (20 to 23 characters), shorter
+q-grams of ``SHORT_Q`` are counted.  An item of fewer than ``Q`` characters has no edit
+budget: it is searched whole, and counts where neither neighbour is a letter or digit.
+Null and blank items are skipped, null documents have no hit, and whole texts are searched
+however long: shared q-grams are expanded ``EXPAND`` at a time.  Repeated rows have the
+same hits each; of equally good places the first counts; a null doc_id or item_id stays
+null.  Columns other than those named aren't read.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from pyspark.sql import functions as F
 
 from parlance.llm import _common as c
 
-Q = 12
+Q, SHORT_Q = 12, 8
 EDITS = 0.05
-LEAST_CHARS = 40
+#: Shared q-grams of a document that are at hand at once while they're counted by item.
+EXPAND = 1 << 21
 BLOCK_CHARS = 2_000_000
 _FILTER_BITS = 22
 
@@ -50,59 +55,109 @@ def budget(m: int) -> int:
     return int(EDITS * m)
 
 
+def gram_length(m: int, q: int) -> int:
+    """The length of q-grams that an item of m characters is counted by; its own if it has no room for them."""
+    if m < q:
+        return m
+    return q if m - q + 1 - q * budget(m) > 0 else min(SHORT_Q, q)
+
+
 @dataclass
-class Index:
-    """The q-grams of a block of items, by fingerprint."""
+class Grams:
+    """The q-grams of some items, ordered by fingerprint."""
 
-    items: list[np.ndarray]
+    q: int
     names: np.ndarray
     of: np.ndarray
     at: np.ndarray
     seen: np.ndarray
-    q: int
 
     @classmethod
-    def build(cls, texts: list[str], q: int = Q) -> Index:
-        items = [normalised(t) for t in texts]
-        g = [grams(x, q) for x in items]
-        names = np.concatenate([*g, np.zeros(0, c.U64)])
-        of = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        at = np.concatenate([*(np.arange(len(x)) for x in g), np.zeros(0, np.int64)])
+    def build(cls, items: dict[int, np.ndarray], q: int) -> Grams:
+        g = {i: grams(x, q) for i, x in items.items()}
+        names = np.concatenate([*g.values(), np.zeros(0, c.U64)])
+        of = np.repeat(np.array(list(g), np.int64), [len(x) for x in g.values()])
+        at = np.concatenate([*(np.arange(len(x)) for x in g.values()), np.zeros(0, np.int64)])
         order = np.argsort(names, kind="stable")
         seen = np.zeros(1 << _FILTER_BITS, bool)
         seen[(names >> c.U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return cls(items, names[order], of[order], at[order].astype(np.int64), seen, q)
+        return cls(q, names[order], of[order], at[order].astype(np.int64), seen)
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the items that occur in the text within their budget."""
-        x = normalised(text)
+    def shared(self, x: np.ndarray):
+        """(item, place in the item, place in x) of shared q-grams, in parts of about ``EXPAND``."""
         g = grams(x, self.q)
         p = np.flatnonzero(self.seen[(g >> c.U64(64 - _FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(self.names, g[p]), np.searchsorted(self.names, g[p], side="right")
         p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        if not len(p):
-            return []
-        k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal, place = self.of[k], np.repeat(p, n) - self.at[k], np.repeat(p, n)
+        part = (np.cumsum(n) - n) // EXPAND
+        for s, t in zip(*c.stretches(part, np.ones(len(part), bool))):
+            q, low, many = p[s:t], lo[s:t], n[s:t]
+            k = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            yield self.of[k], self.at[k], np.repeat(q, many)
+
+
+@dataclass
+class Index:
+    """A block of items, by what each is searched by."""
+
+    items: list[np.ndarray]
+    counted: list[Grams]
+    whole: list[Grams]
+    need: np.ndarray
+
+    @classmethod
+    def build(cls, texts: list[str], q: int = Q) -> Index:
+        items = [normalised(t) for t in texts]
+        by: dict[int, dict[int, np.ndarray]] = {}
+        for i, x in enumerate(items):
+            if len(x):
+                by.setdefault(gram_length(len(x), q), {})[i] = x
+        long = {k: {i: x for i, x in part.items() if len(x) >= q} for k, part in by.items()}
+        short = {k: {i: x for i, x in part.items() if len(x) < q} for k, part in by.items()}
+        sizes = [(len(x), gram_length(len(x), q)) for x in items]
+        need = np.array([max(1, m - k + 1 - k * budget(m)) for m, k in sizes], np.int64)
+        return cls(items, [Grams.build(x, k) for k, x in long.items() if x], [Grams.build(x, k) for k, x in short.items() if x], need)
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the items that occur in the text within their budget."""
+        x = normalised(text)
+        out = [h for g in self.counted for h in self._counted(g, x)]
+        return sorted(out + [h for g in self.whole for h in self._whole(g, x)])
+
+    def _counted(self, g: Grams, x: np.ndarray):
+        counts = np.zeros(len(self.items), np.int64)
+        for item, _, _ in g.shared(x):
+            counts += np.bincount(item, minlength=len(counts))
+        enough = counts >= self.need
+        if not enough.any():
+            return
+        parts = []
+        for item, at, place in g.shared(x):
+            keep = enough[item]
+            parts.append((item[keep], place[keep] - at[keep]))
+        item, diagonal = map(np.concatenate, zip(*parts))
         order = np.lexsort((diagonal, item))
-        item, diagonal, place = item[order], diagonal[order], place[order]
-        edge = np.flatnonzero(np.diff(item)) + 1
-        out = []
-        for s, t in zip(np.concatenate([[0], edge]).tolist(), np.concatenate([edge, [len(item)]]).tolist()):
+        item, diagonal = item[order], diagonal[order]
+        for s, t in zip(*c.stretches(item, np.ones(len(item), bool))):
             i = int(item[s])
-            m = len(self.items[i])
-            e = budget(m)
-            need = max(1, m - self.q + 1 - self.q * e)
-            if t - s < need:
-                continue
+            e = budget(len(self.items[i]))
             best = None
-            for start, end in bands(diagonal[s:t], need, e):
+            for start, end in bands(diagonal[s:t], int(self.need[i]), e):
                 found = aligned(self.items[i], x, start, end, e)
                 if found and (best is None or found[2] < best[2]):
                     best = found
             if best:
-                out.append((i, *best))
-        return out
+                yield i, *best
+
+    def _whole(self, g: Grams, x: np.ndarray):
+        first: dict[int, int] = {}
+        for item, _, place in g.shared(x):
+            for i, p in zip(item.tolist(), place.tolist()):
+                end = p + g.q
+                if i not in first and (x[p:end] == self.items[i]).all() and not (p and chr(x[p - 1]).isalnum()) and not (end < len(x) and chr(x[end]).isalnum()):
+                    first[i] = p
+        for i, p in first.items():
+            yield i, p, p + g.q, 0
 
 
 def bands(diagonals: np.ndarray, need: int, e: int) -> list[tuple[int, int]]:
@@ -182,7 +237,7 @@ def _without(shared, q: int):
 def _item_blocks(benchmark: DataFrame, block_chars: int):
     """Lists of (item_id, text), each bounded; only one is held at a time."""
     block, size = [], 0
-    for r in benchmark.filter(F.length("text") >= LEAST_CHARS).select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+    for r in benchmark.filter(F.col("text").rlike("\\S")).select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         block.append((r.item_id, r.text))
         size += len(r.text)
         if size >= block_chars:

@@ -1,17 +1,25 @@
 """Exact top-k inner products over vectors sorted by length, with rotated partial sums.
 
-Queries and candidates are packed into blocks of rows; each pair of blocks is one
-Spark task, and the k best of each block are merged per query.  No side is broadcast,
-so both may grow.  Within a pair of blocks, candidates come by descending length.
-Vectors are rotated by the right singular vectors of the candidates (from their
-Gram matrix, summed over all partitions), which gathers what matters in the first
-components.  For a query q and a candidate v the Cauchy-Schwarz inequality bounds
-q.v by |q| |v|, and after the first h rotated components by their partial sum plus
-the lengths of what is left of both.  A candidate whose bound is below the query's
-k-th best score so far is pruned; the rest get their exact integer score.
-
-Vectors that are null, empty, or hold a null, NaN or infinite component take no part,
-and neither do rows with a null id.  Shorter vectors count as zero beyond their end.
+Candidates are dealt by descending length into packed blocks of rows, queries into blocks
+of their own; a pair of blocks is one row of work, and no side is broadcast, so both may grow.
+
+1. Each block of queries meets the block of the longest candidates.  The k-th best score
+   found there is the floor of each query, and stays one for the rest.
+2. A query q can find something in a block only if |q| times the block's longest vector
+   reaches q's floor (Cauchy-Schwarz).  Pairs of blocks in which no query can are never
+   made.  In the others, candidates come by descending length in strips.  Vectors are
+   rotated by the right singular vectors of the candidates (from their Gram matrix,
+   summed over all partitions), which gathers what matters in the first components:
+   after h of them, the partial sum plus the lengths of what is left of both bounds q.v.
+   A candidate whose bound is below the query's k-th best score so far is pruned; the
+   rest get their exact integer score.
+3. What reaches a query's floor is merged over the blocks.
+
+Vectors that are null or hold a null, NaN or infinite component take no part, and
+neither do rows with a null id.  Shorter vectors, empty ones too, count as zero beyond
+their end.  Scores are exact integers at any size: where lengths don't rule out that a
+sum passes 2**52, products are summed as whole numbers; a score beyond a long counts
+as the largest or smallest long.
 Ties go to the smaller id; rows with equal id are candidates of their own and rank
 side by side, but none is a candidate for the query of its own id.
 """
@@ -31,11 +39,14 @@ BLOCK = 8192
 STRIP = 1024
 PARTIAL = 16
 SCALE = 64
+#: What rounding may add to a bound, as a share; and below which product of lengths doubles add exactly.
+SLACK = 1e-6
+EXACT = float(1 << 52)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<double>) with v = floor(scale * x); rows that take no part are gone."""
-    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    fine = F.col("embedding").isNotNull()
     x = F.transform("embedding", lambda e: e.cast("double"))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return vectors.filter(F.col("vec_id").isNotNull() & fine & F.coalesce(finite, F.lit(False))).select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
@@ -68,7 +79,7 @@ def _gram(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, rows: int, width: int, order) -> DataFrame:
-    """(block, ids binary, m binary): packed rows, in blocks of about that many by the given order."""
+    """(block, ids binary, m binary, longest): packed rows, in blocks of about that many by the given order; block counts from 0."""
     n = vectors.count()
     parts = max(1, -(-n // rows))
     dealt = vectors.withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -78,79 +89,123 @@ def _blocks(vectors: DataFrame, rows: int, width: int, order) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, k, ids, ms = TaskContext.get().partitionId(), 0, [], []
+        part, k, held, ids, ms = TaskContext.get().partitionId(), 0, 0, [], []
 
         def out():
-            body = np.concatenate(ms).astype("<f8")
-            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + k], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([body.tobytes()], pa.binary())], ["block", "ids", "m"])
+            body = np.concatenate(ms)
+            longest = float(np.sqrt((body * body).sum(1)).max())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([body.astype("<f8").tobytes()], pa.binary()), pa.array([longest])],
+                ["part", "k", "ids", "m", "longest"],
+            )
 
         for batch in batches:
             for i in range(0, len(batch), rows):
                 ids.append(np.asarray(batch.column("vec_id")[i : i + rows]))
                 ms.append(_matrix(batch.column("v").slice(i, rows), width))
-                if sum(map(len, ids)) >= rows:
+                held += len(ids[-1])
+                if held >= rows:
                     yield out()
-                    k, ids, ms = k + 1, [], []
+                    k, held, ids, ms = k + 1, 0, [], []
         if ids:
             yield out()
 
-    return c.stored(dealt.select("vec_id", "v").mapInArrow(pack, "block long, ids binary, m binary"))
+    packed = c.stored(dealt.select("vec_id", "v").mapInArrow(pack, "part int, k int, ids binary, m binary, longest double"))
+    names = packed.select("part", "k").withColumn("block", F.row_number().over(Window.orderBy("part", "k")) - 1)
+    return packed.join(names, ["part", "k"]).drop("part", "k")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for (vec_id, v) tables of integer-valued vectors."""
-    schema = "query_id long, vec_id long, score long"
+    found = "query_id long, vec_id long, score long"
     wide = candidates.select(F.size("v").alias("n")).unionByName(queries.select(F.size("v").alias("n"))).agg(F.max("n")).first()[0]
-    if not wide:
+    if wide is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rotation = np.linalg.eigh(_gram(candidates, wide))[1][:, ::-1].copy()
+    wide = max(1, wide)
+    gram = _gram(candidates, wide)
+    rotation = np.linalg.eigh(gram)[1][:, ::-1].copy() if np.isfinite(gram).all() else np.eye(wide)
+    v = c.stored(_blocks(candidates, block, wide, [F.desc("len"), "vec_id"]))
     q = _blocks(queries, query_block, wide, ["vec_id"]).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    v = _blocks(candidates, block, wide, [F.desc("len"), "vec_id"])
-    # Each block of candidates goes to each block of queries: the numbers of the query blocks are its keys.
-    numbers = [r.q_block for r in q.select("q_block").collect()]
-    keys = F.array(*(F.lit(x).cast("long") for x in numbers)) if numbers else F.array().cast("array<bigint>")
-    pairs = v.withColumn("q_block", F.explode(keys)).join(q, "q_block")
-    pairs = pairs.repartition(max(1, len(numbers)) * max(1, v.count()), "q_block", "block")
+    shapes = (("q_ids", "<i8", -1), ("q_m", "<f8", (-1, wide)), ("ids", "<i8", -1), ("m", "<f8", (-1, wide)))
 
-    def search(batches):
+    def arrays(batch, names):
+        cols = [(batch.column(x).to_pylist(), t, s) for x, t, s in shapes if x in names]
+        for row in zip(*(x for x, _, _ in cols)):
+            yield tuple(np.frombuffer(x, t).reshape(s) for x, (_, t, s) in zip(row, cols))
+
+    def seed(batches):
+        """The k-th best score of each query in one block, and the least length that could still reach it."""
         import pyarrow as pa
 
         for batch in batches:
-            for q_ids, q_m, ids, m in zip(*(batch.column(x).to_pylist() for x in ("q_ids", "q_m", "ids", "m"))):
-                found = best_of(*(np.frombuffer(x, t).reshape(s) for x, t, s in ((q_ids, "<i8", -1), (q_m, "<f8", (-1, wide)), (ids, "<i8", -1), (m, "<f8", (-1, wide)))), k, rotation)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+            for i, (q_ids, qm, ids, m) in enumerate(arrays(batch, {"q_ids", "q_m", "ids", "m"})):
+                floor = floors(q_ids, qm, ids, m, k, rotation)
+                size = np.sqrt((qm * qm).sum(1))
+                reach = np.where(size > 0, (floor - SLACK * (1 + size)) / np.maximum(size, 1), np.where(floor > 0, np.inf, -np.inf))
+                yield pa.RecordBatch.from_arrays([batch.column("q_block").slice(i, 1), pa.array([floor.astype("<f8").tobytes()], pa.binary()), pa.array([float(reach.min()) if len(reach) else np.inf])], ["q_block", "floor", "reach"])
 
-    near = pairs.select("q_ids", "q_m", "ids", "m").mapInArrow(search, schema)
+    def search(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for floor, row in zip(batch.column("floor").to_pylist(), arrays(batch, {"q_ids", "q_m", "ids", "m"})):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*row, k, rotation, np.frombuffer(floor, "<f8"))], ["query_id", "vec_id", "score"])
+
+    longest = v.filter("block = 0").select("ids", "m")  # one row of at most ``block`` vectors
+    floor = c.stored(q.join(F.broadcast(longest), F.lit(True)).select("q_block", "q_ids", "q_m", "ids", "m").mapInArrow(seed, "q_block int, floor binary, reach double"))
+    # Each block of candidates meets those blocks of queries that it can reach.
+    meet = v.select("block", "longest").join(floor.select("q_block", "reach"), F.col("longest") * (1 + SLACK) >= F.col("reach")).select("q_block", "block")
+    pairs = meet.join(q, "q_block").join(floor.select("q_block", "floor"), "q_block").join(v.select("block", "ids", "m"), "block")
+    near = pairs.select("q_ids", "q_m", "ids", "m", "floor").mapInArrow(search, found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best in one block, ties to the smaller id."""
+def floors(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray) -> np.ndarray:
+    """The k-th best score of each query in a block, -inf where it has fewer."""
+    query, _, score = best_of(q_ids, q, ids, m, k, rotation, None, rows=True)
+    out = np.full(len(q), -np.inf)
+    n = np.bincount(query, minlength=len(q))
+    at = np.cumsum(n)
+    full = n >= k
+    out[full] = score[at[full] - 1]
+    return out
+
+
+def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray, floor: np.ndarray | None = None, rows: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best in one block that reach its floor, ties to the smaller id.
+
+    With ``rows``, queries are named by their place.
+    """
     length = np.sqrt((m * m).sum(1))
     order = np.lexsort((ids, -length))
     ids, m, length = ids[order], m[order], length[order]
+    q_length = np.sqrt((q * q).sum(1))
+    names = np.arange(len(q)) if rows else q_ids
+    if len(ids) and len(q) and not q_length.max() * length[0] < EXACT:
+        return _whole_numbers(q_ids, names, q, ids, m, k)
     h = min(PARTIAL, m.shape[1])
     rm, rq = m @ rotation, q @ rotation
     rest_m, rest_q = np.sqrt((rm[:, h:] ** 2).sum(1)), np.sqrt((rq[:, h:] ** 2).sum(1))
-    q_length = np.sqrt((q * q).sum(1))
-    slack = 1e-6 * (1 + q_length[:, None] * (length[0] if len(length) else 0))
+    slack = SLACK * (1 + q_length[:, None] * (length[0] if len(length) else 0))
+    least = np.full(len(q), -np.inf) if floor is None else floor
     top_s = np.full((len(q), 0), -np.inf)
     top_i = np.zeros((len(q), 0), np.int64)
     for i in range(0, len(ids), STRIP):
         s = slice(i, i + STRIP)
-        floor = top_s[:, k - 1] if top_s.shape[1] >= k else np.full(len(q), -np.inf)
-        live = np.flatnonzero(q_length * length[i] + slack[:, 0] >= floor)
+        now = np.maximum(least, top_s[:, k - 1]) if top_s.shape[1] >= k else least
+        live = np.flatnonzero(q_length * length[i] + slack[:, 0] >= now)
         if not len(live):
             break  # all that come later are shorter still
         bound = rq[live, :h] @ rm[s, :h].T + rest_q[live, None] * rest_m[None, s] + slack[live]
-        may = bound >= floor[live, None]
-        rows, cols = may.any(1), may.any(0)
-        if not rows.any():
+        may = bound >= now[live, None]
+        some, cols = may.any(1), may.any(0)
+        if not some.any():
             continue
-        live, may = live[rows], may[rows][:, cols]
+        live, may = live[some], may[some][:, cols]
         score = q[live] @ m[s][cols].T
-        score = np.where(may & (q_ids[live, None] != ids[s][cols][None]), score, -np.inf)
+        may &= (score >= least[live, None]) & (q_ids[live, None] != ids[s][cols][None])
+        score = np.where(may, score, -np.inf)
         both_s = np.concatenate([top_s[live], score], 1)
         both_i = np.concatenate([top_i[live], np.broadcast_to(ids[s][cols], score.shape)], 1)
         take = np.lexsort((both_i, -both_s))[:, :k] if both_s.shape[1] <= 2 * k else _best(both_s, both_i, k)
@@ -161,7 +216,18 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k:
             top_i = np.pad(top_i, ((0, 0), (0, grow)))
         top_s[live], top_i[live] = new_s, new_i
     fine = np.isfinite(top_s)
-    return np.repeat(q_ids, fine.sum(1)), top_i[fine], np.rint(top_s[fine]).astype(np.int64)
+    return np.repeat(names, fine.sum(1)), top_i[fine], np.rint(top_s[fine]).astype(np.int64)
+
+
+def _whole_numbers(q_ids: np.ndarray, names: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_of``, for components whose products a double can't hold."""
+    whole = [[int(x) for x in row] for row in m.tolist()]
+    out = []
+    for name, q_id, row in zip(names.tolist(), q_ids.tolist(), q.tolist()):
+        row = [int(x) for x in row]
+        scores = ((max(-(1 << 63), min(sum(a * b for a, b in zip(row, v)), (1 << 63) - 1)), i) for v, i in zip(whole, ids.tolist()) if i != q_id)
+        out += [(name, i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+    return tuple(np.array(x, np.int64) for x in (zip(*out) if out else ((), (), ())))
 
 
 def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -181,7 +247,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score

@@ -14,11 +14,15 @@ running sum of words comes nearest to what is left of the budget.
 The running sum within a source is taken in two steps, so that a source which holds
 a third of all rows is no single task: keys are cut into slices of about
 ``slice_rows`` documents, sums of slices give each slice its offset, and rows are
-summed within their slice.
+summed within their slice.  Slices are cut where the distribution of a source's keys,
+a mixture of exponentials by its quality weights, puts equal shares, so that they are even
+at any weights; weights that are close count as one there, which changes no result.
 
 Null texts have size 0 and are never taken in part; a null source is a source of its
-own.  Rows with equal doc_id share u and are ordered by size; identical rows
-are interchangeable.  Reruns give the same rows.
+own.  Rows with equal doc_id share u and are ordered by size, rows without a doc_id get u
+from their text; identical rows are interchangeable.  Texts of any length are counted
+whole.  Reruns give the same rows.  Targets take one row for each source to one task.  Columns
+named like the results are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -37,9 +41,9 @@ QUALITY = {1: 2.0, 0: 0.5, None: 1.0}
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) for each doc_id, from 52 bits of its MD5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("double")
+def uniform(name: Column) -> Column:
+    """A number in (0, 1) for each name, from 52 bits of its MD5."""
+    bits = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / float(1 << 52)
 
 
@@ -61,26 +65,32 @@ def with_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds size, source_size, target and taken to rows with (doc_id, source, size, quality_weight)."""
+    """Adds source_size, target and taken to rows with (doc_id, source, size, quality_weight), and u in (0, 1) or one by doc_id."""
+    if "u" not in docs.columns:
+        docs = docs.withColumn("u", uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    keep = [x for x in docs.columns if x not in ("source_size", "target", "taken", "u")]
+    row = F.struct(*(F.col(x) for x in keep)).alias("row")
+    docs = docs.select(row, "doc_id", "source", "size", (-F.log("u") / F.col("quality_weight")).alias("key"), F.round(F.log2("quality_weight") * 2).alias("heft"))
     docs = c.stored(docs)  # it's read three times, and sizes take a pass over all texts
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    parts = docs.groupBy("source", "heft").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"), F.collect_list(F.struct("heft", "docs")).alias("hefts"))
     targets = with_targets(sizes.select("source", "source_size"), weights, share, most)
-    per = targets.join(sizes.select("source", "docs"), targets["source"].eqNullSafe(sizes["source"])).select(
-        targets["source"].alias("of"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("docs") / slice_rows)).alias("slices")
+    per = targets.join(sizes.select("source", "docs", "hefts"), targets["source"].eqNullSafe(sizes["source"])).select(
+        targets["source"].alias("of"), "source_size", "target", "docs", "hefts", F.greatest(F.lit(1), F.ceil(F.col("docs") / slice_rows)).alias("slices")
     )
     df = docs.join(per, docs["source"].eqNullSafe(per["of"])).drop("of")
-    df = df.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("quality_weight"))
-    df = df.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")))
+    upto = F.aggregate("hefts", F.lit(0.0), lambda a, x: a + x["docs"] * (1 - F.exp(-F.col("key") * F.pow(F.lit(2.0), x["heft"] / 2)))) / F.col("docs")
+    df = df.withColumn("slice", F.floor(upto * F.col("slices"))).drop("hefts", "docs", "slices", "heft")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     df = df.withColumn("epochs", epochs.cast("long"))
     within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("upto", F.sum("size").over(within))
     slices = docs_slices(df)
-    df = df.join(slices, df["source"].eqNullSafe(slices["of"]) & (df["slice"] == slices["of_slice"])).drop("of", "of_slice")
+    df = df.join(slices, df["source"].eqNullSafe(slices["of"]) & (df["slice"] == slices["of_slice"]))
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     part = (F.col("offset") + F.col("upto") - F.col("size") / 2.0 <= budget) & (budget > 0)
     taken = F.col("size") * (F.col("epochs") + part.cast("long"))
-    return df.withColumn("taken", taken.cast("long")).drop("slices", "slice", "epochs", "upto", "offset", "key")
+    return df.select("row.*", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def docs_slices(df: DataFrame) -> DataFrame:
@@ -91,9 +101,10 @@ def docs_slices(df: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, labels: DataFrame | None, *keep: str) -> DataFrame:
-    """(doc_id, source, size, quality_weight, *keep) of documents; labels may lack or repeat a document."""
+    """(doc_id, source, size, quality_weight, u, *keep) of documents; labels may lack or repeat a document."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    df = docs.select("doc_id", "source", size.alias("size"), *keep)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("null"))
+    df = docs.select("doc_id", "source", size.alias("size"), uniform(name).alias("u"), *keep)
     if labels is None:
         return df.withColumn("quality_weight", F.lit(QUALITY[None]))
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))

@@ -4,21 +4,24 @@ Features are the byte n-grams of ``GRAM`` bytes that a text has, A-Z lower-cased
 other ASCII non-letters as blanks, hashed into ``BUCKETS`` buckets.  Three steps:
 
 1. Spark counts, over all labelled rows, in how many texts of either label each
-   bucket occurs.  Each task adds up its rows and sends its counts in ``PARTS``
-   parts, so what is shuffled and collected doesn't grow with the texts.
+   bucket occurs.  Each task adds up its rows, and sums by bucket are Spark's.
 2. The log-count ratio of a bucket scales its feature.  The ``FEATURES`` buckets whose
-   rates differ most surely between the labels are kept.
+   rates differ most surely between the labels, by a two-proportion z, are kept; Spark
+   picks them, so only those come to the driver.
 3. A logistic regression is fitted in numpy on at most ``SAMPLE_ROWS`` labelled rows,
-   each of them only its kept buckets.
+   each of them only its kept buckets.  They are drawn by document, so copies of one
+   text aren't drawn together.
 
 A document with several labels counts as toxic if one says so; labels that are null or
 for no known document teach nothing.  Null and empty texts have no feature: their score is
 that of the intercept.  Without rows of both labels all scores are the smoothed rate
-of toxic rows.  Columns named like the results are replaced.
+of toxic rows.  Texts of any length are read whole.  Repeated rows count as often as they
+occur and get the same score.  Columns named like the results are replaced, all others kept.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +32,6 @@ from parlance.llm import _common as c
 
 GRAM = 5
 BUCKETS = 1 << 20
-PARTS = 64
 FEATURES = 4096
 LEAST_TEXTS = 5
 SAMPLE_ROWS = 20_000
@@ -67,46 +69,30 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, and in how many texts of label 0 and of label 1 each occurs; and the texts of each label."""
-    width = BUCKETS // PARTS
+def _counts(rows: DataFrame) -> DataFrame:
+    """(bucket, n0, n1): in how many texts of label 0 and of label 1 a bucket occurs."""
 
     def count(batches):
         import pyarrow as pa
-        import zstandard
 
-        n, texts = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        n = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for y, b in zip(batch.column("toxic").to_pylist(), c.unpacked(batch.column("packed"))):
                 n[y, np.unique(gram_buckets(b))] += 1
-                texts[y] += 1
-        z = zstandard.ZstdCompressor(level=1)
-        parts = [z.compress(np.ascontiguousarray(n[:, i * width : (i + 1) * width]).tobytes()) for i in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, PARTS), pa.int32()), pa.array([z.compress(texts.tobytes()), *parts], pa.binary())], ["part", "counts"])
-
-    def add(key, group):
-        import pandas as pd
-        import zstandard
-
-        z, total = zstandard.ZstdDecompressor(), 0
-        for x in group["counts"]:
-            total = total + np.frombuffer(z.decompress(x), np.int64)
-        total = total.reshape(2, -1)
-        if key[0] < 0:
-            return pd.DataFrame({"bucket": [-1], "n0": total[0], "n1": total[1]})
-        # The buckets of a part that could be among the kept ones at all.
-        k = np.flatnonzero(total.sum(0) >= LEAST_TEXTS)
-        k = k[np.argsort(-np.abs(_z(total[:, k])), kind="stable")[:FEATURES]]
-        return pd.DataFrame({"bucket": key[0] * width + k, "n0": total[0, k], "n1": total[1, k]})
-
-    def _z(n):
-        rate = n.sum(1, keepdims=True) + 1.0
-        return np.log((n[1] + 1) / rate[1]) - np.log((n[0] + 1) / rate[0])
-
-    found = rows.mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "bucket long, n0 long, n1 long").collect()
-    a = np.array([tuple(r) for r in found if r.bucket >= 0], np.int64).reshape(-1, 3)
-    totals = next(((r.n0, r.n1) for r in found if r.bucket < 0), (0, 0))
-    return a[:, 0], a[:, 1:].T, np.array(totals, np.int64)
+        hit = np.flatnonzero(n.any(0))
+        for i in range(0, len(hit), 1 << 16):
+            k = hit[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[0, k]), pa.array(n[1, k])], ["bucket", "n0", "n1"])
+
+    return rows.mapInArrow(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _surest(counts: DataFrame, totals: tuple[int, int], features: int) -> list:
+    """The buckets whose rates differ most surely between the labels, in enough texts; ties to the smaller bucket."""
+    t0, t1 = float(totals[0]), float(totals[1])
+    pooled = (F.col("n0") + F.col("n1")) / (t0 + t1)
+    sure = F.abs(F.col("n1") / t1 - F.col("n0") / t0) / F.sqrt(pooled * (1 - pooled) * (1 / t0 + 1 / t1) + 1e-12)
+    return counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).orderBy(sure.desc(), "bucket").limit(features).collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -115,28 +101,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     # Labels grow with the corpus, so they are merged at every size, never broadcast.
     rows = c.packed_texts(docs.select("doc_id", "text"), "text", "doc_id").join(known.hint("merge"), "doc_id")
     rows = c.stored(rows.select("row", "toxic", "packed"))
-    buckets, n, totals = _counts(rows)
+    of = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    totals = (of.get(0, 0), of.get(1, 0))
     weights = np.zeros(BUCKETS, np.float32)
     prior = float(np.log((totals[1] + 1) / (totals[0] + 3)))
-    if not totals.all() or not len(buckets):
+    found = sorted((r.bucket, r.n0, r.n1) for r in _surest(_counts(rows), totals, FEATURES)) if all(totals) else []
+    if not found:
         return ToxicityModel(weights, prior)
-    ratio = np.log((n[1] + 1) / (totals[1] + 2)) - np.log((n[0] + 1) / (totals[0] + 2))
-    pooled = n.sum(0) / totals.sum()
-    sure = np.abs(n[1] / totals[1] - n[0] / totals[0]) / np.sqrt(pooled * (1 - pooled) * (1 / totals[0] + 1 / totals[1]) + 1e-12)
-    keep = np.sort(np.lexsort((buckets, -sure))[:FEATURES])
-    buckets, ratio = buckets[keep], ratio[keep].astype(np.float64)
+    buckets, n0, n1 = np.array(found, np.int64).T
+    ratio = np.log((n1 + 1) / (totals[1] + 2)) - np.log((n0 + 1) / (totals[0] + 2))
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
-    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(min(1.0, sample_rows / totals.sum()) * (1 << 20))
+    drawn = F.xxhash64("row")
+    draw = F.pmod(drawn, F.lit(1 << 20)) < math.ceil(min(1.0, sample_rows / sum(totals)) * (1 << 20))
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = [np.unique(p[p >= 0]) for p in (place[gram_buckets(b)] for b in c.unpacked(batch.column("packed")))]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x.astype("<i4").tobytes() for x in out], pa.binary())], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("drawn"), pa.array([x.astype("<i4").tobytes() for x in out], pa.binary())], ["toxic", "drawn", "features"])
 
-    sample = rows.filter(draw).mapInArrow(features, "toxic int, features binary").collect()
+    some = rows.filter(draw).select("toxic", "packed", drawn.alias("drawn")).mapInArrow(features, "toxic int, drawn long, features binary")
+    sample = some.orderBy("drawn", "features", "toxic").limit(sample_rows).collect()
     sample.sort(key=lambda r: (r.toxic, bytes(r.features)))
     w, intercept = logistic([np.frombuffer(r.features, "<i4") for r in sample], np.array([r.toxic for r in sample], np.float64), ratio, prior)
     weights[buckets] = w * ratio
@@ -167,18 +154,19 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with score and predicted."""
     docs = docs.drop("score", "predicted")
     keep = docs.columns
+    body = c.free_name(docs, "body")
 
     def score(batches):
         import pyarrow as pa
 
         for batch in batches:
-            s = [model.score(b) for b in c.binary_rows(batch.column("_body"))]
+            s = [model.score(b) for b in c.binary_rows(batch.column(body))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [*keep, "score", "predicted"])
 
     from pyspark.sql import types as T
 
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return docs.withColumn("_body", F.col("text").cast("binary")).mapInArrow(score, T.StructType([*docs.schema.fields, *more]))
+    return docs.withColumn(body, F.col("text").cast("binary")).mapInArrow(score, T.StructType([*docs.schema.fields, *more]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,26 +5,31 @@ starts with the rule's; the longest rule that fits wins.  Verdicts of rules are
 labels from which a tree of path templates is learnt for each host.  Going down the
 tree by one segment at a time:
 
-* a segment stays literal if it holds at least ``LEAST`` pages and ``SHARE`` of those
-  below its parent; all others are variable and become the wildcard ``*``;
-* literal branches that are statistically like the rest below their parent join the
-  wildcard: both have no label, or both have and their rates of blocked pages pass a
-  two-proportion z-test at ``Z``.
+* where the segments below a parent are at least ``LEAST`` and at least ``VARIED`` of its
+  distinct paths, they are variable: those of fewer than ``LEAST`` paths become the
+  wildcard ``*``;
+* of the others, those without any label are one branch, ``*0``;
+* those with labels are put in order of their rates of blocked pages; neighbours whose
+  rates a two-proportion z-test at ``Z`` doesn't tell apart are merged (``*1``, ``*2`` and
+  so on in that order), and a branch that merges with none stays literal (``=`` and the
+  segment).  Every branch is tested, however rare, so a few labelled pages never
+  decide for a section that has none.
 
 A template's purity is its rate of blocked among labelled pages, smoothed by
 ``SMOOTH`` of either kind; templates of a purity of ``REJECT`` or more are blocked, and
 all others allowed.
 
 Only distinct paths go through the tree, with their counts, so a host with a third of
-all pages is no hot group.  Each level is a grouped sum and a join; levels go on
-until every path has ended.  A null url, or one without ``://``, has empty host and
-path, like all others without them.  Repeated rows are judged alike; null page_ids
-stay.  Columns other than page_id and url aren't read.
+all pages is no hot group; rates are put in order by distinct pairs of counts.  Each level
+is a grouped sum and a join; levels go on until every path has ended, and what lies
+beyond ``DEPTH`` segments is one last segment.  A null url, or one without ``://``, has
+empty host and path, like all others without them.  Repeated rows are judged alike; null
+page_ids stay; urls may have any length.  Columns other than page_id and url aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import _common as c
@@ -36,7 +41,8 @@ RULES = (
     ("allow", "example.net/de/8"),
     ("block", "org/es/"),
 )
-LEAST, SHARE, Z = 5, 0.05, 1.96
+LEAST, VARIED, Z = 5, 0.5, 1.96
+DEPTH = 32
 SMOOTH, REJECT = 1.0, 0.8
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,9 +63,32 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, verdict
 
 
+def branches(rows: DataFrame) -> DataFrame:
+    """(host, template, segment, part): the branch that each segment below a parent takes."""
+    counts = [F.sum(x).alias(x) for x in ("blocked", "labelled")]
+    child = rows.groupBy("host", "template", "segment").agg(F.count("*").alias("paths"), *counts)
+    parent = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"))
+    variable = (F.col("kinds") >= LEAST) & (F.col("kinds") >= F.col("all_paths") * VARIED) & (F.col("paths") < LEAST)
+    child = c.stored(child.join(parent, ["host", "template"]).withColumn("variable", variable).drop("kinds", "all_paths", "paths"))
+    # Branches with the same counts can't be told apart, so a parent has one row for each pair of counts.
+    alike = child.filter("NOT variable AND labelled > 0").groupBy("host", "template", "blocked", "labelled").agg(F.count("*").alias("same"))
+    by_rate = Window.partitionBy("host", "template").orderBy(F.col("blocked") / F.col("labelled"), "blocked", "labelled")
+    b, m = F.col("blocked") * F.col("same"), F.col("labelled") * F.col("same")
+    b0, m0 = F.lag(b).over(by_rate), F.lag(m).over(by_rate)
+    pooled = (b + b0) / (m + m0)
+    z2 = (b / m - b0 / m0) ** 2 / F.nullif(pooled * (1 - pooled) * (1 / m + 1 / m0), F.lit(0.0))
+    told = F.when(m0.isNull() | (z2 >= Z * Z), 1).otherwise(0)
+    alike = alike.withColumn("told", told).withColumn("group", F.sum("told").over(by_rate))
+    alike = alike.withColumn("members", F.sum("same").over(Window.partitionBy("host", "template", "group"))).drop("told", "same")
+    child = child.join(alike, ["host", "template", "blocked", "labelled"], "left")
+    part = F.when(F.col("variable"), "*").when(F.col("labelled") == 0, "*0")
+    part = part.when(F.col("members") == 1, F.concat(F.lit("="), "segment")).otherwise(F.concat(F.lit("*"), "group"))
+    return child.select("host", "template", "segment", part.alias("part"))
+
+
 def path_templates(paths: DataFrame) -> DataFrame:
     """(host, path, template) for distinct (host, path) rows with counts n, blocked and labelled."""
-    rows = paths.withColumn("rest", F.split(F.regexp_replace("path", "^/", ""), "/", -1)).withColumn("template", F.lit(""))
+    rows = paths.withColumn("rest", F.split(F.regexp_replace("path", "^/", ""), "/", DEPTH)).withColumn("template", F.lit(""))
     ended = []
     while True:
         rows = c.stored(rows)
@@ -67,16 +96,7 @@ def path_templates(paths: DataFrame) -> DataFrame:
         rows = rows.filter(F.size("rest") > 0).withColumn("segment", F.element_at("rest", 1))
         if not rows.limit(1).count():
             break
-        child = rows.groupBy("host", "template", "segment").agg(*(F.sum(x).alias(x) for x in ("n", "blocked", "labelled")))
-        parent = child.groupBy("host", "template").agg(*(F.sum(x).alias(f"all_{x}") for x in ("n", "blocked", "labelled")))
-        child = child.join(parent, ["host", "template"])
-        frequent = (F.col("n") >= LEAST) & (F.col("n") >= F.col("all_n") * SHARE)
-        b, m = F.col("blocked"), F.col("labelled")
-        rest_b, rest_m, pooled = F.col("all_blocked") - b, F.col("all_labelled") - m, F.col("all_blocked") / F.nullif(F.col("all_labelled"), F.lit(0))
-        z2 = (b / F.nullif(m, F.lit(0)) - rest_b / F.nullif(rest_m, F.lit(0))) ** 2 / F.nullif(pooled * (1 - pooled) * (1 / F.nullif(m, F.lit(0)) + 1 / F.nullif(rest_m, F.lit(0))), F.lit(0.0))
-        unlike = ((m > 0) != (rest_m > 0)) | F.coalesce(z2 >= Z * Z, F.lit(False))
-        child = child.select("host", "template", "segment", F.when(frequent & unlike, F.col("segment")).otherwise("*").alias("part"))
-        rows = rows.join(child, ["host", "template", "segment"])
+        rows = rows.join(branches(rows), ["host", "template", "segment"])
         rows = rows.withColumn("template", F.concat_ws("/", "template", "part")).withColumn("rest", F.slice("rest", 2, F.size("rest"))).drop("segment", "part")
     out = ended[0]
     for more in ended[1:]:

@@ -15,8 +15,10 @@ between) and ``no_response``.
 The as-of join is cut by time: each url's captures are dealt to slices of about
 ``slice_rows`` records, the last response before each slice is carried over, and only
 within slices are rows put in order.  A url with a third of all records is so many
-slices.  A null url or time resolves to nothing; header names are lower-cased; null
-headers are none; other columns are left out.  Repeated rows are resolved alike.
+slices, even in time; a burst within one slice is one task's.  A null url or time
+resolves to nothing; header names are lower-cased; null headers are none; urls and headers
+may have any length; other columns are left out.  Repeated rows are resolved alike, and of
+responses that share a record_id but differ the greatest (time, tag, date, headers) counts.
 """
 
 from __future__ import annotations
@@ -77,8 +79,10 @@ def resolved(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """
     df = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "at", "revisit", "etag", "last_modified", lower_keys(F.col("headers")).alias("headers"))
     revisits = df.filter("revisit")
-    found = as_of(df.select("record_id", "url_key", "at", "revisit"), slice_rows).filter("response_id IS NOT NULL").groupBy("record_id", "url_key", "at").agg(F.first("response_id").alias("response_id"))
-    full = df.filter("NOT revisit").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), *(F.col(x).alias(f"full_{x}") for x in ("etag", "last_modified", "headers")))
+    found = as_of(df.select("record_id", "url_key", "at", "revisit"), slice_rows).filter("response_id IS NOT NULL").groupBy("record_id", "url_key", "at").agg(F.max("response_id").alias("response_id"))
+    entries = F.array_sort(F.map_entries("headers")).alias("entries")
+    full = df.filter("NOT revisit").groupBy(F.col("record_id").alias("response_id")).agg(F.max(F.struct("at", "etag", "last_modified", entries)).alias("full"))
+    full = full.select("response_id", F.col("full.etag").alias("full_etag"), F.col("full.last_modified").alias("full_last_modified"), F.map_from_entries("full.entries").alias("full_headers"))
     out = revisits.join(found, ["record_id", "url_key", "at"], "left").join(full, "response_id", "left")
     weak = lambda x: F.regexp_replace(x, "^W/", "")
     tags, dates = F.col("etag").isNotNull() & F.col("full_etag").isNotNull(), F.col("last_modified").isNotNull() & F.col("full_last_modified").isNotNull()

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -24,7 +25,11 @@ def brute(docs, items):
     for d, t in docs:
         for i, s in items:
             a = m.normalised(s or "")
-            if len(s or "") >= m.LEAST_CHARS and t:
+            if 0 < len(a) < m.Q and t:
+                plain = " ".join(t.lower().split())
+                if re.search(r"(?<![^\W_])" + re.escape(" ".join(s.lower().split())) + r"(?![^\W_])", plain):
+                    out.add((d, i, 0))
+            elif len(a) and t:
                 e = best_edits(a, m.normalised(t))
                 if e <= m.budget(len(a)):
                     out.add((d, i, e))
@@ -35,8 +40,8 @@ def fixture():
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghijklmnoé") for _ in range(r.randint(2, 7)))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(r.randint(12, 60))) for i in range(12)] + [(50, "too short"), (51, None), (52, ""), (None, text(30))]
-    docs = [(i, text(80)) for i in range(10)]
+    items = [(i, text(r.randint(12, 60))) for i in range(12)] + [(50, "too short"), (51, None), (52, " "), (53, text(30)[:21].strip() + "q"), (54, text(3)[:15].strip() + "q"), (55, text(5)[:26].strip() + "q"), (None, text(30))]
+    docs = [(i, text(80)) for i in range(10)] + [(20, (text(9) + " ") * 400)]
     for i, (_, t) in enumerate(items[:12]):
         for rate in (0, 0.02, 0.045, 0.06, 0.12):
             x = list(t)
@@ -45,6 +50,7 @@ def fixture():
                 r.choice([lambda: x.pop(at), lambda: x.insert(at, "z"), lambda: x.__setitem__(at, "q")])()
             docs.append((len(docs), r.choice(["", text(20) + "\n"]) + "".join(x).upper().replace(" ", r.choice([" ", "\n "])) + r.choice(["", " " + text(20)])))
     docs += [(900, None), (901, ""), (902, items[0][1]), (902, items[0][1]), (None, items[1][1] + " " + items[2][1]), (903, items[-1][1])]
+    docs += [(910, "it is Too  short, or"), (911, "too shorter"), (912, "xtoo short"), (913, f"a {items[15][1][:9]}y{items[15][1][10:]} b"), (914, f"{items[15][1]} {items[16][1]}"), (915, f"{items[17][1][:9]}{items[17][1][10:]} b")]
     return docs, items
 
 

@@ -17,7 +17,7 @@ def rows():
 
 
 def brute(rows, k):
-    v = [(r[0], np.floor(np.array(r[1], np.float32).astype(float) * 64)) for r in rows if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1])]
+    v = [(r[0], np.floor(np.array(r[1] + [0.0] * (12 - len(r[1])), np.float32).astype(float) * 64)) for r in rows if r[0] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])]
     out = []
     for q, x in v:
         if q % 20 == 0:
@@ -34,6 +34,27 @@ def test_matches_brute_force(spark, block, monkeypatch):
     assert got == brute(rows(), 20)
 
 
+def test_floors_leave_few_rows(spark):
+    """A block that can't reach a query's floor gives it no row, so blocks don't multiply the rows that are merged."""
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(40, 8)).round(2) * 10
+    x = np.floor(rng.normal(size=(800, 8)) * np.geomspace(100, 0.1, 800)[:, None] * 64)
+    rotation = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
+    floor = m.floors(np.arange(40) + 5000, np.floor(q), np.arange(100), x[:100], 5, rotation)
+    later = m.best_of(np.arange(40) + 5000, np.floor(q), np.arange(100, 800), x[100:], 5, rotation, floor)
+    want = sum(min(5, int(((np.floor(q)[i] @ x[100:].T) >= floor[i]).sum())) for i in range(40))
+    assert len(later[0]) == want < 40 * 5
+
+
+def test_large_components_are_exact(spark):
+    big = [(i, [float((i + 1) * 10**6), 1e15, -3.0 * i], 1, "") for i in range(50)] + [(100, [1e18, 1e18, 0.0], 1, "")]
+    v = m.integer_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>, label int, v string"))
+    got = sorted(map(tuple, m.top_k(v.filter("vec_id = 20"), v, 5).collect()))
+    whole = {i: [int(np.floor(64 * y)) for y in x] for i, x, _, _ in big}
+    top = sorted((-min(sum(a * b for a, b in zip(whole[20], x)), 2**63 - 1), i) for i, x in whole.items() if i != 20)[:5]
+    assert got == [(20, n + 1, i, -s) for n, (s, i) in enumerate(top)]
+
+
 def test_strips_prune(monkeypatch):
     monkeypatch.setattr(m, "STRIP", 8)
     rng = np.random.default_rng(2)

@@ -31,22 +31,41 @@ def brute(rows, rules=m.RULES):
     n = Counter((h, p) for _, h, p in pages)
     blocked = {k: c * (label[k][0] == "block") for k, c in n.items()}
     labelled = {k: c * (label[k][0] is not None) for k, c in n.items()}
-    template, open_ = {k: "" for k in n}, {k: (k[1][1:] if k[1].startswith("/") else k[1]).split("/") for k in n}
+    template, open_ = {k: "" for k in n}, {k: (k[1][1:] if k[1].startswith("/") else k[1]).split("/", m.DEPTH - 1) for k in n}
     while open_:
-        child, parent = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0, 0])
+        below = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
         for k, rest in open_.items():
-            for i, x in enumerate((n[k], blocked[k], labelled[k])):
-                child[k[0], template[k], rest[0]][i] += x
-                parent[k[0], template[k]][i] += x
-        old = dict(template)
+            for i, x in enumerate((1, blocked[k], labelled[k])):
+                below[k[0], template[k]][rest[0]][i] += x
+        part = {}
+        for parent, kids in below.items():
+            varied = len(kids) >= m.LEAST and len(kids) >= m.VARIED * sum(x[0] for x in kids.values())
+            rates = Counter()
+            for seg, (paths, b, l) in kids.items():
+                if varied and paths < m.LEAST:
+                    part[parent, seg] = "*"
+                elif not l:
+                    part[parent, seg] = "*0"
+                else:
+                    rates[b / l, b, l] += 1
+            group, last, groups = 0, None, {}
+            for rate, b, l in sorted(rates):
+                B, L = b * rates[rate, b, l], l * rates[rate, b, l]
+                if last is not None:
+                    pool = (B + last[0]) / (L + last[1])
+                    var = pool * (1 - pool) * (1 / L + 1 / last[1])
+                if last is None or (var and (B / L - last[0] / last[1]) ** 2 / var >= m.Z**2):
+                    group += 1
+                last, groups[b, l] = (B, L), group
+            size = Counter()
+            for (_, b, l), x in rates.items():
+                size[groups[b, l]] += x
+            for seg, (_, b, l) in kids.items():
+                if (parent, seg) not in part:
+                    g = groups[b, l]
+                    part[parent, seg] = f"={seg}" if size[g] == 1 else f"*{g}"
         for k, rest in open_.items():
-            c, b, l = child[k[0], old[k], rest[0]]
-            an, ab, al = parent[k[0], old[k]]
-            lit = c >= m.LEAST and c >= an * m.SHARE
-            if (l > 0) == (al - l > 0):
-                pool = ab / al if al else 0
-                lit = lit and 0 < pool < 1 and (b / l - (ab - b) / (al - l)) ** 2 / (pool * (1 - pool) * (1 / l + 1 / (al - l))) >= m.Z**2
-            template[k] = old[k] + "/" + (rest[0] if lit else "*")
+            template[k] += "/" + part[(k[0], template[k]), rest[0]]
         open_ = {k: rest[1:] for k, rest in open_.items() if len(rest) > 1}
     sums = defaultdict(lambda: [0, 0])
     for k in n:
@@ -75,6 +94,22 @@ def test_matches_brute_force(spark):
     assert got(m.judged(spark.createDataFrame(rows, SCHEMA), spam)) == brute(rows, spam)
 
 
+def test_clean_sections_of_small_hosts_stay(spark):
+    urls = [f"http://a.example.org/{x}/{i}" for x in ("es", "fr", "de", "*") for i in range(4)]
+    urls += ["http://deep.org/" + "x/" * 5000]
+    found = {r[2]: r for r in got(m.judged(spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], SCHEMA)))}
+    assert all((r[4] == "block") == path.startswith("/es/") for path, r in found.items())
+    assert found["/fr/1"][5] == found["/*/1"][5] != found["/es/1"][5]
+
+
+def test_similar_branches_merge(spark):
+    rules = tuple(("block", f"h.com/{x}/b") for x in "pq") + (("allow", "h.com/r/a"), ("allow", "h.com/p/a"), ("allow", "h.com/q/a"))
+    urls = [f"http://h.com/{x}/{y}{i}" for x in "pqr" for y in "ab" for i in range(30)]
+    found = {r[2]: r for r in got(m.judged(spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], SCHEMA), rules))}
+    assert found["/p/a1"][5].split("/")[1] == found["/q/a1"][5].split("/")[1] == "*2"
+    assert found["/r/a1"][5].split("/")[1] == "=r"
+
+
 def test_empty_table(spark):
     assert m.judged(spark.createDataFrame([], SCHEMA)).count() == 0
 
