@@ -1,6 +1,7 @@
 """A training-corpus pipeline over ``documents``: five stages, each on all that the one before kept.
 
-1. language ID: documents that the identifier rejects go;
+1. language ID: documents that the identifier rejects go (without a single labelled
+   document there is no identifier, and all stay);
 2. near duplicates: of each group of documents that link by five-word shingles at a
    Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays;
 3. repeated passages of 50 words stay in the first document that has them; a
@@ -9,7 +10,9 @@
 5. sources are mixed to their target weights: a document comes with the words that
    the mix takes of it, and as often as it's repeated.
 
-Rows with equal doc_id are told apart by their text.  A stage's result is written as
+Rows with equal doc_id are told apart by their text; of rows equal in both one stays.
+Null and letterless texts go in the first stage.  Columns other than those of
+``documents`` are dropped, so their names can't clash.  Texts are whole at any length.  A stage's result is written as
 Parquet and read again as the next one's documents.  SQL can't express stages 1 and
 3 to 5 with their models and fingerprints, so ``ORACLE_SQL`` is None and the tests hold
 ``run`` against brute force.
@@ -27,7 +30,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs.select("text", "lang"))
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     return language_id.identified(docs.select(*COLUMNS), model).filter(~F.col("rejected")).select(*COLUMNS)
 
 
@@ -75,5 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        made = c.written()
         docs = c.stored(stage(spark, docs, sf_dir))
+        c.clear_stored(spark, made, but_last=1)  # what the stage has written on its way
     return docs
