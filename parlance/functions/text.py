@@ -136,6 +136,7 @@ def html_escaped(text: Column) -> Column:
 
 
 def language_instruction(language: Column) -> Column:
+    """What a prompt says about the answer's language; its texts are fixed values."""
     code = F.lower(F.coalesce(language, F.lit("")))
     other = F.concat(F.lit("Always respond in the same language as the meeting transcript (ISO code: "), code, F.lit(")."))
     return F.when(code.isin("es", "es-mx", "es-es", "es-419"), "Responde SIEMPRE en español neutro.").when(code.isin("", "en", "en-us", "en-gb"), "Always respond in English.").otherwise(other)
@@ -149,6 +150,11 @@ def samples_of(ms: Column, rate: Column, channels: Column) -> Column:
     return F.floor(rate * ms / 1000) * channels
 
 
+def frames_of(samples: Column, channels: Column) -> Column:
+    """Frames of interleaved samples; none without channels."""
+    return F.when(channels > 0, F.floor(samples / channels)).otherwise(0).cast("long")
+
+
 def ms_of(samples: Column, rate: Column, channels: Column) -> Column:
     frames = F.when(channels > 0, F.floor(samples / channels)).otherwise(0)
     return F.when(rate > 0, F.floor(frames * 1000 / rate)).otherwise(0)

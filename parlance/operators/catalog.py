@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import speaker_name
+from parlance.functions.text import speaker_name, trimmed
 from parlance.operators.ordered import best_per_key
 
 
@@ -77,3 +77,16 @@ def timeline(segments: DataFrame, notes: DataFrame) -> DataFrame:
 
 def latest_summary(summaries: DataFrame) -> DataFrame:
     return best_per_key(summaries, ["meeting_id"], [F.desc("created_at"), F.desc("summary_id")])
+
+
+def question_status(asked: DataFrame, meetings: DataFrame, segments: DataFrame) -> DataFrame:
+    """(meeting_id, status) of questions (meeting_id, question): ok, or why it can't be answered."""
+    known = meetings.select("meeting_id", F.lit(True).alias("_known"))
+    said = segments.filter(trimmed(F.col("text")) != "").groupBy("meeting_id").agg(F.lit(True).alias("_said"))
+    status = (
+        F.when(trimmed(F.coalesce("question", F.lit(""))) == "", "empty_question")
+        .when(F.col("_known").isNull(), "not_found")
+        .when(F.col("_said").isNull(), "empty_transcript")
+        .otherwise("ok")
+    )
+    return asked.join(known, "meeting_id", "left").join(said, "meeting_id", "left").select("meeting_id", status.alias("status"))

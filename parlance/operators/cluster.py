@@ -41,7 +41,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 @dataclass
 class OnlineClusters:
-    """Slots count up and are never used again; a merged speaker answers by its survivor."""
+    """Slots count up and are never used again.
+
+    A vector gets the slot it was assigned to, even if that slot is merged into another at once; ``merged`` lists
+    (absorbed, survivor) in order, and ``survivors`` of it tells who answers for a slot in the end.
+    """
 
     config: OnlineConfig = field(default_factory=OnlineConfig)
     slots: list[int] = field(default_factory=list)
@@ -68,31 +72,28 @@ class OnlineClusters:
             self.next_slot += 1
             self.centroids.append(v)
             self.counts.append(1)
-        slot = self.slots[best]
-        slot = self._merge(slot)
-        self.last = slot
+        slot = self.last = self.slots[best]
+        self._merge_all()
         return slot
 
-    def _merge(self, slot: int) -> int:
-        while self.config.merge < 1.0:
-            best = None
-            for i in range(len(self.slots)):
-                for j in range(i + 1, len(self.slots)):
-                    s = similarity(self.centroids[i], self.centroids[j])
-                    if s >= self.config.merge and (best is None or s > best[0]):
-                        best = s, i, j
-            if best is None:
+    def _merge_all(self) -> None:
+        """Merges the two most similar speakers until none are similar enough; of equal counts the earlier one stays."""
+        while self.config.merge < 1.0 and len(self.slots) > 1:
+            n = len(self.slots)
+            near = np.full((n, n), -np.inf)
+            for i, j in zip(*np.triu_indices(n, 1)):
+                near[i, j] = similarity(self.centroids[i], self.centroids[j])
+            keep, gone = np.unravel_index(int(near.argmax()), near.shape)
+            if near[keep, gone] < self.config.merge:
                 break
-            _, i, j = best
-            keep, gone = (i, j) if self.counts[i] >= self.counts[j] else (j, i)
-            a, b = np.float32(self.counts[keep]), np.float32(self.counts[gone])
-            self.centroids[keep] = unit((self.centroids[keep] * a + self.centroids[gone] * b) / (a + b))
+            if self.counts[gone] > self.counts[keep]:
+                keep, gone = gone, keep
+            weights = np.float32(self.counts[keep]), np.float32(self.counts[gone])
+            self.centroids[keep] = unit((self.centroids[keep] * weights[0] + self.centroids[gone] * weights[1]) / sum(weights))
             self.counts[keep] += self.counts[gone]
             self.merged.append((self.slots[gone], self.slots[keep]))
-            slot = self.slots[keep] if slot == self.slots[gone] else slot
-            for x in (self.slots, self.centroids, self.counts):
-                del x[gone]
-        return slot
+            self.last = self.slots[keep] if self.last == self.slots[gone] else self.last
+            self.slots, self.centroids, self.counts = ([x for i, x in enumerate(xs) if i != gone] for xs in (self.slots, self.centroids, self.counts))
 
 
 def online_speakers(vectors: DataFrame, session: str, seq: str, vector: str, config: OnlineConfig = OnlineConfig()) -> DataFrame:

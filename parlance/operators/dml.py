@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.text import trimmed
 from parlance.operators.ordered import best_per_key
 
+# Limits of the templates that users write; lengths are in bytes.
+MOST_TEMPLATES, NAME_BYTES, PROMPT_BYTES = 50, 200, 10_000
+
 
 def append_new(base: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
     """Rows with new keys, the first of each; a key that's there already changes nothing."""
@@ -53,3 +57,20 @@ def without(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str = "meeting_id") -> dict[str, DataFrame]:
     """All tables without the rows of the deleted meetings."""
     return {name: without(df, gone, key) for name, df in tables.items()}
+
+
+def template_fault(name: Column, prompt: Column) -> Column:
+    """What is wrong with a template's words, or null."""
+    fault = F.lit(None).cast("string")
+    for what, x, most in (("prompt", prompt, PROMPT_BYTES), ("name", name, NAME_BYTES)):
+        t = trimmed(x)
+        fault = F.when(F.octet_length(t) > most, f"template {what} exceeds {most} characters").otherwise(fault)
+    for what, x in (("prompt", prompt), ("name", name)):
+        fault = F.when(F.coalesce(trimmed(x), F.lit("")) == "", f"template {what} cannot be empty").otherwise(fault)
+    return fault
+
+
+def checked_template(row: DataFrame) -> tuple[DataFrame, str | None]:
+    """A row (id, name, prompt) with trimmed words, and the first fault of any."""
+    faults = row.select(template_fault(F.col("name"), F.col("prompt")).alias("fault")).filter("fault IS NOT NULL").limit(1).collect()
+    return row.withColumns({"name": trimmed(F.col("name")), "prompt": trimmed(F.col("prompt"))}), faults[0].fault if faults else None

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BREAKDOWN = "reference_words int, hypothesis_words int, substitutions int, deletions int, insertions int"
@@ -12,23 +13,27 @@ BREAKDOWN = "reference_words int, hypothesis_words int, substitutions int, delet
 def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """(substitutions, deletions, insertions) of a least-cost alignment.
 
-    Of equal costs a match or substitution goes before a deletion, and that before an insertion.
+    Of equal costs a match or substitution goes before a deletion, and that before an insertion.  Rows of the cost
+    table are numpy arrays: insertions are a running minimum of cost minus place, whose last source counts.
     """
-    row = [(j, 0, 0, j) for j in range(len(hyp) + 1)]
-    for i, r in enumerate(ref, 1):
-        new = [(i, 0, i, 0)]
-        for j, h in enumerate(hyp, 1):
-            c, s, d, n = row[j - 1]
-            best = (c, s, d, n) if r == h else (c + 1, s + 1, d, n)
-            c, s, d, n = row[j]
-            if c + 1 < best[0]:
-                best = (c + 1, s, d + 1, n)
-            c, s, d, n = new[j - 1]
-            if c + 1 < best[0]:
-                best = (c + 1, s, d, n + 1)
-            new.append(best)
-        row = new
-    return row[-1][1:]
+    number: dict[str, int] = {}
+    r, h = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (ref, hyp))
+    at = np.arange(len(h) + 1)
+    cost, subs, dels, ins = at.copy(), np.zeros_like(at), np.zeros_like(at), at.copy()
+    for i, w in enumerate(r.tolist(), 1):
+        new = cost + 1
+        wrong = (h != w).astype(np.int64)
+        straight = cost[:-1] + wrong
+        take = straight <= new[1:]
+        new[1:] = np.where(take, straight, new[1:])
+        s, d, n = subs.copy(), dels + 1, ins.copy()
+        s[1:] = np.where(take, subs[:-1] + wrong, s[1:])
+        d[1:] = np.where(take, dels[:-1], d[1:])
+        n[1:] = np.where(take, ins[:-1], n[1:])
+        lead = new - at
+        source = np.maximum.accumulate(np.where(lead == np.minimum.accumulate(lead), at, 0))
+        cost, subs, dels, ins = new[source] + at - source, s[source], d[source], n[source] + at - source
+    return int(subs[-1]), int(dels[-1]), int(ins[-1])
 
 
 def error_counts(ref: Column, hyp: Column) -> Column:
@@ -54,19 +59,39 @@ def rolled_up(counts: DataFrame, *keys: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles sorted[round((n - 1) p)] without interpolation.
+    """Percentiles sorted[round((n - 1) p)] without interpolation, null values left out.
 
-    Rows are ranked within their key and only the wanted ranks are kept, so no key is
-    gathered in one array.
+    Equal values are counted first, so that what is put in order are a key's distinct values with their counts; the
+    percentile is the first value whose running count passes the rank.
     """
-    from pyspark.sql import Window
+    each = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_m"))
+    sizes = each.groupBy(*keys).agg(F.sum("_m").alias("_n")) if keys else each.agg(F.sum("_m").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("_upto", F.sum("_m").over(upto))
+    each = each.join(sizes, keys) if keys else each.join(F.broadcast(sizes), F.lit(True))  # one row
+    picks = (F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in shares.items())
+    return each.groupBy(*keys).agg(*picks)
 
-    n = df.filter(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    n = n.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
-    return n.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in shares.items()))
+
+def real_time_factors(clips: DataFrame) -> DataFrame:
+    """Adds rtf to (elapsed_seconds, audio_seconds); an empty clip counts as a millionth of a second."""
+    return clips.withColumn("rtf", F.col("elapsed_seconds") / F.greatest(F.col("audio_seconds"), F.lit(1e-6)))
+
+
+def report(clips: DataFrame) -> DataFrame:
+    """One row for a benchmark: weighted error rate, sums of the parts and of seconds, median and 95th percentile of speed.
+
+    ``clips`` has the breakdown of ``error_counts`` with audio_seconds and elapsed_seconds.
+    """
+    c = real_time_factors(clips)
+    seconds = c.agg(F.count("*").alias("clips"), F.coalesce(F.sum("audio_seconds"), F.lit(0.0)).alias("audio_seconds"), F.coalesce(F.sum("elapsed_seconds"), F.lit(0.0)).alias("elapsed_seconds"))
+    speed = nearest_rank(c, [], "rtf", {"rtf_p50": 0.5, "rtf_p95": 0.95})
+    speed = speed.select(*(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("rtf_p50", "rtf_p95")))
+    return rolled_up(c).join(seconds, F.lit(True)).join(speed, F.lit(True))  # one row each
 
 
 def passes(report: DataFrame, most: float = 0.25) -> bool:
+    """Whether the error rate of a report is at most the gate's."""
     if not 0 <= most <= 1:
         raise ValueError("the highest rate must be in [0, 1]")
     return report.first()["wer"] <= most

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from parlance.operators.ordered import edges
 
+#: Thresholds and lengths of runs of a neural detector's probabilities: (start, frames, end, frames).
+NEURAL = (0.35, 1, 0.20, 16)
 STATES = ("idle", "starting", "recording", "paused", "stopping", "persisted", "error", "fatal")
 #: (state, action) -> state; all other pairs leave the state.  ``fatal`` is an error that can't be retried.
 TRANSITIONS = {

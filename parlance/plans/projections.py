@@ -27,8 +27,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One conversation a row; every tenth is still being recorded."""
-    g = segments(spark, sf_dir).groupBy("meeting_id").agg(F.count("*").alias("segment_count"), F.max("end_ms").alias("duration_ms"))
+    """One conversation a row; every tenth is still being recorded.
+
+    Turns follow each other, so a conversation lasts as long as its turns together, which is one sum without an order.
+    """
+    lasts = F.coalesce(F.length("text"), F.lit(0)) * 10
+    t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("meeting_id"))
+    g = t.agg(F.count("*").alias("segment_count"), F.sum(lasts).cast("long").alias("duration_ms"))
     start = F.lit(1704067200000) + F.col("meeting_id") * 3600000
     return g.select(
         "meeting_id", F.concat(F.lit("Conversation "), F.col("meeting_id")).alias("title"), start.alias("started_ms"),
@@ -53,7 +58,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON payload by document; its source is the meeting and its language picks the template."""
     d = table(spark, sf_dir, "documents")
     template = F.when(F.col("lang") == "en", "general").when(F.col("lang") == "de", "lecture").otherwise("interview")
-    payload = F.to_json(F.struct(template.alias("template"), F.substring("text", 1, 40).alias("summary")))
+    payload = F.to_json(F.struct(template.alias("template"), F.col("text").alias("summary")))
     return d.select(F.col("doc_id").alias("summary_id"), F.col("source").alias("meeting_id"), template.alias("template"), F.col("doc_id").alias("created_at"), payload.alias("payload"))
 
 
@@ -84,7 +89,7 @@ SQL = {
   FROM events WHERE event_type = 'view')""",
     "summaries": """summaries AS (
   SELECT doc_id AS summary_id, source AS meeting_id, CASE lang WHEN 'en' THEN 'general' WHEN 'de' THEN 'lecture' ELSE 'interview' END AS template,
-         doc_id AS created_at, substr(text, 1, 40) AS summary
+         doc_id AS created_at, text AS summary
   FROM documents)""",
     "session_events": """session_events AS (
   SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
@@ -92,7 +97,10 @@ SQL = {
          round(value / 1000, 6) AS rms, floor(value * 10)::BIGINT AS duration_ms
   FROM events)""",
 }
-_NEEDS = {"meetings": ("segments",)}
+SQL["frames"] = """frames AS (
+  SELECT *, CASE WHEN paused THEN 0 ELSE 1 + event_id % 5 END AS n, seq = max(seq) OVER (PARTITION BY session_id) AND session_id % 3 <> 0 AS ended
+  FROM (SELECT *, coalesce(last_value(CASE WHEN type IN ('paused', 'resumed') THEN type = 'paused' END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq), false) AS paused FROM session_events))"""
+_NEEDS = {"meetings": ("segments",), "frames": ("session_events",)}
 
 
 def with_sql(body: str, *relations: str) -> str:

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import payload, render
 from parlance.functions import text as t
 from parlance.functions import vectors as v
 from parlance.operators import catalog, cluster, dml, evaluate, ordered, search, sessions
 from parlance.plans import projections as p
+from parlance.streaming import chunks, recorder, replies
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,15 +176,15 @@ def _(spark, sf):
     return catalog.latest_summary(p.summaries(spark, sf)).select("meeting_id", "summary_id", "template")
 
 
-@query("t15_payload_fields", "SELECT summary_id, template, summary FROM summaries", "summaries")
+@query("t15_payload_fields", "SELECT summary_id, template, md5(summary) AS summary FROM summaries", "summaries")
 def _(spark, sf):
     field = lambda x: F.get_json_object("payload", f"$.{x}").alias(x)
-    return p.summaries(spark, sf).select("summary_id", field("template"), field("summary"))
+    return p.summaries(spark, sf).select("summary_id", field("template"), F.md5(F.get_json_object("payload", "$.summary")).alias("summary"))
 
 
-@query("p10_chat_history", """SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 4 AND role <> 'system'""")
+@query("p10_chat_history", """SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 20 AND role <> 'system'""")
 def _(spark, sf):
-    return ordered.last_rows(p.table(spark, sf, "conversations"), ["conv_id"], ["turn"], 4).filter("role <> 'system'").select("conv_id", "turn", "role")
+    return ordered.last_rows(p.table(spark, sf, "conversations"), ["conv_id"], ["turn"], 20).filter("role <> 'system'").select("conv_id", "turn", "role")
 
 
 @query("j06_valid_citations", """WITH cited AS (SELECT conv_id AS meeting_id, turn, conv_id * 100000 + (turn * 7) % 9 AS seg_id FROM conversations)
@@ -344,13 +346,13 @@ def _in(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-@query("t06_punctuated", rf"""WITH a AS (SELECT doc_id, lang, regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g') AS x FROM documents),
+@query("t06_punctuated", rf"""WITH a AS (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents),
 b AS (SELECT *, regexp_split_to_array(lower(x), '\s+') AS w FROM a),
 c AS (SELECT *, x LIKE '¿%' OR CASE WHEN lang LIKE 'es%' THEN w[1] IN {_in(t.SPANISH_QUESTIONS)} OR (w[1] IN {_in(t.SPANISH_PREPOSITIONS)} AND w[2] IN {_in(t.SPANISH_AFTER)})
   ELSE w[1] IN {_in((*t.INTERROGATIVES, *t.AUXILIARIES))} END AS q FROM b)
-SELECT doc_id, CASE WHEN x = '' THEN '' ELSE upper(x[1]) || x[2:] || CASE WHEN x[-1] IN ('.', '!', '?', '…', ':', ';') THEN '' WHEN q THEN '?' ELSE '.' END END AS sentence FROM c""")
+SELECT doc_id, md5(CASE WHEN x = '' THEN '' ELSE upper(x[1]) || x[2:] || CASE WHEN x[-1] IN ('.', '!', '?', '…', ':', ';') THEN '' WHEN q THEN '?' ELSE '.' END END) AS sentence FROM c""")
 def _(spark, sf):
-    return p.table(spark, sf, "documents").select("doc_id", t.punctuated(F.substring("text", 1, 60), F.col("lang")).alias("sentence"))
+    return p.table(spark, sf, "documents").select("doc_id", F.md5(t.punctuated(F.col("text"), F.col("lang"))).alias("sentence"))
 
 
 @query("t08_hallucinations", rf"""WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '[' || text || ']' WHEN 1 THEN '¡Gracias por ver el vídeo!' WHEN 2 THEN ' BLANK_AUDIO. ' ELSE text END AS x FROM conversations),
@@ -446,16 +448,26 @@ def _(spark, sf):
     return e.join(other, "vec_id").select("vec_id", F.round(v.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query("v02_normalised", "SELECT vec_id, round(list_sum(list_transform(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))), lambda z: z * z)), 6) AS squared, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 6) AS first FROM embeddings")
+def _vector_digest(v) -> Column:
+    """A whole vector, in whole ten-thousandths."""
+    return F.md5(F.array_join(F.transform(v, lambda x: F.round(x * 10000).cast("long").cast("string")), ","))
+
+
+_DIGEST = "md5(array_to_string(list_transform({}, lambda x: round(x * 10000)::BIGINT::VARCHAR), ','))"
+
+
+@query("v02_normalised", f"""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS size FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(e, lambda x: (x / size) * (x / size))), 6) AS squared, {_DIGEST.format("list_transform(e, lambda y: y / size)")} AS unit FROM n""")
 def _(spark, sf):
     u = v.normalised(F.col("embedding"))
-    return p.table(spark, sf, "embeddings").select("vec_id", F.round(v.dot(u, u), 6).alias("squared"), F.round(F.get(u, F.lit(0)), 6).alias("first"))
+    return p.table(spark, sf, "embeddings").select("vec_id", F.round(v.dot(u, u), 6).alias("squared"), _vector_digest(u).alias("unit"))
 
 
-@query("a12_centroids", """WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x, count(*) AS n FROM embeddings, range(1, 65) r(i) GROUP BY ALL HAVING count(*) >= 2)
-SELECT label, max(n) AS n, round(first(x ORDER BY i) / sqrt(sum(x * x)), 6) AS first, round(last(x ORDER BY i) / sqrt(sum(x * x)), 6) AS last FROM m GROUP BY label""")
+@query("a12_centroids", f"""WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x, count(*) AS n FROM embeddings, range(1, 65) r(i) GROUP BY ALL HAVING count(*) >= 2),
+c AS (SELECT label, max(n) AS n, list(x ORDER BY i) AS c, sqrt(sum(x * x)) AS size FROM m GROUP BY label)
+SELECT label, n, {_DIGEST.format("list_transform(c, lambda y: y / size)")} AS centroid FROM c""")
 def _(spark, sf):
-    return v.centroids(p.table(spark, sf, "embeddings"), ["label"], "embedding").select("label", "n", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.element_at("centroid", -1), 6).alias("last"))
+    return v.centroids(p.table(spark, sf, "embeddings"), ["label"], "embedding").select("label", "n", _vector_digest("centroid").alias("centroid"))
 
 
 @query("a13_best_centroid", """WITH m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY label),
@@ -466,10 +478,31 @@ def _(spark, sf):
     return v.best_match(e, v.centroids(e, ["label"], "embedding", 1), "embedding", "centroid", "label").select("vec_id", "best", "sim")
 
 
-@query("v05_downmix", "SELECT vec_id, round((embedding[1]::DOUBLE + embedding[2]) / 2, 6) AS first, len(embedding) // 2 AS frames FROM embeddings")
+@query("v05_downmix", f"SELECT vec_id, {_DIGEST.format('list_transform(range(1, len(embedding) // 2 + 1), lambda i: (embedding[2 * i - 1]::DOUBLE + embedding[2 * i]) / 2)')} AS mono, len(embedding) // 2 AS frames FROM embeddings")
 def _(spark, sf):
     m = v.mono(F.col("embedding"), 2)
-    return p.table(spark, sf, "embeddings").select("vec_id", F.round(F.get(m, F.lit(0)), 6).alias("first"), F.size(m).cast("long").alias("frames"))
+    return p.table(spark, sf, "embeddings").select("vec_id", _vector_digest(m).alias("mono"), F.size(m).cast("long").alias("frames"))
+
+
+@query("v07_fixed_windows", f"""SELECT vec_id, {_DIGEST.format("embedding[13:52]::DOUBLE[]")} AS cropped, {_DIGEST.format("list_concat(embedding::DOUBLE[], list_transform(range(36), lambda x: 0::DOUBLE))")} AS padded FROM embeddings""")
+def _(spark, sf):
+    e = v.doubles(F.col("embedding"))
+    return p.table(spark, sf, "embeddings").select("vec_id", _vector_digest(v.fixed_window(e, 40)).alias("cropped"), _vector_digest(v.fixed_window(e, 100)).alias("padded"))
+
+
+@query("v03_merged_centroids", f"""WITH p AS (SELECT a.vec_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] * 3 + z[2]) / 4) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+n AS (SELECT vec_id, m, sqrt(list_sum(list_transform(m, lambda y: y * y))) AS size FROM p)
+SELECT vec_id, {_DIGEST.format("list_transform(m, lambda y: y / size)")} AS merged FROM n""")
+def _(spark, sf):
+    e = p.table(spark, sf, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", _vector_digest(v.weighted_mean(F.col("embedding"), F.lit(3), F.col("other"), F.lit(1))).alias("merged"))
+
+
+@query("s06_pcm_samples", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: trunc(greatest(least(x::DOUBLE * 4, 1), -1) * 32767)::BIGINT::VARCHAR), ',') AS pcm FROM embeddings")
+def _(spark, sf):
+    loud = F.transform(v.doubles(F.col("embedding")), lambda x: x * 4)
+    return p.table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(v.pcm16(loud), lambda x: x.cast("string")), ",").alias("pcm"))
 
 
 # --- clustering, evaluation and automata: ordered folds, no SQL twin ---------------------------
@@ -529,4 +562,314 @@ def _(spark, sf):
 
 @query("ev1_wer_report")
 def _(spark, sf):
-    return evaluate.rolled_up(_wer_pairs(spark, sf))
+    """Each pair as a clip; a word lasts a third of a second, and an error takes a tenth more to hear."""
+    words = F.col("reference_words")
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    clips = _wer_pairs(spark, sf).withColumn("audio_seconds", words / 3.0).withColumn("elapsed_seconds", words / 30.0 + errors / 10.0)
+    return evaluate.report(clips)
+
+
+# --- answers of models, documents ---------------------------------------------------------------
+
+
+def _answers(spark, sf):
+    """Documents as answers of a model: prose, a fenced JSON object with items of all types, and another one after it."""
+    text = F.coalesce("text", F.lit(""))
+    whole = F.to_json(F.struct(text.alias("t")))
+    quoted = F.substring(whole, F.lit(6), F.length(whole) - 6)
+    raw = F.concat(
+        F.lit('Sure!\n```json\n{"keyPoints": ["a", 3, null, {"b": 1}, "'), "lang", F.lit('"], "actionItems": [{"task": "call", "owner": "'), "source", F.lit('"}, {"owner": "x"}, {"task": 5}, "y"], "more": {"deep": '),
+        quoted, F.lit("}"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit(', "summary": '), quoted)).otherwise(""), F.when(F.col("doc_id") % 7 != 0, '}\n``` {"summary": "no"}').otherwise(""),
+    )
+    template = F.when(F.col("lang") == "en", "general").when(F.col("lang") == "de", "lecture").otherwise("other")
+    return p.table(spark, sf, "documents").select("doc_id", template.alias("template"), raw.alias("raw"), quoted.alias("quoted"))
+
+
+_ANSWERS = """WITH a AS (SELECT doc_id, lang, source, text, CASE lang WHEN 'en' THEN 'general' WHEN 'de' THEN 'lecture' ELSE 'other' END AS template,
+  CASE WHEN doc_id % 7 = 0 THEN 'no JSON object found in response' WHEN doc_id % 5 = 0 THEN 'missing required field `summary`' WHEN lang NOT IN ('en', 'de') THEN 'unknown template: other' END AS error FROM documents)
+"""
+
+
+@query("t13_first_objects", """SELECT doc_id, doc_id % 7 <> 0 AS found, CASE WHEN doc_id % 7 <> 0 THEN length(lang) + length(source) END AS names FROM documents""")
+def _(spark, sf):
+    a = _answers(spark, sf)
+    block = payload.first_object(F.col("raw"))
+    # What is around the quoted text has a fixed length but for two names.
+    rest = F.length(block) - F.length("quoted") * F.when(F.col("doc_id") % 5 != 0, 2).otherwise(1) - F.when(F.col("doc_id") % 5 != 0, 13).otherwise(0)
+    fixed = len('{"keyPoints": ["a", 3, null, {"b": 1}, ""], "actionItems": [{"task": "call", "owner": ""}, {"owner": "x"}, {"task": 5}, "y"], "more": {"deep": }}')
+    return a.select("doc_id", block.isNotNull().alias("found"), (rest - fixed).cast("long").alias("names"))
+
+
+@query("t14_typed_payloads", _ANSWERS + """SELECT doc_id, error, CASE WHEN error IS NULL THEN md5(text) END AS summary, CASE WHEN error IS NULL AND template = 'general' THEN 'a,' || lang END AS points,
+  CASE WHEN error IS NULL AND template = 'general' THEN 'call/' || source END AS tasks, CASE WHEN error IS NULL AND template = 'lecture' THEN 0::BIGINT END AS definitions FROM a""")
+def _(spark, sf):
+    df = _answers(spark, sf).select("doc_id", payload.parsed(F.col("template"), F.col("raw")).alias("p")).select("doc_id", "p.error", "p.payload.*")
+    tasks = F.array_join(F.transform("actionItems", lambda x: F.concat_ws("/", x["task"], x["owner"])), ",")
+    count = F.when(F.col("definitions").isNotNull(), F.size("definitions").cast("long"))
+    return df.select("doc_id", "error", F.md5("summary").alias("summary"), F.array_join("keyPoints", ",").alias("points"), tasks.alias("tasks"), count.alias("definitions"))
+
+
+def _named(spark, sf):
+    s = catalog.labelled_segments(p.segments(spark, sf), p.speakers(spark, sf))
+    return s.withColumn("speaker", F.when(F.col("turn") % 5 != 3, F.col("speaker")))  # some turns have no speaker
+
+
+_NAMED = r"""WITH named AS (
+  SELECT s.*, regexp_replace(s.text, '^\s+|\s+$', '', 'g') AS x, CASE WHEN s.turn % 5 <> 3 THEN coalesce(p.label, 'Speaker ' || (p.slot + 1)) END AS speaker
+  FROM segments s LEFT JOIN speakers p ON s.meeting_id = p.meeting_id AND s.role = p.role)
+"""
+
+
+@query("t18_transcripts", _NAMED + """SELECT meeting_id, md5(string_agg(coalesce(speaker, 'Speaker') || ': ' || x, chr(10) ORDER BY start_ms, seg_id)) AS plain,
+  md5(string_agg('[seg:' || seg_id || '] (' || (start_ms // 60000) || ':' || lpad(((start_ms // 1000) % 60)::VARCHAR, 2, '0') || ') ' || coalesce(speaker, 'Speaker') || ': ' || x, chr(10) ORDER BY start_ms, seg_id)) AS cited
+FROM named WHERE x <> '' GROUP BY meeting_id""", "segments", "speakers")
+def _(spark, sf):
+    s = _named(spark, sf).filter(t.trimmed(F.col("text")) != "")
+    plain = render.block(s, "meeting_id", ["start_ms", "seg_id"], render.transcript_line(F.col("text"), F.col("speaker")), "plain")
+    cited = render.block(s, "meeting_id", ["start_ms", "seg_id"], render.cited_line(F.col("seg_id"), F.col("start_ms"), F.col("text"), F.col("speaker")), "cited")
+    return plain.join(cited, "meeting_id").select("meeting_id", F.md5("plain").alias("plain"), F.md5("cited").alias("cited"))
+
+
+def _digests(spark, sf):
+    """One summary a meeting, of three templates in turn."""
+    template = F.element_at(F.array(F.lit("general"), F.lit("interview"), F.lit("custom")), (F.col("meeting_id") % 3 + 1).cast("int"))
+    raw = F.lit('{"summary": "It went well.", "keyPoints": ["one", "two"], "actionItems": [{"task": "call", "owner": "Ana", "due": "May"}, {"task": "write"}], "quotes": [{"speaker": "Bo", "quote": "Yes", "context": "end"}, {"speaker": "Cy", "quote": "No"}], "themes": ["**bold**"]}')
+    return p.meetings(spark, sf).filter("meeting_id % 4 <> 0").select("meeting_id", template.alias("template"), payload.parsed(F.when(template == "custom", "general").otherwise(template), raw)["payload"].alias("payload"))
+
+
+_EXPORT = _NAMED.rstrip() + r""",
+m AS (SELECT *, CASE WHEN duration_ms // 1000 < 60 THEN (duration_ms // 1000) || 's' ELSE (duration_ms // 60000) || 'm ' || lpad(((duration_ms // 1000) % 60)::VARCHAR, 2, '0') || 's' END AS dur,
+  CASE WHEN meeting_id % 4 = 0 THEN NULL WHEN meeting_id % 3 = 0 THEN '{general}' WHEN meeting_id % 3 = 1 THEN '{interview}' ELSE '' END AS digest FROM meetings),
+said AS (SELECT meeting_id, string_agg({line}, '' ORDER BY start_ms, seg_id) AS said FROM (SELECT *, '[' || lpad((start_ms // 60000)::VARCHAR, 2, '0') || ':' || lpad(((start_ms // 1000) % 60)::VARCHAR, 2, '0') || ']' AS ts FROM named WHERE x <> '') GROUP BY meeting_id),
+people AS (SELECT meeting_id, string_agg(coalesce(label, 'Speaker ' || (slot + 1)), ', ' ORDER BY slot) AS people FROM speakers GROUP BY meeting_id),
+noted AS (SELECT meeting_id, string_agg({note}, '' ORDER BY timestamp_ms, note_id) AS noted FROM (SELECT *, '[' || CASE WHEN timestamp_ms // 60000 < 10 THEN '0' ELSE '' END || (timestamp_ms // 60000) || ':' || lpad(((timestamp_ms // 1000) % 60)::VARCHAR, 2, '0') || ']' AS ts FROM notes) GROUP BY meeting_id)
+SELECT meeting_id, md5({body}) AS body FROM m LEFT JOIN said USING (meeting_id) LEFT JOIN people USING (meeting_id) LEFT JOIN noted USING (meeting_id)"""
+
+
+def _filled(**parts: str) -> str:
+    sql = _EXPORT
+    for name, x in parts.items():
+        sql = sql.replace("{" + name + "}", x)
+    return sql
+
+
+_MARKDOWN = _filled(
+    general="It went well.\n\n### Key points\n\n- one\n- two\n\n### Action items\n\n- [ ] call — *Ana* (due: May)\n- [ ] write\n\n",
+    interview='It went well.\n\n### Quotes\n\n> "Yes"\n> — Bo (end)\n\n> "No"\n> — Cy\n\n### Themes\n\n- **bold**\n\n',
+    line="'**' || ts || coalesce(' ' || speaker || ':**', '**') || ' ' || x || chr(10) || chr(10)", note="'- **' || ts || '** ' || text || chr(10)",
+    body="""'# ' || title || chr(10) || chr(10) || '**Date:** ' || started_ms || '  ' || chr(10) || '**Duration:** ' || dur || '  ' || chr(10) || '**Language:** ?  ' || chr(10) || '**Segments:** ' || segment_count || chr(10) || chr(10)
+  || coalesce('**Participants:** ' || people || chr(10) || chr(10), '') || '---' || chr(10) || chr(10) || coalesce('## Summary' || chr(10) || chr(10) || digest || '---' || chr(10) || chr(10), '')
+  || '## Transcript' || chr(10) || chr(10) || coalesce(said, '') || coalesce('---' || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || noted || chr(10), '')""",
+)
+_PLAIN = _filled(
+    general="It went well.\n\nKEY POINTS\n  - one\n  - two\n\nACTION ITEMS\n  - call (Ana) [due: May]\n  - write\n\n",
+    interview='It went well.\n\nQuotes\n\n"Yes"\n— Bo (end)\n\n"No"\n— Cy\n\nThemes\n\n**bold\n\n',
+    line="ts || coalesce(' ' || speaker || ':', '') || ' ' || x || chr(10)", note="ts || ' ' || text || chr(10)",
+    body="""title || chr(10) || repeat('=', length(title)) || chr(10) || chr(10) || 'Date:     ' || started_ms || chr(10) || 'Duration: ' || dur || chr(10) || 'Language: ?' || chr(10) || 'Segments: ' || segment_count || chr(10)
+  || coalesce('Participants: ' || people || chr(10), '') || coalesce(chr(10) || chr(10) || 'SUMMARY' || chr(10) || '-------' || chr(10) || chr(10) || digest, '')
+  || chr(10) || chr(10) || 'TRANSCRIPT' || chr(10) || '----------' || chr(10) || chr(10) || coalesce(said, '') || coalesce(chr(10) || chr(10) || 'NOTES' || chr(10) || '-----' || chr(10) || chr(10) || noted, '')""",
+)
+
+
+def _exports(spark, sf, style):
+    m = p.meetings(spark, sf).select("meeting_id", "title", F.col("started_ms").alias("started_at"), "duration_ms", F.lit(None).cast("string").alias("language"), "segment_count")
+    named = _named(spark, sf).withColumn("speaker", F.col("speaker"))
+    return render.exports(m, named, p.speakers(spark, sf), p.notes(spark, sf), _digests(spark, sf), style).select("meeting_id", F.md5("body").alias("body"))
+
+
+@query("t28_markdown_exports", _MARKDOWN, "meetings", "speakers", "notes")
+def _(spark, sf):
+    return _exports(spark, sf, "markdown")
+
+
+@query("t28_text_exports", _PLAIN, "meetings", "speakers", "notes")
+def _(spark, sf):
+    return _exports(spark, sf, "text")
+
+
+@query("t29_clipboard_texts", """SELECT meeting_id, CASE meeting_id % 3 WHEN 0 THEN 'It went well.\n\nKey points\n• one\n• two\n\nAction items\n• call (Ana) — May\n• write' WHEN 1 THEN 'It went well.\n\nQuotes\n• "Yes" — Bo\n• "No" — Cy\n\nThemes\n• **bold**' ELSE '' END AS copied FROM meetings WHERE meeting_id % 4 <> 0""", "meetings")
+def _(spark, sf):
+    return _digests(spark, sf).select("meeting_id", render.clipboard_text(F.col("template"), F.col("payload")).alias("copied"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("t25_summary_prompts", f"""SELECT doc_id, md5('<|im_start|>system' || chr(10) || CASE lang WHEN 'en' THEN {_sql(render.ROLES["general"])} WHEN 'de' THEN {_sql(render.ROLES["lecture"])} ELSE {_sql(render.ROLES["interview"])} END || ' ' ||
+  CASE WHEN lang = 'es' THEN 'Responde SIEMPRE en español neutro.' WHEN lang = 'en' THEN 'Always respond in English.' ELSE 'Always respond in the same language as the meeting transcript (ISO code: ' || lang || ').' END || chr(10) || {_sql(render.ONLY_JSON)} || chr(10) || chr(10) ||
+  CASE lang WHEN 'en' THEN {_sql(render.schema_text("general"))} WHEN 'de' THEN {_sql(render.schema_text("lecture"))} ELSE {_sql(render.schema_text("interview"))} END || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Transcript:' || chr(10) || '---' || chr(10) ||
+  replace(text, '</s>', '') || chr(10) || '---' || CASE WHEN doc_id % 2 = 0 THEN {_sql(render.NOTES_HEAD)} || source || chr(10) || '---' ELSE '' END || {_sql(render.RETURN_JSON)} ||
+  CASE WHEN doc_id % 3 = 0 THEN {_sql(render.NOT_PARSED[0])} || 'bad' || {_sql(render.NOT_PARSED[1])} ELSE '' END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS prompt FROM documents""")
+def _(spark, sf):
+    template = F.when(F.col("lang") == "en", "general").when(F.col("lang") == "de", "lecture").otherwise("interview")
+    prompt = render.summary_prompt(template, F.concat("text", F.lit("</s>")), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("<|im_end|>"))), F.when(F.col("doc_id") % 3 == 0, "bad"))
+    return p.table(spark, sf, "documents").select("doc_id", F.md5(prompt).alias("prompt"))
+
+
+@query("t26_chat_prompts", """SELECT conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10)) AS prompt FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 20 AND role <> 'system' GROUP BY conv_id""")
+def _(spark, sf):
+    turns = ordered.last_rows(p.table(spark, sf, "conversations"), ["conv_id"], ["turn"], 20).filter("role <> 'system'")
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", t.without_control_tokens(F.col("text")).alias("content"))))
+    return turns.groupBy("conv_id").agg(said.alias("m")).select("conv_id", F.md5(render.chat_prompt(F.col("m"))).alias("prompt"))
+
+
+# --- scalars of validation and time -------------------------------------------------------------
+
+
+@query("t03_labels", r"""SELECT doc_id, nullif(x, '') AS label, length(x) <= 80 AS fits FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN ' ' || source || ' ' ELSE text END, '^\s+|\s+$', '', 'g') AS x FROM documents)""")
+def _(spark, sf):
+    raw = F.when(F.col("doc_id") % 3 == 0, "  ").when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), "source", F.lit(" "))).otherwise(F.col("text"))
+    label, fits = t.normal_label(raw)
+    return p.table(spark, sf, "documents").select("doc_id", label.alias("label"), fits.alias("fits"))
+
+
+@query("t33_frames", "SELECT user_id, event_id, (event_id * 7) // 2 AS frames, (((event_id * 7) // 2) * 1000) // 16000 AS ms, CASE WHEN value > 50 THEN round(value / event_id, 6) ELSE 0 END AS rtf, greatest(event_id - 500, 0) * 10 AS at_ms FROM events WHERE event_id > 0")
+def _(spark, sf):
+    n = F.col("event_id") * 7
+    e = p.table(spark, sf, "events").filter("event_id > 0")
+    audio = F.when(F.col("value") > 50, F.col("event_id")).otherwise(0)
+    return e.select("user_id", "event_id", t.frames_of(n, F.lit(2)).alias("frames"), t.ms_of(n, F.lit(16000), F.lit(2)).cast("long").alias("ms"), F.round(t.real_time_factor(F.col("value"), audio), 6).alias("rtf"), chunks.from_centiseconds(F.col("event_id") - 500).alias("at_ms"))
+
+
+@query("t35_identifiers", r"""SELECT doc_id, regexp_matches(x, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AS valid, CASE WHEN doc_id % 2 = 0 THEN '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') ELSE source END AS day FROM (
+  SELECT *, md5(source) AS h, CASE WHEN doc_id % 3 = 0 THEN md5(source) ELSE substr(md5(source), 1, 8) || '-' || substr(md5(source), 9, 4) || '-' || substr(md5(source), 13, 4) || '-' || substr(md5(source), 17, 4) || '-' || substr(md5(source), 21) END AS x FROM documents)""")
+def _(spark, sf):
+    h = F.md5("source")
+    x = F.when(F.col("doc_id") % 3 == 0, h).otherwise(F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+    day = F.when(F.col("doc_id") % 2 == 0, F.format_string("2024-01-%02dT10:00:00Z", F.col("doc_id") % 28 + 1)).otherwise(F.col("source"))
+    return p.table(spark, sf, "documents").select("doc_id", t.is_uuid(x).alias("valid"), t.date_or_text(day).alias("day"))
+
+
+@query("p13_question_status", """SELECT m.meeting_id, CASE WHEN m.meeting_id % 6 = 0 THEN 'empty_question' WHEN s.meeting_id IS NULL THEN 'not_found' WHEN s.n = 0 THEN 'empty_transcript' ELSE 'ok' END AS status
+FROM (SELECT meeting_id FROM meetings UNION SELECT meeting_id FROM notes) m LEFT JOIN (SELECT meeting_id, count_if(trim(text) <> '') AS n FROM segments GROUP BY meeting_id) s USING (meeting_id)""", "meetings", "notes")
+def _(spark, sf):
+    asked = p.meetings(spark, sf).select("meeting_id").union(p.notes(spark, sf).select("meeting_id")).distinct()
+    asked = asked.withColumn("question", F.when(F.col("meeting_id") % 6 == 0, " ").otherwise("Why?"))
+    return catalog.question_status(asked, p.meetings(spark, sf), p.segments(spark, sf))
+
+
+@query("d09_template_faults", r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'template name cannot be empty' WHEN doc_id % 9 = 1 THEN 'template prompt cannot be empty' WHEN strlen(n) > 200 THEN 'template name exceeds 200 characters'
+  WHEN strlen(q) > 10000 THEN 'template prompt exceeds 10000 characters' END AS fault FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN text ELSE source END, '^\s+|\s+$', '', 'g') AS n, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM documents)""")
+def _(spark, sf):
+    name = F.when(F.col("doc_id") % 4 == 0, "  ").when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.col("source"))
+    return p.table(spark, sf, "documents").select("doc_id", dml.template_fault(name, F.when(F.col("doc_id") % 9 != 1, F.col("text"))).alias("fault"))
+
+
+# --- streams in batch form ----------------------------------------------------------------------
+
+CHUNK, RATE = 7, 1000
+
+
+def frames(spark, sf) -> DataFrame:
+    """Events as frames of one to five samples of their level; sessions in three that stay open."""
+    w = Window.partitionBy("session_id").orderBy("seq")
+    edge = F.when(F.col("type").isin("paused", "resumed"), F.col("type") == "paused")
+    e = p.session_events(spark, sf).withColumn("paused", F.coalesce(F.last(edge, True).over(w), F.lit(False)))
+    ended = (F.col("seq") == F.max("seq").over(Window.partitionBy("session_id"))) & (F.col("session_id") % 3 != 0)
+    samples = F.transform(F.sequence(F.lit(0), (F.col("event_id") % 5).cast("int")), lambda i: (F.col("rms") + i / 100.0).cast("float"))
+    return e.select(F.col("session_id").cast("string").alias("session_id"), "seq", samples.alias("samples"), "paused", ended.alias("ended"))
+
+
+@query("st01_chunks", f"""WITH x AS (SELECT *, coalesce(lag(paused) OVER (PARTITION BY session_id ORDER BY seq), false) AS was FROM frames),
+e AS (SELECT *, sum(CASE WHEN paused <> was THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS epoch FROM x),
+s AS (SELECT session_id, epoch, (rms + i / 100.0)::FLOAT AS y, row_number() OVER (PARTITION BY session_id, epoch ORDER BY seq, i) - 1 AS pos, max(ended) OVER (PARTITION BY session_id, epoch) AS closed FROM e, range(0, 5) r(i) WHERE i < n),
+g AS (SELECT session_id, epoch, pos // {CHUNK} AS k, count(*) AS n, sqrt(avg(y::DOUBLE * y)) AS level, round(sum(y::DOUBLE), 4) AS total, bool_or(closed) AS closed FROM s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY epoch, k) - 1 AS i FROM g WHERE n = {CHUNK} OR closed)
+SELECT session_id::VARCHAR AS session_id, i AS chunk_index, i * {CHUNK} AS offset_ms, CASE WHEN n = {CHUNK} THEN {CHUNK} ELSE n END AS duration_ms, CASE WHEN level < 0.03 THEN 'skipped' ELSE 'chunk' END AS type, CASE WHEN level >= 0.03 THEN total END AS total FROM o""", "session_events", "frames")
+def _(spark, sf):
+    c = chunks.chunked(frames(spark, sf), CHUNK, RATE, silence=0.03).filter("type IN ('chunk', 'skipped')")
+    total = F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4)
+    return c.select("session_id", "chunk_index", "offset_ms", "duration_ms", "type", total.alias("total"))
+
+
+@query("st04_pause_events", """SELECT session_id::VARCHAR AS session_id, type, count(*) AS n FROM (
+  SELECT session_id, CASE WHEN paused THEN 'paused' ELSE 'resumed' END AS type, paused, coalesce(lag(paused) OVER (PARTITION BY session_id ORDER BY seq), false) AS was FROM frames) WHERE paused <> was GROUP BY ALL
+UNION ALL SELECT session_id::VARCHAR, 'stopped', count(*) FROM frames WHERE ended GROUP BY ALL""", "session_events", "frames")
+def _(spark, sf):
+    c = chunks.chunked(frames(spark, sf), CHUNK, RATE).filter("type IN ('paused', 'resumed', 'stopped')")
+    return c.groupBy("session_id", "type").agg(F.count("*").alias("n"))
+
+
+def recording_events(spark, sf) -> DataFrame:
+    """Events as those of recordings: most sessions have a start, a third of them a stop, and another third a failure."""
+    e = p.session_events(spark, sf).select("*", F.col("session_id").cast("string").alias("sid"))
+    seg = lambda i: F.struct(F.concat_ws("-", "event_id", F.lit(str(i))).alias("id"), (F.col("seq") * 100 + i * 50).alias("start_ms"), (F.col("seq") * 100 + i * 50 + 40).alias("end_ms"), F.lit("x").alias("text"), F.lit("s1").alias("speaker_id"), F.lit(1.0).cast("float").alias("confidence"))
+    body = e.filter("type IS NOT NULL").select(
+        "type", F.col("sid").alias("session_id"), (F.col("seq") + 1).alias("seq"), (F.col("seq") * 100).alias("offset_ms"), "duration_ms",
+        F.when(F.col("event_id") % 3 == 0, "es").when(F.col("event_id") % 3 == 1, "en").alias("language"), F.concat(F.lit("s"), F.col("event_id") % 2).alias("speaker_id"), (F.col("event_id") % 2).cast("int").alias("speaker_slot"),
+        F.when(F.col("event_id") % 4 != 0, F.array(seg(0), seg(1))).otherwise(F.slice(F.array(seg(0)), 1, 0)).alias("segments"),
+        F.lit(None).cast("long").alias("total_segments"), F.lit(None).cast("long").alias("total_audio_ms"), F.lit(None).cast("string").alias("message"), F.timestamp_seconds(F.lit(1704067200) + F.col("seq")).alias("at"),
+    )
+    ids = e.groupBy("sid", "session_id").agg(F.max("seq").alias("seq"))
+    names = body.columns
+    start = ids.filter("session_id % 7 <> 0").select(F.lit("started").alias("type"), F.col("sid").alias("session_id"), F.lit(0).cast("long").alias("seq"), F.lit("Talk").alias("message"), F.timestamp_seconds(F.lit(1704067200)).alias("at"))
+    stop = ids.filter("session_id % 3 <> 0").select(
+        F.when(F.col("session_id") % 3 == 1, "stopped").otherwise("failed").alias("type"), F.col("sid").alias("session_id"), (F.col("seq") + 2).alias("seq"), F.lit(9).cast("long").alias("total_segments"), F.lit(99999).cast("long").alias("total_audio_ms"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("seq")).alias("at"),
+    )
+    return body.unionByName(start, allowMissingColumns=True).unionByName(stop, allowMissingColumns=True).select(*names)
+
+
+@query("st12_recordings", """WITH e AS (SELECT *, (seq + 1) AS s2, CASE WHEN event_id % 4 <> 0 THEN 2 ELSE 0 END AS segs FROM session_events WHERE type IS NOT NULL AND session_id % 7 <> 0),
+f AS (SELECT *, CASE WHEN type = 'skipped' THEN duration_ms ELSE 0 END AS skip FROM e),
+w AS (SELECT *, coalesce(sum(skip) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM f),
+t AS (SELECT session_id, sum(CASE WHEN type = 'chunk' THEN segs ELSE 0 END)::BIGINT AS segs, greatest(coalesce(max(CASE WHEN type = 'chunk' THEN CASE WHEN segs > 0 THEN seq * 100 + 90 ELSE 0 END + later END), 0), sum(skip))::BIGINT AS fallback FROM w GROUP BY session_id),
+v AS (SELECT session_id, CASE event_id % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'en' END AS language, count(*) AS n FROM e WHERE type = 'chunk' AND event_id % 3 <> 2 GROUP BY ALL),
+l AS (SELECT session_id, language FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, language) AS rn FROM v) WHERE rn = 1)
+SELECT i.session_id::VARCHAR AS id, i.session_id % 3 <> 0 AS over, CASE i.session_id % 3 WHEN 1 THEN 99999 WHEN 2 THEN coalesce(t.fallback, 0) ELSE 0 END::BIGINT AS duration_ms,
+  CASE WHEN i.session_id % 3 <> 0 THEN l.language END AS language, CASE WHEN i.session_id % 3 = 1 THEN 9 ELSE coalesce(t.segs, 0) END::BIGINT AS segment_count
+FROM (SELECT DISTINCT session_id FROM session_events WHERE session_id % 7 <> 0) i LEFT JOIN t USING (session_id) LEFT JOIN l USING (session_id)""", "session_events")
+def _(spark, sf):
+    m = recorder.recorded(recording_events(spark, sf))["meetings"]
+    return m.select("id", F.col("ended_at").isNotNull().alias("over"), "duration_ms", "language", "segment_count")
+
+
+@query("st12_recorded_parts", """WITH e AS (SELECT * FROM session_events WHERE type = 'chunk' AND session_id % 7 <> 0)
+SELECT session_id::VARCHAR AS meeting_id, 'segments' AS relation, sum(CASE WHEN event_id % 4 <> 0 THEN 2 ELSE 0 END)::BIGINT AS n FROM e GROUP BY session_id HAVING sum(CASE WHEN event_id % 4 <> 0 THEN 2 ELSE 0 END) > 0
+UNION ALL SELECT session_id::VARCHAR, 'speakers', count(DISTINCT event_id % 2) FROM e GROUP BY session_id""", "session_events")
+def _(spark, sf):
+    r = recorder.recorded(recording_events(spark, sf))
+    counts = [r[x].groupBy("meeting_id").agg(F.count("*").alias("n")).select("meeting_id", F.lit(x).alias("relation"), "n") for x in ("segments", "speakers")]
+    return counts[0].unionByName(counts[1])
+
+
+@query("a06_session_counters", """SELECT session_id::VARCHAR AS session_id, count_if(type = 'chunk') AS chunks, count_if(type = 'skipped') AS skipped, sum(CASE WHEN type = 'chunk' AND event_id % 4 <> 0 THEN 90 ELSE 0 END)::BIGINT AS audio_ms
+FROM session_events WHERE session_id % 7 <> 0 GROUP BY session_id""", "session_events")
+def _(spark, sf):
+    e = recorder.accepted(recording_events(spark, sf))
+    return recorder.session_totals(e).select("session_id", "chunks", "skipped", "audio_ms")
+
+
+@query("st06_voiced_chunks")
+def _(spark, sf):
+    """Levels as probabilities of a neural detector, 16 frames a chunk; a chunk is voiced if one of its frames is."""
+    e = p.session_events(spark, sf).withColumn("probability", F.col("rms") * 10)
+    voiced = sessions.hysteresis(e, "session_id", "seq", "probability", *sessions.NEURAL)
+    return voiced.groupBy("session", F.floor(F.col("seq") / 16).alias("chunk")).agg(F.bool_or("voiced").alias("voiced"))
+
+
+def _tokens(spark, sf) -> DataFrame:
+    """Words of turns as a model's tokens; every second answer starts with a thought, whose marks are cut in two:
+    what comes before a mark is whole has been shown by then."""
+    c = p.table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("reply_id"), "text")
+    text = F.when(F.col("reply_id") % 2 == 0, F.concat(F.lit("<thi\x00nk>hm </th\x00ink>"), "text")).otherwise(F.col("text"))
+    return c.select("reply_id", F.posexplode(F.split(F.regexp_replace(text, " ", " \x00"), "\x00")).alias("seq", "token")).select("reply_id", F.col("seq").cast("long").alias("seq"), "token")
+
+
+@query("st17_shown_tokens", """SELECT conv_id * 100000 + turn AS reply_id, md5(CASE WHEN turn % 2 = 0 THEN '<thi' || ltrim(text) ELSE text END) AS shown FROM conversations""")
+def _(spark, sf):
+    return replies.answer_text(replies.shown(_tokens(spark, sf))).select("reply_id", F.md5("text").alias("shown"))
+
+
+@query("st18_answer_events", """WITH c AS (SELECT conv_id * 100000 + turn AS reply_id, text, len(string_split(text, ' ')) AS n FROM conversations WHERE turn % 2 = 1)
+SELECT reply_id, 0::BIGINT AS event, 'started' AS type, md5('m1') AS text, NULL AS cited FROM c
+UNION ALL SELECT reply_id, i, 'token', md5(string_split(text, ' ')[i] || CASE WHEN i < n THEN ' ' ELSE '' END), NULL FROM c, generate_series(1, n) g(i)
+UNION ALL SELECT reply_id, n + 1, CASE WHEN reply_id % 5 = 0 THEN 'failed' ELSE 'finished' END, md5(CASE WHEN reply_id % 5 = 0 THEN 'broken' ELSE text END), CASE WHEN reply_id % 5 <> 0 THEN '' END FROM c""")
+def _(spark, sf):
+    tokens = _tokens(spark, sf).filter("reply_id % 100000 % 2 = 1").withColumnRenamed("token", "delta").filter("reply_id % 2 = 1")
+    asked = p.table(spark, sf, "conversations").filter("turn % 2 = 1").select((F.col("conv_id") * 100000 + F.col("turn")).alias("reply_id"))
+    asked = asked.select("reply_id", F.lit("m1").alias("model"), F.when(F.col("reply_id") % 5 == 0, "broken").alias("error"), F.array(F.lit("1")).alias("ids"))
+    out = replies.answer_events(asked, tokens)
+    return out.select("reply_id", "event", "type", F.md5("text").alias("text"), F.array_join("citations", ",").alias("cited"))
