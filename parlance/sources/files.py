@@ -49,9 +49,9 @@ def export(bodies: DataFrame, target: str, home: str) -> None:
 
 
 def export_all(bodies: DataFrame, folder: str, suffix: str = ".md") -> None:
-    """Any number of documents: each is a row (name, body) of a partitioned text table, written by the executors."""
-    df = bodies.select(F.concat(F.col("meeting_id").cast("string"), F.lit(suffix)).alias("name"), F.col("body").alias("value"))
-    df.write.mode("overwrite").partitionBy("name").option("lineSep", "").text(folder)
+    """Any number of documents (meeting_id, body) as files of a folder, written by the executors."""
+    name = F.concat(F.col("meeting_id").cast("string"), F.lit(suffix))
+    paths.write_files(bodies.select(name.alias("name"), F.col("body").cast("binary").alias("body")), folder)
 
 
 def stem(path: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,3 +45,22 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(read(spark, path))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Rows (name, body binary) as files of a folder, each whole or not at all.
+
+    Executors write them by pyarrow's file systems, so the folder must be one that all of them share.
+    """
+
+    def put(rows):
+        from pyarrow import fs
+
+        target, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        target.create_dir(top, recursive=True)
+        for r in rows:
+            with target.open_output_stream(f"{top}/.{r.name}.part") as out:
+                out.write(bytes(r.body))
+            target.move(f"{top}/.{r.name}.part", f"{top}/{r.name}")
+
+    files.select("name", "body").foreachPartition(put)

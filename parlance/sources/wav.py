@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parlance.sources import paths
 
 RATE = 16000
 TAPS, CUTOFF = 256, 0.95
@@ -71,29 +74,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(clips, CLIPS)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_bytes(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([encode(s, int(r), int(c)) for s, r, c in zip(samples, rate, channels)])
 
 
 def write(clips: DataFrame, folder: str) -> None:
-    """Clips (name, sample_rate, channels, samples) as files ``<folder>/<name>.wav``, each whole or not at all.
-
-    Executors write by pyarrow's file systems; the folder must be shared by all of them.
-    """
-    files = clips.select("name", wav_bytes(F.col("samples"), F.col("sample_rate"), F.col("channels")).alias("body"))
-
-    def put(rows):
-        from pyarrow import fs
-
-        target, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        target.create_dir(top, recursive=True)
-        for r in rows:
-            with target.open_output_stream(f"{top}/.{r.name}.part") as out:
-                out.write(bytes(r.body))
-            target.move(f"{top}/.{r.name}.part", f"{top}/{r.name}.wav")
-
-    files.foreachPartition(put)
+    """Clips (name, sample_rate, channels, samples) as files ``<folder>/<name>.wav``."""
+    body = wav_bytes(F.col("samples"), F.col("sample_rate"), F.col("channels")).alias("body")
+    paths.write_files(clips.select(F.concat("name", F.lit(".wav")).alias("name"), body), folder)
 
 
 def resampled(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
