@@ -72,6 +72,28 @@ def written() -> int:
     return len(_WRITTEN)
 
 
+def released(f):
+    """``f`` over a task's batches, after which the worker gives what it has freed back to the system.
+
+    Workers are used again, and allocators keep freed memory for themselves, so a worker would stay as large as its
+    largest task was, beside all others of its executor.
+    """
+
+    def run(batches):
+        yield from f(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have yet, in upper or lower case."""
     taken = {x.lower() for x in df.columns}
@@ -278,7 +300,7 @@ def packed_texts(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(pack, T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
+    return df.mapInArrow(released(pack), T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
 
 
 def unpacker():

@@ -219,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, block_chars:
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the rows that hold an item within its edit budget."""
     for block in _item_blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast([t for _, t in block]), q), docs.schema)
+        docs = docs.mapInArrow(c.released(_without(docs.sparkSession.sparkContext.broadcast([t for _, t in block]), q)), docs.schema)
     return docs
 
 
@@ -262,7 +262,7 @@ def _search(docs: DataFrame, block: list, q: int) -> DataFrame:
             cols = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([ids[i] for i in item], pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "end", "edits"])
 
-    return docs.mapInArrow(search, f"doc_id {kind}, item_id long, start long, end long, edits int")
+    return docs.mapInArrow(c.released(search), f"doc_id {kind}, item_id long, start long, end long, edits int")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _gram(vectors: DataFrame, width: int) -> np.ndarray:
             g += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], ["i", "g"])
 
-    rows = vectors.select("v").mapInArrow(gram, "i int, g array<double>")
+    rows = vectors.select("v").mapInArrow(c.released(gram), "i int, g array<double>")
     sums = rows.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     out = np.zeros((width, width))
     for r in sums:
@@ -110,7 +110,7 @@ def _blocks(vectors: DataFrame, rows: int, width: int, order) -> DataFrame:
         if ids:
             yield out()
 
-    packed = c.stored(dealt.select("vec_id", "v").mapInArrow(pack, "part int, k int, ids binary, m binary, longest double"))
+    packed = c.stored(dealt.select("vec_id", "v").mapInArrow(c.released(pack), "part int, k int, ids binary, m binary, longest double"))
     names = packed.select("part", "k").withColumn("block", F.row_number().over(Window.orderBy("part", "k")) - 1)
     return packed.join(names, ["part", "k"]).drop("part", "k")
 
@@ -152,11 +152,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*row, k, rotation, np.frombuffer(floor, "<f8"))], ["query_id", "vec_id", "score"])
 
     longest = v.filter("block = 0").select("ids", "m")  # one row of at most ``block`` vectors
-    floor = c.stored(q.join(F.broadcast(longest), F.lit(True)).select("q_block", "q_ids", "q_m", "ids", "m").mapInArrow(seed, "q_block int, floor binary, reach double"))
+    floor = c.stored(q.join(F.broadcast(longest), F.lit(True)).select("q_block", "q_ids", "q_m", "ids", "m").mapInArrow(c.released(seed), "q_block int, floor binary, reach double"))
     # Each block of candidates meets those blocks of queries that it can reach.
     meet = v.select("block", "longest").join(floor.select("q_block", "reach"), F.col("longest") * (1 + SLACK) >= F.col("reach")).select("q_block", "block")
     pairs = meet.join(q, "q_block").join(floor.select("q_block", "floor"), "q_block").join(v.select("block", "ids", "m"), "block")
-    near = pairs.select("q_ids", "q_m", "ids", "m", "floor").mapInArrow(search, found)
+    near = pairs.select("q_ids", "q_m", "ids", "m", "floor").mapInArrow(c.released(search), found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

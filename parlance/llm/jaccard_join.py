@@ -122,7 +122,7 @@ def _each_set(docs: DataFrame, k: int, f, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(f(pa, batch.column("row"), batch.column("doc_id"), sets), names)
 
     texts = docs.select(c.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(c.released(run), schema)
 
 
 def _lists(pa, rows: list[np.ndarray]):
@@ -272,7 +272,7 @@ def _between_components(members: DataFrame, found: DataFrame, num: int, den: int
 
 def _compared(df: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     spread = df.select(*TILE_COLUMNS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInArrow(_tiles(num, den, forest), PAIR_SCHEMA)
+    return spread.mapInArrow(c.released(_tiles(num, den, forest)), PAIR_SCHEMA)
 
 
 def _tiles(num: int, den: int, forest: bool):
@@ -388,7 +388,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, num: int, den: in
                 linked.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return c.stored(df.select("a", "b", "row_a", "row_b", "text_a", "text_b").mapInArrow(verify, "a long, b long, linked boolean"))
+    return c.stored(df.select("a", "b", "row_a", "row_b", "text_a", "text_b").mapInArrow(c.released(verify), "a long, b long, linked boolean"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,9 +51,9 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     points = c.stored(_names(docs, length, gram))
     known = points.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
     per_doc = c.stored(points.join(known, "name").groupBy("row").agg(F.collect_set("name").alias("names")))
-    runs = c.packed_texts(docs).join(per_doc, "row").select("row", "packed", "names").mapInArrow(_runs(length, gram), "name long, n int, row long, at long, body binary")
+    runs = c.packed_texts(docs).join(per_doc, "row").select("row", "packed", "names").mapInArrow(c.released(_runs(length, gram)), "name long, n int, row long, at long, body binary")
     ranked = c.stored(
-        runs.repartition("name").sortWithinPartitions("name").mapInArrow(_rank(length, rank_bytes), "row long, start long, end long, h1 long, h2 long, n int")
+        runs.repartition("name").sortWithinPartitions("name").mapInArrow(c.released(_rank(length, rank_bytes)), "row long, start long, end long, h1 long, h2 long, n int")
     )
     windows = ranked.filter("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("row").alias("row"), F.min("start").alias("start"))
     unique = ranked.filter("n = 0").select("row", "start", "end").unionByName(windows.filter("n = 1").selectExpr("row", "start", "start + 1 AS end"))
@@ -61,7 +61,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     whole = c.packed_texts(docs, "text", "doc_id").join(per_doc, "row", "left").join(unique, "row", "left")
     whole = whole.select("doc_id", "packed", "names", F.col("unique.start").alias("starts"), F.col("unique.end").alias("ends"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kept binary, removed array<struct<start: bigint, end: bigint>>"
-    return whole.mapInArrow(_cut(length, gram), schema)
+    return whole.mapInArrow(c.released(_cut(length, gram)), schema)
 
 
 def _names(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -87,7 +87,7 @@ def _names(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 )
 
     texts = docs.select(c.row_key().alias("row"), F.col("text").cast("binary").alias("body"))
-    return texts.mapInArrow(names, "row long, name long, n int")
+    return texts.mapInArrow(c.released(names), "row long, name long, n int")
 
 
 def _undecided(b: np.ndarray, names: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:

@@ -54,9 +54,9 @@ def repeated_passages(
     known = points.groupBy("prefix").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).filter("a < b").select("prefix")
     per_doc = c.stored(points.join(known, "prefix").groupBy("row").agg(F.collect_set("prefix").alias("prefixes")))
     runs = c.packed_texts(keyed, "text", "first_doc").join(per_doc, "row").select("row", "first_doc", "packed", "prefixes")
-    runs = runs.mapInArrow(_runs(window, gram), "prefix long, first_doc long, row long, at long, body binary")
+    runs = runs.mapInArrow(c.released(_runs(window, gram)), "prefix long, first_doc long, row long, at long, body binary")
     trees = c.stored(
-        runs.repartition("prefix").sortWithinPartitions("prefix", "body", "first_doc").mapInArrow(_trees(window, tree_windows), "row long, start long, end long, h1 long, h2 long, first_doc long")
+        runs.repartition("prefix").sortWithinPartitions("prefix", "body", "first_doc").mapInArrow(c.released(_trees(window, tree_windows)), "row long, start long, end long, h1 long, h2 long, first_doc long")
     )
     longer = trees.filter("h1 IS NOT NULL")
     least = longer.groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"))
@@ -67,7 +67,7 @@ def repeated_passages(
     own = [T.StructField(x, docs.schema[x].dataType) for x in ("doc_id", *carry)]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     more = [T.StructField("kept", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(span))]
-    return whole.mapInArrow(_cut(window, gram, ("doc_id", *carry), verbatim), T.StructType([*own, *more]))
+    return whole.mapInArrow(c.released(_cut(window, gram, ("doc_id", *carry), verbatim)), T.StructType([*own, *more]))
 
 
 def _window_prefixes(b: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(docs_)), pa.array(c.signed(np.concatenate(found)))], ["row", "first_doc", "prefix"])
 
     texts = docs.select(c.row_key().alias("row"), "first_doc", F.col("text").cast("binary").alias("body"))
-    return texts.mapInArrow(prefixes, "row long, first_doc long, prefix long")
+    return texts.mapInArrow(c.released(prefixes), "row long, first_doc long, prefix long")
 
 
 def _undecided(b: np.ndarray, prefixes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:

@@ -84,7 +84,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             k = hit[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[0, k]), pa.array(n[1, k])], ["bucket", "n0", "n1"])
 
-    return rows.mapInArrow(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.mapInArrow(c.released(count), "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _surest(counts: DataFrame, totals: tuple[int, int], features: int) -> list:
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
             out = [np.unique(p[p >= 0]) for p in (place[gram_buckets(b)] for b in c.unpacked(batch.column("packed")))]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("drawn"), pa.array([x.astype("<i4").tobytes() for x in out], pa.binary())], ["toxic", "drawn", "features"])
 
-    some = rows.filter(draw).select("toxic", "packed", drawn.alias("drawn")).mapInArrow(features, "toxic int, drawn long, features binary")
+    some = rows.filter(draw).select("toxic", "packed", drawn.alias("drawn")).mapInArrow(c.released(features), "toxic int, drawn long, features binary")
     sample = some.orderBy("drawn", "features", "toxic").limit(sample_rows).collect()
     sample.sort(key=lambda r: (r.toxic, bytes(r.features)))
     w, intercept = logistic([np.frombuffer(r.features, "<i4") for r in sample], np.array([r.toxic for r in sample], np.float64), ratio, prior)
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     from pyspark.sql import types as T
 
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return docs.withColumn(body, F.col("text").cast("binary")).mapInArrow(score, T.StructType([*docs.schema.fields, *more]))
+    return docs.withColumn(body, F.col("text").cast("binary")).mapInArrow(c.released(score), T.StructType([*docs.schema.fields, *more]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
