@@ -2,6 +2,8 @@ import re
 
 import corpus_pipeline as p
 
+from pyspark.sql import functions as F
+
 from parlance.llm._common import read_table, stored
 from tests.llm import test_decontamination as leaks
 from tests.llm import test_jaccard_join as near
@@ -90,6 +92,33 @@ def test_run_gives_the_stages_in_order(spark):
     assert set(COLUMNS) < set(out.columns) and 0 < out.count() <= 200
 
 
+def test_clashing_and_odd_rows(spark):
+    docs = read_table(spark, SF, "documents")
+    odd = docs.withColumns({x: F.lit(x) for x in ("row", "size", "taken", "body", "rejected", "prefix", "_body", "key", "slice")})
+    text = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.concat("text", F.lit(" ")), 300)).when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("text"))
+    odd = odd.withColumn("text", text).withColumn("doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("doc_id")))
+    for _, stage in p.STAGES[:-1]:
+        odd = stored(stage(spark, odd.unionByName(odd.limit(3)), SF))
+        assert odd.columns == COLUMNS
+    out = p.mix_sources(spark, odd, SF)
+    assert 0 < out.count() <= odd.count()
+
+
+def test_without_any_label_all_stay(spark):
+    docs = read_table(spark, SF, "documents").withColumn("lang", F.lit(None).cast("string"))
+    assert p.keep_known_language(spark, docs, SF).count() == docs.count()
+
+
+def test_scratch_tables_are_deleted(spark):
+    from parlance.llm import _common as c
+
+    before = c.written()
+    p.run(spark, SF)
+    assert c.written() == before + len(p.STAGES)
+    c.clear_stored(spark, before)
+    assert c.written() == before
+
+
 def test_empty_documents(spark):
     docs = read_table(spark, SF, "documents").limit(0)
     for _, stage in p.STAGES:

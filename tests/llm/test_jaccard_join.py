@@ -69,6 +69,36 @@ def test_matches_brute_force(spark, how):
     assert got(m.similar_sets(df, **how)) == brute(rows, how.get("shingle", 3), how.get("num", 90))
 
 
+def test_a_group_of_unlinked_near_copies_costs_few_rows(spark, monkeypatch):
+    """Copies of a text that isn't there itself: their long lists merge, and candidate rows stay near the number of copies."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(600):
+        x = list(base)
+        for at in r.sample(range(100), 4):
+            x[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(x), 1, 1))
+    made = []
+    for name in ("_forests", "_between_components"):
+        plain = getattr(m, name)
+        monkeypatch.setattr(m, name, lambda *a, plain=plain: made.append(plain(*a)) or made[-1])
+    places = []
+    compared = m._compared
+    monkeypatch.setattr(m, "_compared", lambda df, *a, **b: places.append(df.count()) or compared(df, *a, **b))
+    found = m.similar_sets(spark.createDataFrame(rows, SCHEMA), tile=64, wide=1024)
+    assert got(found) == brute(rows)
+    assert len(places) == 2 and max(places) < 12 * len(rows)
+    assert sum(x.count() for x in made) < 12 * len(rows)
+
+
+@pytest.mark.parametrize("words", [1, 60_000])
+def test_very_long_texts(spark, words):
+    base = [f"w{i}" for i in range(words)]
+    rows = [(1, " ".join(base), 1, 1), (2, " ".join(base[: -words // 50] + ["end"]), 1, 1), (3, " ".join(base[::-1]), 1, 1), (3, " ".join(base[::-1]), 1, 1)]
+    assert got(m.similar_sets(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
 @pytest.mark.parametrize("k, num, n, boundary", [(3, 90, 9, 19), (3, 90, 9, 11), (5, 80, 4, 10), (5, 80, 4, 6)])
 def test_small_set_within_a_larger_one(spark, k, num, n, boundary):
     words = [f"w{i}" for i in range(n + k)]

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import source_mixing as m
 
@@ -56,6 +57,27 @@ def test_higher_quality_is_taken_first(spark):
     assert good > 2 * bad
 
 
+def test_slices_are_even_at_any_weights(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("size"), F.when(F.col("id") % 3 == 0, 7.3).otherwise(0.5).alias("quality_weight"))
+    seen = []
+    plain = m.docs_slices
+    monkeypatch.setattr(m, "docs_slices", lambda df: seen.append(df.groupBy("slice").count().collect()) or plain(df))
+    m.mixed(docs, slice_rows=1000)
+    sizes = [r["count"] for r in seen[0]]
+    assert len(sizes) == 30 and max(sizes) < 1300 and min(sizes) > 700
+
+
+def test_rows_without_an_id_and_clashing_columns(spark):
+    rows = [(None, "a", f"w{i} " * (i % 9 + 1), "x", i) for i in range(600)] + [(1, "a", "long " * 100_000, "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, slice string, upto int")
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    sized_ = m.sized(docs, labels, "slice", "upto")
+    assert sized_.select("u").distinct().count() > 590
+    got = m.mixed(sized_.withColumns({"target": F.lit("old"), "key": F.lit("k"), "row": F.lit("r")}), share=1.0).collect()
+    assert len(got) == 601 and {(r.slice, r.key, r.row) for r in got} == {("x", "k", "r")} and {type(r.target) for r in got} == {float}
+    assert sum(r.taken for r in got) > 0
+
+
 def test_empty_table(spark):
     assert m.mixed(sized(spark, [])).count() == 0
 
