@@ -1,9 +1,9 @@
 """Helpers shared by the corpus operators: a shared work folder, and hashing of bytes and words in numpy.
 
 Hashes are polynomial fingerprints modulo 2**64 over a fixed table of random odd
-numbers, finished by a multiply-xor mix.  They name strings for grouping; where a
-wrong match could change a result, callers compare the strings themselves or use
-two independent fingerprints.
+numbers, finished by a multiply-xor mix.  They name strings for grouping.  ``row_key``
+and fingerprints of windows have 64 bits, which is enough below about 1e9 names; beyond
+that, wrong matches must be expected (see README).
 """
 
 from __future__ import annotations

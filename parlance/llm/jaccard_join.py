@@ -35,7 +35,8 @@ linked still has all its pairs of sketches compared, within blocks.
 Null, empty and blank texts have the empty set, which links with nothing.  Texts of
 fewer words than n are one whole shingle.  Rows with a null doc_id get a component
 too; only non-null ids can be its name.  Classes named by the same least doc_id
-(a repeated id with other text) count as one.  Other columns aren't read.
+(a repeated id with other text) count as one; repeated rows are one class.  Texts of any
+length are read whole.  Other columns aren't read.
 """
 
 from __future__ import annotations

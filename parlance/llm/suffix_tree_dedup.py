@@ -1,12 +1,14 @@
-"""Removal of repeated passages by suffix trees that are partitioned by prefix.
+"""Removal of repeated passages by suffix trees over windows, partitioned by a gram within them.
 
 A window is ``window`` consecutive words of one document.  Each word covered by a
 window whose word sequence also starts in a document with a smaller doc_id is
 removed, so of each repeated passage the copy in the first document stays.
 
 One suffix tree over a corpus doesn't fit into any machine, so suffixes are dealt by
-a prefix of the window they start: the least fingerprint among the window's grams of
-``gram`` words, which equal windows share.  A prefix seen in one document only has
+what is called their prefix here: the least fingerprint among the grams of ``gram`` words
+in the window they start, which equal windows share.  It's no leading prefix: neighbours
+would have different ones, and each suffix would travel alone with its whole window (see
+README for figures).  A prefix seen in one document only has
 a tree without inner nodes between documents and is dropped first.  The suffixes of
 one prefix come to one task, which sorts them, takes the longest common prefixes of
 neighbours, and so has the subtree: its inner nodes of string depth ``window`` or
@@ -14,7 +16,7 @@ more are the repeats.  A prefix with more suffixes than ``tree_windows`` is made
 longer, to the whole window, and its windows go on as Spark rows that are combined
 before they are shuffled.
 
-Null, empty and short texts lose nothing.  A null doc_id counts as larger than any
+Null, empty and short texts lose nothing; texts of any length are read whole.  A null doc_id counts as larger than any
 other; rows with equal doc_id don't remove each other's words.  Columns other than
 doc_id and text aren't read.
 """

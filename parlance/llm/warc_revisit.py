@@ -15,7 +15,7 @@ between) and ``no_response``.
 The as-of join is cut by time: each url's captures are dealt to slices of about
 ``slice_rows`` records, the last response before each slice is carried over, and only
 within slices are rows put in order.  A url with a third of all records is so many
-slices, even in time; a burst within one slice is one task's.  A null url or time
+slices, even in time, and a slice that holds a burst is cut once more.  A null url or time
 resolves to nothing; header names are lower-cased; null headers are none; urls and headers
 may have any length; other columns are left out.  Repeated rows are resolved alike, and of
 responses that share a record_id but differ the greatest (time, tag, date, headers) counts.
@@ -46,14 +46,18 @@ def canonical_url(url: Column) -> Column:
 def as_of(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Revisits (record_id, url_key, at) with response_id, the latest earlier response of their url, or null."""
     rows = records.filter("url_key IS NOT NULL AND at IS NOT NULL")
-    size = rows.groupBy("url_key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.ceil(F.count("*") / slice_rows).alias("slices"))
-    rows = rows.join(size, "url_key").withColumn("slice", F.floor((F.col("at") - F.col("lo")).cast("double") * F.col("slices") / (F.col("hi") - F.col("lo") + 1)))
+    keys = ["url_key"]
+    for level in ("slice", "part"):
+        size = rows.groupBy(*keys).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.ceil(F.count("*") / slice_rows).alias("slices"))
+        place = F.floor((F.col("at") - F.col("lo")).cast("double") * F.col("slices") / (F.col("hi") - F.col("lo") + 1))
+        rows = rows.join(size, keys).withColumn(level, place).drop("lo", "hi", "slices")
+        keys.append(level)
     full = F.when(~F.col("revisit"), F.struct("at", "record_id"))
-    last = rows.groupBy("url_key", "slice").agg(F.max(full).alias("last"))
-    before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("url_key", "slice", F.max("last").over(before).alias("carried"))
-    within = Window.partitionBy("url_key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("near", F.max(full).over(within)).filter("revisit").join(carried, ["url_key", "slice"])
+    last = rows.groupBy(*keys).agg(F.max(full).alias("last"))
+    before = Window.partitionBy("url_key").orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, F.max("last").over(before).alias("carried"))
+    within = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("near", F.max(full).over(within)).filter("revisit").join(carried, keys)
     return rows.select("record_id", "url_key", "at", F.coalesce("near", "carried")["record_id"].alias("response_id"))
 
 

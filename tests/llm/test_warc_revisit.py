@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import warc_revisit as m
 
@@ -56,6 +57,21 @@ def test_matches_brute_force(spark, slice_rows):
     assert sorted(((*x[:5], dict(sorted(x[5].items())) if x[5] is not None else None) for x in got), key=str) == sorted(((*x[:5], dict(sorted(x[5].items())) if x[5] is not None else None) for x in brute(rows)), key=str)
 
 
+def test_a_burst_is_cut_again(spark, monkeypatch):
+    rows = [(i, "http://a.org/x", 10**9 + i, i % 2 == 1, None, None, None, "x") for i in range(900)] + [(5000, "http://a.org/x", 0, False, None, None, None, "x"), (5001, "http://a.org/x", 10**9, True, None, None, None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(x[:4]) for x in m.resolved(df, 30).collect())
+    assert got == sorted(x[:4] for x in brute(rows))
+    plan = m.as_of(df.withColumn("url_key", m.canonical_url(F.col("url"))), 30)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("slice") and plan.count("part")
+
+
+def test_responses_of_one_record_id_that_differ(spark):
+    rows = [(1, "http://a.org/x", 5, False, e, None, {"A": e}, "x") for e in ('"a"', '"b"', '"a"')] + [(2, "http://a.org/x", 9, True, '"b"', None, {"L" * 50_000: "v"}, "x")] * 2
+    got = m.resolved(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 2 and {(r.response_id, r.outcome, r.headers["a"], len(r.headers)) for r in got} == {(1, "resolved", '"b"', 2)}
+
+
 def test_empty_table(spark):
     assert m.resolved(spark.createDataFrame([], SCHEMA)).count() == 0
 
