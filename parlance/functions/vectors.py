@@ -69,9 +69,21 @@ def centroids(vectors: DataFrame, keys: list[str], vector: str, least: int = 2)
     return places.groupBy(*keys).agg(mean.alias("_mean")).join(n, keys).select(*keys, "n", normalised(F.col("_mean")).alias("centroid"))
 
 
-def best_match(vectors: DataFrame, centres: DataFrame, vector: str, centroid: str, centre_id: str) -> DataFrame:
-    """Each vector's most similar centroid, ties to the smaller id.  ``centres`` has at most a few dozen rows."""
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(centre_id).alias("id"), F.col(centroid).alias("v")))).alias("_all"))
-    df = vectors.crossJoin(F.broadcast(listed))  # one row
-    scored = F.transform("_all", lambda c: F.struct(F.round(cosine(F.col(vector), c["v"]), 6).alias("sim"), (-c["id"]).alias("neg")))
-    return df.withColumn("_best", F.array_max(scored)).withColumn("best", -F.col("_best.neg")).withColumn("sim", F.col("_best.sim")).drop("_all", "_best")
+#: Centroids that are broadcast at once.
+BLOCK = 1000
+
+
+def best_match(vectors: DataFrame, centres: DataFrame, vector: str, centroid: str, centre_id: str, block: int = BLOCK) -> DataFrame:
+    """Each vector's most similar centroid, ties to the smaller id.
+
+    Centroids are dealt by a hash of their id to blocks of about ``block``; each block is one broadcast row, against
+    which every vector keeps its best so far.  So vectors are never shuffled, and no broadcast grows with the centroids.
+    """
+    blocks = max(1, -(-centres.count() // block))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(centre_id).alias("id"), F.col(centroid).alias("v"))))
+    df = vectors.withColumn("_best", F.lit(None).cast("struct<sim: double, neg: bigint>"))
+    for i in range(blocks):
+        part = centres.filter(F.pmod(F.xxhash64(centre_id), F.lit(blocks)) == i).agg(listed.alias("_all"))
+        scored = F.transform("_all", lambda c: F.struct(F.round(cosine(F.col(vector), c["v"]), 6).alias("sim"), (-c["id"]).cast("long").alias("neg")))
+        df = df.crossJoin(F.broadcast(part)).withColumn("_best", F.greatest("_best", F.array_max(scored))).drop("_all")  # one row
+    return df.withColumn("best", (-F.col("_best.neg")).cast(centres.schema[centre_id].dataType)).withColumn("sim", F.col("_best.sim")).drop("_best")

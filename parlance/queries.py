@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions import payload, render
+from parlance.functions import payload, picks, render
 from parlance.functions import text as t
 from parlance.functions import vectors as v
 from parlance.operators import catalog, cluster, dml, evaluate, ordered, search, sessions
@@ -209,7 +209,9 @@ def _(spark, sf):
     return ordered.numbered(p.speakers(spark, sf).drop("slot"), ["meeting_id"], ["role"], "slot").select("meeting_id", "role", "slot")
 
 
-@query("w03_arrival_slots", "SELECT meeting_id, role, slot, label FROM speakers", "speakers")
+@query("w03_arrival_slots", """WITH f AS (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY ALL)
+SELECT a.conv_id AS meeting_id, a.role, count(b.role)::INTEGER AS slot, CASE WHEN a.role <> 'assistant' THEN upper(a.role[1]) || a.role[2:] END AS label
+FROM f a LEFT JOIN f b ON a.conv_id = b.conv_id AND (b.first_turn, b.role) < (a.first_turn, a.role) GROUP BY a.conv_id, a.role""")
 def _(spark, sf):
     return p.speakers(spark, sf)
 
@@ -245,7 +247,8 @@ def _(spark, sf):
 # --- changes ----------------------------------------------------------------------------------
 
 
-@query("d02_append_segments", """SELECT seg_id, text FROM segments WHERE turn < 3 UNION ALL SELECT seg_id, text FROM segments WHERE turn >= 3""", "segments")
+@query("d02_append_segments", """WITH base AS (SELECT seg_id, text FROM segments WHERE turn < 3), batch AS (SELECT seg_id, text FROM segments UNION ALL SELECT seg_id, text FROM segments)
+SELECT seg_id, text FROM base UNION ALL SELECT seg_id, min(text) FROM batch ANTI JOIN base USING (seg_id) GROUP BY seg_id""", "segments")
 def _(spark, sf):
     s = p.segments(spark, sf).select("seg_id", "turn", "text")
     # The batch holds what is there already, and all of its rows twice.
@@ -337,9 +340,19 @@ def _(spark, sf):
     return p.speakers(spark, sf).select("meeting_id", "slot", t.speaker_name(F.col("label"), F.col("slot")).alias("name"), t.short_tag(F.col("slot")).alias("tag"), t.palette(F.col("slot")).alias("colour"))
 
 
-@query("t05_control_tokens", "SELECT conv_id, turn, replace(replace('<|im_start|>' || text || '</s>', '<|im_start|>', ''), '</s>', '') AS plain FROM conversations")
+_NESTED = "<|im_end|>a<|eot_id|>b<|start_header_id|>c<|end_header_id|><|im_st</s>art|>"
+
+
+def _removed(x: str, tokens) -> str:
+    for token in tokens:
+        x = f"replace({x}, '{token}', '')"
+    return x
+
+
+@query("t05_control_tokens", f"SELECT conv_id, turn, {_removed(f"'<|im_start|>' || text || '{_NESTED}'", t.CONTROL_TOKENS)} AS plain FROM conversations")
 def _(spark, sf):
-    return p.table(spark, sf, "conversations").select("conv_id", "turn", t.without_control_tokens(F.concat(F.lit("<|im_start|>"), "text", F.lit("</s>"))).alias("plain"))
+    # Removing the last token makes the first one anew, which stays: each is removed once.
+    return p.table(spark, sf, "conversations").select("conv_id", "turn", t.without_control_tokens(F.concat(F.lit("<|im_start|>"), "text", F.lit(_NESTED))).alias("plain"))
 
 
 def _in(words) -> str:
@@ -415,7 +428,8 @@ def _(spark, sf):
     return p.table(spark, sf, "documents").select("lang").distinct().select("lang", t.language_instruction(F.col("lang")).alias("instruction"))
 
 
-@query("t27_thoughts", r"""SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN text ELSE '' END, '^\s+', '') AS answer FROM conversations""")
+@query("t27_thoughts", r"""SELECT conv_id, turn, regexp_replace(regexp_replace(x, '<think>.*?(</think>|\z)', '', 'gs'), '^\s+', '') AS answer FROM (
+  SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>a' || chr(10) || 'b</think>' || chr(10) || ' ' || text ELSE '<think>' || text END AS x FROM conversations)""")
 def _(spark, sf):
     x = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>a\nb</think>\n "), "text")).otherwise(F.concat(F.lit("<think>"), "text"))
     return p.table(spark, sf, "conversations").select("conv_id", "turn", t.without_thoughts(x).alias("answer"))
@@ -757,6 +771,15 @@ def _(spark, sf):
     return p.table(spark, sf, "documents").select("doc_id", dml.template_fault(name, F.when(F.col("doc_id") % 9 != 1, F.col("text"))).alias("fault"))
 
 
+@query("v08_model_picks", """SELECT event_id, CASE WHEN ram <= 5 THEN 'asr-base' WHEN ram <= 9 THEN 'asr-large-v3-turbo-q5' WHEN ram >= 24 OR apple OR (ram >= 16 AND cores >= 12) THEN 'asr-large-v3-turbo' ELSE 'asr-large-v3-turbo-q5' END AS asr,
+  CASE WHEN ram <= 5 THEN NULL WHEN ram <= 15 THEN 'llm-qwen3-4b' WHEN ram <= 23 THEN 'llm-qwen3-8b' ELSE 'llm-qwen3-14b' END AS llm, CASE WHEN ram BETWEEN 16 AND 23 AND NOT apple AND cores >= 12 THEN 'medium' ELSE 'high' END AS confidence,
+  ram <= 9 OR (ram <= 23 AND NOT apple AND free < 3) AS warned FROM (SELECT event_id, event_id % 40 AS ram, event_id % 3 = 0 AS apple, event_id % 17 AS cores, event_id % 5 AS free FROM events)""")
+def _(spark, sf):
+    i = F.col("event_id")
+    h = p.table(spark, sf, "events").select("event_id", *picks.model_picks(i % 40, i % 3 == 0, i % 17, i % 5))
+    return h.select("event_id", "asr", "llm", "confidence", "warned")
+
+
 # --- streams in batch form ----------------------------------------------------------------------
 
 CHUNK, RATE = 7, 1000

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance import schema
+from parlance.functions.payload import parsed
+from parlance.functions.render import exports
 from parlance.functions.text import normal_label
 from parlance.operators import dml, ordered
 from parlance.operators.search import search, with_snippets
@@ -131,6 +133,18 @@ class Store:
             out = out.join(rows, "id", "left").withColumn(name, F.coalesce(name, F.array()))
         return out
 
+    def export(self, meeting_id: str, style: str = "markdown", template: str | None = None) -> DataFrame:
+        """(meeting_id, body): the meeting with its last summary, of any template or of one, as a document."""
+        self._need(meeting_id)
+        mine = F.col("meeting_id") == meeting_id
+        names = self.table("speakers").filter(mine)
+        said = self.table("segments").filter(mine).withColumnRenamed("id", "seg_id")
+        label = names.select(F.col("id").alias("speaker_id"), F.coalesce("label", F.concat(F.lit("Speaker "), F.col("slot") + 1)).alias("speaker"))
+        digests = self.summary(meeting_id, template).select("meeting_id", "template", parsed(F.col("template"), F.col("payload"))["payload"].alias("payload"))
+        head = self.header(meeting_id).select(F.col("id").alias("meeting_id"), "title", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), "duration_ms", "language", "segment_count")
+        notes = self.table("notes").filter(mine).withColumnRenamed("id", "note_id")
+        return exports(head, said.join(label, "speaker_id", "left"), names, notes, digests, style)
+
     def rename(self, meeting_id: str, title: str) -> bool:
         """Whether there is such a meeting."""
         found = self._has("meetings", F.col("id") == meeting_id)

@@ -145,6 +145,20 @@ def chunk_stream(frames: DataFrame, size: int, rate: int, channels: int = 1, sil
     return df.groupBy("session_id").applyInPandasWithState(fold, EVENTS, STATE, "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
+def captured(frames: DataFrame, seconds: float, rate: int, channels: int = 1) -> DataFrame:
+    """(session_id, samples, frames, total_samples, audio_seconds): each session's samples up to a deadline, as one clip.
+
+    The clip stops with the frame that reaches the deadline, or at the session's end; ``wav.write`` is its sink.
+    """
+    w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    df = frames.select(F.col("session_id").cast("string"), "seq", F.col("samples").cast("array<float>").alias("samples")).filter("samples IS NOT NULL")
+    df = df.withColumn("before", F.coalesce(F.sum(F.size("samples")).over(w), F.lit(0))).filter(F.col("before") < int(seconds * rate) * channels)
+    parts = F.array_sort(F.collect_list(F.struct("before", "samples")))
+    out = df.groupBy("session_id").agg(parts.alias("parts"), F.count("*").alias("frames"))
+    out = out.select("session_id", F.flatten(F.transform("parts", lambda p: p["samples"])).alias("samples"), "frames")
+    return out.withColumn("total_samples", F.size("samples").cast("long")).withColumn("audio_seconds", F.col("total_samples") / channels / rate)
+
+
 def heard(chunks: DataFrame, transcribe, most_silence: float = 0.6) -> DataFrame:
     """(session_id, chunk_index, start_ms, end_ms, text, language, error): what a model hears in each chunk.
 

@@ -84,6 +84,16 @@ def test_summaries_and_notes(store):
     assert store.delete_note(late) and not store.delete_note(late)
 
 
+def test_export_of_a_meeting(store):
+    store.upsert_summary("m1", {"id": "z", "template": "general", "created_at": datetime(2024, 2, 1), "payload": '{"summary": "All good."}'})
+    body = store.export("m1").first().body
+    assert body.startswith("# Renamed\n\n**Date:** 2024-01-01T00:00:00Z  \n**Duration:** 1s  \n**Language:** en  \n**Segments:** 2\n\n**Participants:** Speaker 1, Bo\n\n---\n\n## Summary\n\nAll good.\n\n---")
+    assert "**[00:00]** budget for <b>May</b>\n\n" in body and body.endswith("## Notes\n\n- **[00:00]** early\n\n")
+    assert "NOTES\n-----\n\n[00:00] early\n" in store.export("m1", "text").first().body
+    with pytest.raises(NotFound):
+        store.export("none")
+
+
 def test_templates(store):
     one = store.save_template("  Name ", " Prompt ")
     assert [(r.name, r.prompt) for r in store.templates().collect()] == [("Name", "Prompt")]
@@ -248,3 +258,13 @@ def test_custom_prompt(spark):
 
 def test_scalars(spark):
     assert spark.range(1).select(t.frames_of(F.lit(7), F.lit(0)), t.real_time_factor(F.lit(2.0), F.lit(0)), t.is_uuid(F.lit(None).cast("string"))).first()[:] == (0, 0.0, False)
+
+
+def test_best_match_by_blocks(spark):
+    from parlance.functions import vectors as v
+
+    rows = [(i, [float(i % 7 + 1), float(i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    centres = spark.createDataFrame([(k, [float(k % 4 + 1), float(k % 3)]) for k in range(12)], "c int, v array<double>")
+    one, many = (sorted(map(tuple, v.best_match(df, centres, "x", "v", "c", n).select("id", "best", "sim").collect())) for n in (1000, 2))
+    assert one == many

@@ -101,6 +101,16 @@ def test_silent_sessions_fail_after_a_timeout(spark, tmp_path):
     assert [(r.event, r.type) for r in sorted(out, key=lambda r: r.event)] == [(0, "chunk"), (1, "failed")]
 
 
+def test_capture_stops_at_the_deadline(spark):
+    got = {r.session_id: r for r in chunks.captured(spark.createDataFrame(frames(), FRAMES), 0.05, RATE).collect()}
+    for sid in {r[0] for r in frames() if r[2]}:
+        want, n = [], 0
+        for x in (r[2] for r in sorted(r for r in frames() if r[0] == sid)):
+            if len(want) < 50:
+                want, n = want + x, n + 1
+        assert [round(v, 3) for v in got[sid].samples] == want and (got[sid].frames, got[sid].total_samples) == (n, len(want))
+
+
 def test_failed_chunks_leave_the_others(spark):
     df = chunks.chunked(spark.createDataFrame(frames(), FRAMES), SIZE, RATE)
 
