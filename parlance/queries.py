@@ -15,6 +15,7 @@ from parlance.functions import text as t
 from parlance.functions import vectors as v
 from parlance.operators import catalog, cluster, dml, evaluate, ordered, search, sessions
 from parlance.plans import projections as p
+from parlance.sources import files
 from parlance.streaming import chunks, recorder, replies
 
 QUERIES: dict[str, Callable] = {}
@@ -196,7 +197,7 @@ def _(spark, sf):
 
 @query("j08_paired_by_stem", """SELECT b.item_id, d.doc_id FROM (SELECT item_id, 'clip' || item_id AS stem FROM benchmark) b JOIN (SELECT doc_id, 'clip' || doc_id AS stem FROM documents) d USING (stem)""")
 def _(spark, sf):
-    stem = lambda c: F.regexp_extract(F.concat(F.lit("/audio/clip"), F.col(c), F.lit(".wav")), "([^/]+)\\.\\w+$", 1)
+    stem = lambda c: files.stem(F.concat(F.lit("/audio/clip"), F.col(c), F.lit(".wav")))
     b = p.table(spark, sf, "benchmark").select("item_id", stem("item_id").alias("stem"))
     return b.join(p.table(spark, sf, "documents").select("doc_id", stem("doc_id").alias("stem")), "stem").select("item_id", "doc_id")
 

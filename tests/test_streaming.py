@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import evaluate, sessions
-from parlance.operators.cluster import OnlineClusters, OnlineConfig, merges, refine, survivors
+from parlance.operators.cluster import STRICT, OnlineClusters, OnlineConfig, merges, refine, survivors
 from parlance.sources.store import Store
 from parlance.streaming import chunks, recorder, replies
 
@@ -256,6 +256,18 @@ def test_a_vector_keeps_the_slot_it_was_given():
     assert c.assign([0.9, 0.3]) == 0
 
 
+def test_strict_speakers_arent_merged():
+    c = OnlineClusters(STRICT)
+    assert [c.assign(v) for v in ([1.0, 0.0], [0.75, 0.66], [0.8, 0.6], [1.0, 0.05])] == [0, 1, 1, 0]
+    assert c.merged == []
+
+
+def test_the_last_speaker_sticks():
+    c = OnlineClusters(OnlineConfig(threshold=0.5, merge=1.0, most_speakers=2))
+    assert [c.assign(v) for v in ([1.0, 0.0], [0.0, 1.0], [0.71, 0.70])] == [0, 1, 1]  # a little nearer to the first
+    assert c.assign([-1.0, -1.0]) in (0, 1)  # no more speakers than are allowed
+
+
 def test_refinement_goldens():
     x, y, z = [1.0, 0.0, 0.0], [0.95, 0.3, 0.0], [0.0, 0.0, 1.0]
     found = refine([0, 0, 1, 1, 1, 2, 2, 3], [x, x, y, y, y, z, z, x])
