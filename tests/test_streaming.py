@@ -258,7 +258,7 @@ def test_a_vector_keeps_the_slot_it_was_given():
 
 def test_strict_speakers_arent_merged():
     c = OnlineClusters(STRICT)
-    assert [c.assign(v) for v in ([1.0, 0.0], [0.75, 0.66], [0.8, 0.6], [1.0, 0.05])] == [0, 1, 1, 0]
+    assert [c.assign(v) for v in ([1.0, 0.0], [0.71, 0.7], [0.7, 0.71], [1.0, 0.05])] == [0, 1, 1, 0]
     assert c.merged == []
 
 
