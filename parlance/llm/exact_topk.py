@@ -4,7 +4,7 @@ Candidates are dealt by descending length into packed blocks of rows, queries in
 of their own; a pair of blocks is one row of work, and no side is broadcast, so both may grow.
 
 1. Each block of queries meets the block of the longest candidates.  The k-th best score
-   found there is the floor of each query, and stays one for the rest.
+   found there, with its id, is the floor of each query, and stays one for the rest.
 2. A query q can find something in a block only if |q| times the block's longest vector
    reaches q's floor (Cauchy-Schwarz).  Pairs of blocks in which no query can are never
    made.  In the others, candidates come by descending length in strips.  Vectors are
@@ -139,42 +139,48 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
 
         for batch in batches:
             for i, (q_ids, qm, ids, m) in enumerate(arrays(batch, {"q_ids", "q_m", "ids", "m"})):
-                floor = floors(q_ids, qm, ids, m, k, rotation)
+                floor, last = floors(q_ids, qm, ids, m, k, rotation)
                 size = np.sqrt((qm * qm).sum(1))
                 reach = np.where(size > 0, (floor - SLACK * (1 + size)) / np.maximum(size, 1), np.where(floor > 0, np.inf, -np.inf))
-                yield pa.RecordBatch.from_arrays([batch.column("q_block").slice(i, 1), pa.array([floor.astype("<f8").tobytes()], pa.binary()), pa.array([float(reach.min()) if len(reach) else np.inf])], ["q_block", "floor", "reach"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("q_block").slice(i, 1), pa.array([floor.astype("<f8").tobytes()], pa.binary()), pa.array([last.astype("<i8").tobytes()], pa.binary()), pa.array([float(reach.min()) if len(reach) else np.inf])],
+                    ["q_block", "floor", "last", "reach"],
+                )
 
     def search(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for floor, row in zip(batch.column("floor").to_pylist(), arrays(batch, {"q_ids", "q_m", "ids", "m"})):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*row, k, rotation, np.frombuffer(floor, "<f8"))], ["query_id", "vec_id", "score"])
+            for floor, last, row in zip(batch.column("floor").to_pylist(), batch.column("last").to_pylist(), arrays(batch, {"q_ids", "q_m", "ids", "m"})):
+                limits = np.frombuffer(floor, "<f8"), np.frombuffer(last, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*row, k, rotation, limits)], ["query_id", "vec_id", "score"])
 
     longest = v.filter("block = 0").select("ids", "m")  # one row of at most ``block`` vectors
-    floor = c.stored(q.join(F.broadcast(longest), F.lit(True)).select("q_block", "q_ids", "q_m", "ids", "m").mapInArrow(c.released(seed), "q_block int, floor binary, reach double"))
+    floor = c.stored(q.join(F.broadcast(longest), F.lit(True)).select("q_block", "q_ids", "q_m", "ids", "m").mapInArrow(c.released(seed), "q_block int, floor binary, last binary, reach double"))
     # Each block of candidates meets those blocks of queries that it can reach.
     meet = v.select("block", "longest").join(floor.select("q_block", "reach"), F.col("longest") * (1 + SLACK) >= F.col("reach")).select("q_block", "block")
-    pairs = meet.join(q, "q_block").join(floor.select("q_block", "floor"), "q_block").join(v.select("block", "ids", "m"), "block")
-    near = pairs.select("q_ids", "q_m", "ids", "m", "floor").mapInArrow(c.released(search), found)
+    pairs = meet.join(q, "q_block").join(floor.select("q_block", "floor", "last"), "q_block").join(v.select("block", "ids", "m"), "block")
+    near = pairs.select("q_ids", "q_m", "ids", "m", "floor", "last").mapInArrow(c.released(search), found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def floors(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray) -> np.ndarray:
-    """The k-th best score of each query in a block, -inf where it has fewer."""
-    query, _, score = best_of(q_ids, q, ids, m, k, rotation, None, rows=True)
-    out = np.full(len(q), -np.inf)
+def floors(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and id of the k-th best of each query in a block; -inf where it has fewer."""
+    query, found, score = best_of(q_ids, q, ids, m, k, rotation, None, rows=True)
+    out, last = np.full(len(q), -np.inf), np.full(len(q), np.iinfo(np.int64).max)
     n = np.bincount(query, minlength=len(q))
     at = np.cumsum(n)
     full = n >= k
-    out[full] = score[at[full] - 1]
-    return out
+    out[full], last[full] = score[at[full] - 1], found[at[full] - 1]
+    return out, last
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray, floor: np.ndarray | None = None, rows: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray, floor: tuple[np.ndarray, np.ndarray] | None = None, rows: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's k best in one block that reach its floor, ties to the smaller id.
 
+    At the floor's own score, an id must be at most the floor's, so that many equal vectors give no rows.
+
     With ``rows``, queries are named by their place.
     """
     length = np.sqrt((m * m).sum(1))
@@ -188,7 +194,7 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k:
     rm, rq = m @ rotation, q @ rotation
     rest_m, rest_q = np.sqrt((rm[:, h:] ** 2).sum(1)), np.sqrt((rq[:, h:] ** 2).sum(1))
     slack = SLACK * (1 + q_length[:, None] * (length[0] if len(length) else 0))
-    least = np.full(len(q), -np.inf) if floor is None else floor
+    least, last = (np.full(len(q), -np.inf), np.full(len(q), np.iinfo(np.int64).max)) if floor is None else floor
     top_s = np.full((len(q), 0), -np.inf)
     top_i = np.zeros((len(q), 0), np.int64)
     for i in range(0, len(ids), STRIP):
@@ -204,7 +210,8 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k:
             continue
         live, may = live[some], may[some][:, cols]
         score = q[live] @ m[s][cols].T
-        may &= (score >= least[live, None]) & (q_ids[live, None] != ids[s][cols][None])
+        tied = (score == least[live, None]) & (ids[s][cols][None] <= last[live, None])
+        may &= (tied | (score > least[live, None])) & (q_ids[live, None] != ids[s][cols][None])
         score = np.where(may, score, -np.inf)
         both_s = np.concatenate([top_s[live], score], 1)
         both_i = np.concatenate([top_i[live], np.broadcast_to(ids[s][cols], score.shape)], 1)

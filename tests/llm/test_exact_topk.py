@@ -42,8 +42,12 @@ def test_floors_leave_few_rows(spark):
     rotation = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
     floor = m.floors(np.arange(40) + 5000, np.floor(q), np.arange(100), x[:100], 5, rotation)
     later = m.best_of(np.arange(40) + 5000, np.floor(q), np.arange(100, 800), x[100:], 5, rotation, floor)
-    want = sum(min(5, int(((np.floor(q)[i] @ x[100:].T) >= floor[i]).sum())) for i in range(40))
+    want = sum(min(5, int(((np.floor(q)[i] @ x[100:].T) > floor[0][i]).sum())) for i in range(40))
     assert len(later[0]) == want < 40 * 5
+    same = np.repeat(x[:1], 300, 0)  # equal vectors tie with the floor and have larger ids
+    floor = m.floors(np.arange(40) + 5000, np.floor(q), np.arange(100), same[:100], 5, rotation)
+    assert not len(m.best_of(np.arange(40) + 5000, np.floor(q), np.arange(100, 300), same[100:], 5, rotation, floor)[0])
+    assert len(m.best_of(np.arange(40) + 5000, np.floor(q), np.arange(-200, 0), same[100:], 5, rotation, floor)[0]) == 200
 
 
 def test_large_components_are_exact(spark):
