@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontamination, exact_topk, jaccard_join, language_id, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter, warc_revisit
+from parlance.llm import centroid_clustering, decontamination, exact_topk, jaccard_join, language_id, phrase_mining, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter, warc_revisit
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_exact_topk": exact_topk.op9_exact_topk,
     "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
+    "op12_centroid_clustering": centroid_clustering.op12_centroid_clustering,
+    "op13_phrase_mining": phrase_mining.op13_phrase_mining,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc_revisit": warc_revisit.ORACLE_SQL,
     "op8_source_mixing": source_mixing.ORACLE_SQL,
     "op9_exact_topk": exact_topk.ORACLE_SQL,
+    "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    "op13_phrase_mining": phrase_mining.ORACLE_SQL,
 }
