@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import centroid_clustering, decontamination, exact_topk, jaccard_join, language_id, phrase_mining, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter, warc_revisit
+from parlance.llm import centroid_clustering, decontamination, exact_topk, jaccard_join, language_id, phrase_mining, secret_scan, source_mixing, suffix_array_dedup, suffix_tree_dedup, toxicity, url_filter, warc_revisit
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_exact_topk": exact_topk.op9_exact_topk,
     "op10_suffix_tree_dedup": suffix_tree_dedup.op10_suffix_tree_dedup,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_centroid_clustering": centroid_clustering.op12_centroid_clustering,
     "op13_phrase_mining": phrase_mining.op13_phrase_mining,
 }
