@@ -2,20 +2,21 @@
 
 Level by level, adjacent frequent (k-1)-grams are replaced by the name of their pair:
 
-1. Texts are cut into words and packed into blocks; each block knows its distinct words,
-   by language, and its text as numbers of these.  Spark adds up the counts, and the frequent
-   words get an id each.
-2. The ids of a block's frequent words go back to it by a join.  Neighbours that are
-   both frequent (k-1)-grams are one k-gram; a block counts its distinct pairs, Spark adds
-   them up and names the frequent ones, and so on up to ``LONGEST`` words.
+1. Texts are cut into words and packed into blocks; a block holds its text as numbers of its
+   distinct words, by language, and sends these with their counts, packed, to the
+   buckets of a hash.  A bucket adds up the counts of all blocks and names the frequent words.
+2. The names go back to the blocks that have them.  Neighbours that are both frequent
+   (k-1)-grams are one k-gram; a block sends its distinct pairs of names to the buckets, which
+   name the frequent ones, and so on up to ``LONGEST`` words.
 
 A phrase that occurs ``LEAST`` times has parts that occur as often, so no candidate is missed, and
-a pair's two ids are pointers to its parents.  Counts of first and last parts, which the cuts need, are
+a pair's two names are pointers to its parents.  Counts of first and last parts, which the cuts need, are
 handed down along the pointers, and what a longer phrase covers is looked up by its
 pointers: a phrase in a longer one is also in a parent of it that occurs at least as often.
 
 What is shuffled is a block's distinct words and pairs, not their places, so a very frequent
-word or phrase is one row a block; blocks hold about ``BLOCK_BYTES`` of text, or one text if it's longer.
+word or phrase is one entry a block.  Blocks hold about ``BLOCK_BYTES`` of text, or one text if it's longer, and
+there is a bucket for each ``BUCKET_BYTES`` of all text, so a bucket's entries stay about as many at any size.
 The best of each language are taken from groups of at most about ``GROUP`` candidates
 first, so no language is sorted in one task.  Counts cover all documents, copies and repeated rows too.
 
@@ -26,6 +27,8 @@ Scores are exact whole numbers (decimals of 38 digits).  Rows with equal score a
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,120 +38,200 @@ from parlance.llm import _common as c
 LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = (80, 100)
 SCALE = 2_000_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
 GROUP = 200_000
 UNKNOWN = "und"
 
 _FORM = c.ASCII_LOWER.copy()
 _FORM[0x09] = 0x20
 _FORM[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, *range(0x0A, 0x0E)]] = 0x0A
-BLOCKS = "block long, sizes array<struct<lang:string,n:long>>, names array<struct<lang:string,word:string,n:long>>, seq binary"
-PAIRS = "block long, names array<struct<left:long,right:long,n:long>>, seq binary"
+#: A block's text (``seq``, in a row of its own), or what it sends to a bucket: words of a language or pairs of names
+#: (packed), and how often it has each and all; ``base`` is the number of the first.  A level has either words or pairs.
+LEVEL = "block long, seq binary, bucket int, lang string, base int, words binary, lefts binary, rights binary, counts binary, total long"
+#: What a bucket names, and what it sends back to a block: the numbers of the frequent ones and their names.
+NAMES = "block long, numbers binary, ids binary, named array<struct<id:long,lang:string,word:string,left:long,right:long,f:long>>"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed by planes of equal weight."""
+    import zstandard
+
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unpacked(b: bytes, kind=np.int64) -> np.ndarray:
+    import zstandard
 
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _list(struct):
-    """One list that holds all rows of a struct array."""
+
+def _batch(schema: str, rows: list[dict]):
     import pyarrow as pa
 
-    return pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    named = pa.list_(pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64())]))
+    columns = [x.split(" ", 1) for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(x) for r in rows], kinds.get(t, named)) for x, t in columns], [x for x, _ in columns])
 
 
-def block_of(texts: list[np.ndarray], langs: list[str]) -> tuple:
-    """(languages, words of each, languages of the names, names, counts, seq): -1 in seq is a cut between pieces."""
+def _words(x: np.ndarray):
+    """(words as an Arrow dictionary array, their starts) of bytes in ``_FORM``."""
     import pyarrow as pa
 
-    raw = np.frombuffer(b"\n".join(x.tobytes() for x in texts), np.uint8)
-    x = _FORM[raw]
     inside = (x != 0x20) & (x != 0x0A)
     starts, ends = c.mask_runs(inside)
-    cuts = np.cumsum(x == 0x0A, dtype=np.int32)
-    piece = cuts[starts]
-    document = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(x[inside].tobytes())])
-    coded = words.dictionary_encode()
-    known = sorted(set(langs))
-    of_doc = np.array([known.index(y) for y in langs], np.int64)
-    key = of_doc[document] * max(1, len(coded.dictionary)) + np.asarray(coded.indices)
-    found, place, n = np.unique(key, return_inverse=True, return_counts=True)
-    lang, word = np.divmod(found, max(1, len(coded.dictionary)))
-    # A cut goes before each word that starts another piece than the one before.
-    fresh = np.flatnonzero(piece[1:] != piece[:-1]) + 1
-    seq = np.insert(place.astype(np.int32), fresh, -1)
-    return known, np.bincount(of_doc[document], minlength=len(known)), lang, coded.dictionary.take(pa.array(word)).cast(pa.binary()).cast(pa.string()), n, seq
+    return words.dictionary_encode(), starts
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The texts in packed blocks (see ``BLOCKS``)."""
+def _ranked(bucket: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by bucket and the other keys, rank of each, where another bucket or first other key starts)."""
+    order = np.lexsort((*then[::-1], bucket))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, rank, bucket[order]
 
+
+def word_rows(texts: list[np.ndarray], langs: list[str], block: int, buckets: int) -> list[dict]:
+    """The rows of a block of texts: -1 in its seq is a cut between pieces."""
+    raw = np.frombuffer(b"\n".join(x.tobytes() for x in texts), np.uint8)
+    x = _FORM[raw]
+    coded, starts = _words(x)
+    piece = np.cumsum(x == 0x0A, dtype=np.int32)[starts]
+    document = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    known = sorted(set(langs))
+    number = {y: i for i, y in enumerate(known)}
+    of_doc = np.array([number[y] for y in langs], np.int64)
+    size = max(1, len(coded.dictionary))
+    found, place, n = np.unique(of_doc[document] * size + np.asarray(coded.indices), return_inverse=True, return_counts=True)
+    lang, word = np.divmod(found, size)
+    distinct = [y.as_py() for y in coded.dictionary]
+    bucket = np.array([zlib.crc32(y) for y in distinct], np.int64)[word] % buckets if len(word) else word
+    order, rank, of = _ranked(bucket, lang)
+    seq = rank[place]
+    seq = np.insert(seq, np.flatnonzero(piece[1:] != piece[:-1]) + 1, -1)
+    rows = [{"block": block, "seq": packed(seq)}]
+    key = of * len(known) + lang[order]
+    for s, e in zip(*c.stretches(key, np.ones(len(key), bool))):
+        some = order[s:e]
+        rows.append({"block": block, "bucket": int(of[s]), "lang": known[lang[some[0]]], "base": int(s), "words": zlib.compress(b"\n".join([distinct[i] for i in word[some].tolist()]), 1), "counts": packed(n[some]), "total": int(n[some].sum())})
+    return rows
+
+
+def word_level(docs: DataFrame, block_bytes: int, buckets: int) -> DataFrame:
     def pack(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        first, k, texts, langs, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
-
-        def out():
-            known, sizes, lang, words, n, seq = block_of(texts, langs)
-            names = pa.array(known, pa.string())
-            by_lang = pa.StructArray.from_arrays([names, pa.array(sizes, pa.int64())], ["lang", "n"])
-            by_word = pa.StructArray.from_arrays([names.take(pa.array(lang)), words, pa.array(n, pa.int64())], ["lang", "word", "n"])
-            return pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), _list(by_lang), _list(by_word), pa.array([seq.tobytes()], pa.binary())], ["block", "sizes", "names", "seq"])
-
+        block, texts, langs, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in c.slices(batches):
             for text, lang in zip(c.binary_rows(batch.column("body")), batch.column("lang").to_pylist()):
                 texts.append(text.copy())
                 langs.append(lang)
                 held += len(text) + 1
                 if held >= block_bytes:
-                    yield out()
-                    k, texts, langs, held = k + 1, [], [], 0
+                    yield _batch(LEVEL, word_rows(texts, langs, block, buckets))
+                    block, texts, langs, held = block + 1, [], [], 0
         if texts:
-            yield out()
+            yield _batch(LEVEL, word_rows(texts, langs, block, buckets))
 
     rows = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    return rows.mapInArrow(c.released(pack), BLOCKS)
+    return rows.mapInArrow(c.released(pack), LEVEL)
 
 
-def _paired(last: bool):
-    def pair(seq, known):
-        """Names a block's pairs of neighbours that are both frequent."""
+def pair_rows(at: np.ndarray, numbers: np.ndarray, ids: np.ndarray, block: int, buckets: int, last: bool) -> list[dict]:
+    """A block's rows of the next level: its pairs of neighbours that are both frequent."""
+    frequent = np.zeros(max(int(at.max(initial=-1)), int(numbers.max(initial=-1))) + 2, bool)  # its last place is for cuts, -1
+    frequent[numbers] = True
+    name = np.zeros(len(frequent), np.int64)
+    name[numbers] = ids
+    both = frequent[at[:-1]] & frequent[at[1:]]
+    key = at[:-1].astype(np.int64)[both] * len(frequent) + at[1:][both]
+    found, place, n = np.unique(key, return_inverse=True, return_counts=True)
+    left, right = (name[x] for x in np.divmod(found, len(frequent)))
+    bucket = (c.mix(left.view(c.U64) * c.U64(c.BASE) + right.view(c.U64)) % c.U64(buckets)).astype(np.int64)
+    order, rank, of = _ranked(bucket, left, right)
+    rows = []
+    if not last and len(found):
+        seq = np.full(len(both), -1, np.int32)
+        seq[both] = rank[place]
+        rows.append({"block": block, "seq": packed(seq[both | np.concatenate([[True], both[:-1]])])})  # a run of cuts is one
+    for s, e in zip(*c.stretches(of, np.ones(len(of), bool))):
+        some = order[s:e]
+        rows.append({"block": block, "bucket": int(of[s]), "base": int(s), "lefts": packed(np.diff(left[some], prepend=0)), "rights": packed(right[some]), "counts": packed(n[some])})
+    return rows
+
+
+def pair_level(level: DataFrame, names: DataFrame, buckets: int, last: bool) -> DataFrame:
+    def pair(texts, known):
         import pyarrow as pa
 
-        at = np.frombuffer(seq.column("seq")[0].as_py(), np.int32)
-        place, ids = (known.column(x).to_numpy() for x in ("place", "id"))
-        frequent = np.zeros(max(int(at.max(initial=-1)), int(place.max(initial=-1))) + 2, bool)  # its last place is for cuts, -1
-        frequent[place] = True
-        name = np.zeros(len(frequent), np.int64)
-        name[place] = ids
-        both = frequent[at[:-1]] & frequent[at[1:]]
-        key = at[:-1].astype(np.int64)[both] * len(frequent) + at[1:][both]
-        found, where, n = np.unique(key, return_inverse=True, return_counts=True)
-        left, right = np.divmod(found, len(frequent))
-        new = b""
-        if not last:
-            out = np.full(len(both), -1, np.int32)
-            out[both] = where
-            new = out[both | np.concatenate([[True], both[:-1]])].tobytes() if len(out) else b""  # a run of cuts is one
-        pairs = pa.StructArray.from_arrays([pa.array(name[left]), pa.array(name[right]), pa.array(n, pa.int64())], ["left", "right", "n"])
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([seq.column("block").combine_chunks(), _list(pairs), pa.array([new], pa.binary())], ["block", "names", "seq"])])
-
-    def f(seq, known):
-        import pyarrow as pa
+        if not texts.num_rows or not known.num_rows:
+            return pa.Table.from_batches([_batch(LEVEL, [])])
+        numbers, ids = (np.concatenate([unpacked(b) for b in known.column(x).to_pylist()]) for x in ("numbers", "ids"))
+        rows = pair_rows(unpacked(texts.column("seq")[0].as_py(), np.int32), numbers, ids, texts.column("block")[0].as_py(), buckets, last)
+        return pa.Table.from_batches([_batch(LEVEL, rows)])
+
+    texts = level.filter("seq IS NOT NULL").select("block", "seq")
+    known = names.filter("block IS NOT NULL").select(F.col("block").alias("home"), "numbers", "ids")
+    return texts.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(pair, LEVEL)
 
-        if seq.num_rows and known.num_rows:
-            return pair(seq, known)
-        return pa.table({"block": pa.array([], pa.int64()), "names": pa.array([], pa.list_(pa.struct([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())]))), "seq": pa.array([], pa.binary())})
 
-    return f
+def _same(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each row's distinct key, the first row of each key), keys in ascending order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    key = np.empty(len(order), np.int64)
+    key[order] = np.cumsum(new) - 1
+    return key, order[new]
 
 
-def _exploded(level: DataFrame) -> DataFrame:
-    return level.select("block", F.posexplode("names").alias("place", "x")).select("block", "place", "x.*")
+def named(level: DataFrame, least: int, words: bool) -> DataFrame:
+    """The frequent words or pairs of a level by name, and for each block which of its own they are (see ``NAMES``)."""
 
+    def name(key, rows):
+        import pyarrow as pa
 
-def _frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
-    counts = level.select(F.explode("names").alias("x")).select("x.*").groupBy(*key).agg(F.sum("n").alias("f"))
-    return c.stored(counts.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
+        # In the order of blocks, so that a bucket that is made again has the same names.
+        rows = rows.sort_by([("block", "ascending"), ("base", "ascending")]).to_pydict()
+        counts = [unpacked(b) for b in rows["counts"]]
+        n = np.concatenate(counts)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in counts])])
+        if words:
+            lists = [zlib.decompress(b).split(b"\n") for b in rows["words"]]
+            flat = [w for x in lists for w in x]
+            coded = pa.array(flat, pa.binary()).dictionary_encode()
+            langs = sorted(set(rows["lang"]))
+            lang = np.repeat(np.array([langs.index(x) for x in rows["lang"]], np.int64), np.diff(at))
+            columns = [lang, np.asarray(coded.indices).astype(np.int64)]
+        else:
+            columns = [np.concatenate([np.cumsum(unpacked(b)) for b in rows["lefts"]]), np.concatenate([unpacked(b) for b in rows["rights"]])]
+        same, first = _same(columns)
+        f = np.zeros(len(first), np.int64)
+        np.add.at(f, same, n)
+        frequent = np.flatnonzero(f >= least)
+        ids = np.full(len(first), -1, np.int64)
+        ids[frequent] = (int(key[0].as_py()) << 32) + np.arange(len(frequent))
+        ids = ids[same]
+        one = first[frequent]
+        if words:
+            entries = [{"id": i, "lang": langs[x], "word": flat[k].decode(), "f": y} for i, x, k, y in zip(ids[one].tolist(), columns[0][one].tolist(), one.tolist(), f[frequent].tolist())]
+        else:
+            entries = [{"id": i, "left": x, "right": z, "f": y} for i, x, z, y in zip(ids[one].tolist(), columns[0][one].tolist(), columns[1][one].tolist(), f[frequent].tolist())]
+        out = [{"named": entries}]
+        for block, base, s, e in zip(rows["block"], rows["base"], at[:-1].tolist(), at[1:].tolist()):
+            hit = np.flatnonzero(ids[s:e] >= 0)
+            if len(hit):
+                out.append({"block": block, "numbers": packed(hit + base), "ids": packed(ids[s:e][hit])})
+        return pa.Table.from_batches([_batch(NAMES, out)])
+
+    sent = level.filter("bucket IS NOT NULL").select("bucket", "block", "lang", "base", "words", "lefts", "rights", "counts")
+    return sent.groupBy("bucket").applyInArrow(name, NAMES)
 
 
 def _enriched(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -167,24 +250,24 @@ _CUT = """array_min(transform(sequence(1, size(firsts)), k -> struct(
   k AS cut, firsts[k - 1] AS l, lasts[size(firsts) - k] AS r)))"""
 
 
-def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: tuple[int, int] = COVERED, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def candidates(
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: tuple[int, int] = COVERED, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, a, cut, l, r, score) of all candidates that no longer one covers, (lang, n))."""
     mark = c.written()
-    first = level = c.stored(blocks(docs, block_bytes))
-    named = _frequent(level, ["lang", "word"], least)
-    back = named.select("lang", "word", "id")
-    empty = F.array().cast("array<long>")
-    grams = named.select("id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", "f", F.array("word").alias("words"), empty.alias("firsts"), empty.alias("lasts"))
-    levels, key = [], ["lang", "word"]
+    buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    first = level = c.stored(word_level(docs, block_bytes, buckets))
+    names = c.stored(named(level, least, words=True))
+    nothing, empty = F.lit(None).cast("long"), F.array().cast("array<long>")
+    words = names.select(F.explode("named").alias("x")).select("x.*")
+    grams = words.select("id", nothing.alias("left"), nothing.alias("right"), "lang", "f", F.array("word").alias("words"), empty.alias("firsts"), empty.alias("lasts"))
+    levels = []
     for k in range(2, longest + 1):
-        known = _exploded(level).join(back, key).select(F.col("block").alias("home"), "place", "id")
-        pairs = level.select("block", "seq").groupBy("block").cogroup(known.groupBy("home"))
-        level = c.stored(pairs.applyInArrow(_paired(k == longest), PAIRS))
-        key = ["left", "right"]
-        named = _frequent(level, key, least)
-        grams = c.stored(_enriched(named, grams))
+        level = c.stored(pair_level(level, names, buckets, last=k == longest))
+        names = c.stored(named(level, least, words=False))
+        pairs = names.select(F.explode("named").alias("x")).select("x.id", "x.left", "x.right", "x.f")
+        grams = c.stored(_enriched(pairs, grams))
         levels.append(grams)
-        back = named.select("left", "right", "id")
     num, den = covered
     found = None
     for i, grams in enumerate(levels):
@@ -196,7 +279,7 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cove
         part = grams.select("lang", "words", "f", F.expr(_CUT.format(scale=SCALE)).alias("x")).select("lang", F.concat_ws(" ", "words").alias("phrase"), F.col("f").alias("a"), "x.cut", "x.l", "x.r", "x.score")
         found = part if found is None else found.unionByName(part)
     found = c.stored(found)
-    sizes = c.stored(first.select(F.explode("sizes").alias("x")).select("x.*").groupBy("lang").agg(F.sum("n").alias("n")))
+    sizes = c.stored(first.filter("bucket IS NOT NULL").groupBy("lang").agg(F.sum("total").alias("n")))
     c.clear_stored(docs.sparkSession, mark, but_last=2)
     return found, sizes
 

@@ -53,9 +53,9 @@ def run(spark, docs, **how):
     return sorted(map(tuple, m.collocations(df, **how).drop("cut").collect()))
 
 
-@pytest.mark.parametrize(("block_bytes", "group"), [(m.BLOCK_BYTES, m.GROUP), (300, 7)])
-def test_matches_brute_force(spark, block_bytes, group):
-    got = run(spark, texts(), block_bytes=block_bytes, group=group)
+@pytest.mark.parametrize(("block_bytes", "bucket_bytes", "group"), [(m.BLOCK_BYTES, m.BUCKET_BYTES, m.GROUP), (300, 5000, 7)])
+def test_matches_brute_force(spark, block_bytes, bucket_bytes, group):
+    got = run(spark, texts(), block_bytes=block_bytes, bucket_bytes=bucket_bytes, group=group)
     assert got == brute(texts()) and len(got) > 50
 
 
