@@ -391,9 +391,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _of(*kinds: str) -> Column:
+    return F.filter("spans", lambda x: x["kind"].isin(*kinds))
+
+
+def _count(name: str, *kinds: str) -> Column:
+    return F.size(_of(*kinds)).cast("long").alias(name)
+
+
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.read_table(spark, sf_dir, "documents")
-    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    n = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    added = F.size(F.filter("spans", lambda x: ~x["kind"].isin(*BASE))).cast("long").alias("n_added")
-    return secrets(docs, fit(docs)).select("doc_id", *n, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), added)
+    n = [_count(f"n_{kind}", kind) for kind in BASE]
+    added = _count("n_added", *KINDS[len(BASE) :])
+    return secrets(docs, fit(docs)).select("doc_id", *n, F.sha2(_joined(_of(*BASE)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), added)

@@ -136,13 +136,20 @@ def test_without_labels_or_rows(spark):
     assert m.secrets(df, m.fit(df)).count() == 0
 
 
-def test_query(spark):
-    sf = "/root/testdata/sf0.001"
-    texts = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}
-    rows = m.op11_secret_scan(spark, sf).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        want = base(texts[r.doc_id])
-        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in m.BASE)
-        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
-        assert [x for x in r.spans.split(",") if x and not x.startswith("like_")] == want
+def test_query(spark, tmp_path):
+    docs, bare, clean = corpus()
+    made = docs + bare + clean[:5] + ODD
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for sf, least in ((str(tmp_path), 300), ("/root/testdata/sf0.01", 1)):
+        texts = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}
+        rows = m.op11_secret_scan(spark, sf).collect()
+        assert len(rows) == len(texts)
+        total = 0
+        for r in rows:
+            want = base(texts[r.doc_id])
+            total += len(want)
+            assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in m.BASE)
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+            spans = r.spans.split(",") if r.spans else []
+            assert [x for x in spans if not x.startswith("like_")] == want and len(spans) == len(want) + r.n_added
+        assert total >= least
