@@ -37,13 +37,15 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.similar_sets(docs, shingle=5, num=80, den=100)
-    # A document without words, or a component without any id, has nothing that it could be a copy of.
-    copies = found.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull())
-    spoken = copies.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
-    gone = copies.select("row").distinct().join(spoken.select("row").distinct(), "row", "left_anti")
-    kept = docs.select(*COLUMNS).withColumn("row", c.row_key()).join(gone, "row", "left_anti")
-    return kept.dropDuplicates(["row"]).select(*COLUMNS)
+    # The key of a row stands for its id, as rows with equal doc_id and other text are documents of their own.
+    docs = docs.select(*COLUMNS).withColumn("row", c.row_key())
+    found = jaccard_join.similar_sets(docs.select(F.col("row").alias("doc_id"), "text"), shingle=5, num=80, den=100)
+    # A document without words has nothing that it could be a copy of.
+    copies = found.filter(F.col("n_shingles") > 0).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct()
+    copies = copies.join(docs.select("row", "doc_id"), "row")
+    spoken = copies.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = copies.select("row").distinct().join(spoken.select("row"), "row", "left_anti")
+    return docs.join(gone, "row", "left_anti").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

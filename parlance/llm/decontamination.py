@@ -14,7 +14,8 @@ searched.  Where the bound would be 0 or less for ``Q`` (20 to 23 characters), s
 q-grams of ``SHORT_Q`` are counted.  An item of fewer than ``Q`` characters has no edit
 budget: it is searched whole, and counts where neither neighbour is a letter or digit.
 Null and blank items are skipped, null documents have no hit, and whole texts are searched
-however long: shared q-grams are expanded ``EXPAND`` at a time.  Repeated rows have the
+however long: shared q-grams are expanded ``EXPAND`` at a time, and counted
+by diagonal, so memory grows with the text and not with how often its q-grams repeat.  Repeated rows have the
 same hits each; of equally good places the first counts; a null doc_id or item_id stays
 null.  Columns other than those named aren't read.
 """
@@ -33,6 +34,8 @@ Q, SHORT_Q = 12, 8
 EDITS = 0.05
 #: Shared q-grams of a document that are at hand at once while they're counted by item.
 EXPAND = 1 << 21
+#: Diagonals whose hits are counted at once; one item's are, however many.
+HISTOGRAM = 1 << 20
 BLOCK_CHARS = 2_000_000
 _FILTER_BITS = 22
 
@@ -128,26 +131,28 @@ class Index:
         counts = np.zeros(len(self.items), np.int64)
         for item, _, _ in g.shared(x):
             counts += np.bincount(item, minlength=len(counts))
-        enough = counts >= self.need
-        if not enough.any():
-            return
-        parts = []
-        for item, at, place in g.shared(x):
-            keep = enough[item]
-            parts.append((item[keep], place[keep] - at[keep]))
-        item, diagonal = map(np.concatenate, zip(*parts))
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        for s, t in zip(*c.stretches(item, np.ones(len(item), bool))):
-            i = int(item[s])
-            e = budget(len(self.items[i]))
-            best = None
-            for start, end in bands(diagonal[s:t], int(self.need[i]), e):
-                found = aligned(self.items[i], x, start, end, e)
-                if found and (best is None or found[2] < best[2]):
-                    best = found
-            if best:
-                yield i, *best
+        enough = np.flatnonzero(counts >= self.need)
+        longest = max((len(self.items[i]) for i in enough), default=0)
+        span = len(x) + longest  # diagonals from -longest to the text's end
+        # Hits are counted by diagonal, for a few items at a time, so what is held grows with the text, not with items times text.
+        for at in range(0, len(enough), max(1, HISTOGRAM // span) if span else 1):
+            some = enough[at : at + max(1, HISTOGRAM // span)]
+            slot = np.full(len(self.items), -1)
+            slot[some] = np.arange(len(some))
+            hits = np.zeros(len(some) * span, np.int32)
+            for item, place, where in g.shared(x):
+                mine = slot[item]
+                keep = mine >= 0
+                hits += np.bincount(mine[keep] * span + where[keep] - place[keep] + longest, minlength=len(hits)).astype(np.int32)
+            for i, row in zip(some.tolist(), hits.reshape(len(some), span)):
+                e = budget(len(self.items[i]))
+                best = None
+                for start, end in bands(row, int(self.need[i]), e):
+                    found = aligned(self.items[i], x, start - longest, end - longest, e)
+                    if found and (best is None or found[2] < best[2]):
+                        best = found
+                if best:
+                    yield i, *best
 
     def _whole(self, g: Grams, x: np.ndarray):
         first: dict[int, int] = {}
@@ -160,16 +165,19 @@ class Index:
             yield i, p, p + g.q, 0
 
 
-def bands(diagonals: np.ndarray, need: int, e: int) -> list[tuple[int, int]]:
-    """Ranges of diagonals covered by overlapping bands, e + 1 wide, that hold at least ``need`` of the ordered hits."""
-    if len(diagonals) < need:
-        return []
-    first, last = diagonals[: len(diagonals) - need + 1], diagonals[need - 1 :]
-    ok = last - first <= e
+def bands(hits: np.ndarray, need: int, e: int) -> list[tuple[int, int]]:
+    """Ranges of diagonals covered by overlapping bands, e + 1 wide, that hold at least ``need`` of the hits, given their number on each diagonal."""
+    first = np.flatnonzero(hits)
+    upto = np.cumsum(hits[first], dtype=np.int64)
+    # The hits of a band that begins on a diagonal, from each of those on it, are the next ``need``: the last such that still fits counts.
+    reach = np.searchsorted(first, first + e, side="right") - 1
+    begin = np.minimum(upto - 1, upto[reach] - need)
+    ok = begin >= upto - hits[first]
     if not ok.any():
         return []
+    last = first[np.searchsorted(upto, begin[ok] + need - 1, side="right")]
     # A path of at most e edits stays within e of the diagonals that its band holds.
-    s, t = c.runs_of(first[ok] - e, last[ok] + e + 1)
+    s, t = c.runs_of(first[ok] - e, last + e + 1)
     return list(zip(s.tolist(), t.tolist()))
 
 

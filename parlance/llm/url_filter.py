@@ -6,14 +6,14 @@ labels from which a tree of path templates is learnt for each host.  Going down
 tree by one segment at a time:
 
 * where the segments below a parent are at least ``LEAST`` and at least ``VARIED`` of its
-  distinct paths, they are variable: those of fewer than ``LEAST`` paths become the
-  wildcard ``*``;
+  distinct paths, those of fewer than ``LEAST`` paths are variable.  Variable segments without a
+  label become the wildcard ``*``, and so do those with one if at least ``LEAST`` of them, and ``VARIED`` of all
+  variable ones, have labels: only labels spread over the values of a segment say something of its other values;
 * of the others, those without any label are one branch, ``*0``;
 * those with labels are put in order of their rates of blocked pages; neighbours whose
   rates a two-proportion z-test at ``Z`` doesn't tell apart are merged (``*1``, ``*2`` and
   so on in that order), and a branch that merges with none stays literal (``=`` and the
-  segment).  Every branch is tested, however rare, so a few labelled pages never
-  decide for a section that has none.
+  segment).  So a few labelled pages never decide for a section that has none.
 
 A template's purity is its rate of blocked among labelled pages, smoothed by
 ``SMOOTH`` of either kind; templates of a purity of ``REJECT`` or more are blocked, and
@@ -69,7 +69,12 @@ def branches(rows: DataFrame) -> DataFrame:
     child = rows.groupBy("host", "template", "segment").agg(F.count("*").alias("paths"), *counts)
     parent = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"))
     variable = (F.col("kinds") >= LEAST) & (F.col("kinds") >= F.col("all_paths") * VARIED) & (F.col("paths") < LEAST)
-    child = c.stored(child.join(parent, ["host", "template"]).withColumn("variable", variable).drop("kinds", "all_paths", "paths"))
+    child = child.join(parent, ["host", "template"]).withColumn("variable", variable)
+    spread = child.filter("variable").groupBy("host", "template").agg(F.count("*").alias("values"), F.count_if(F.col("labelled") > 0).alias("known"))
+    told = (F.col("known") >= LEAST) & (F.col("known") >= F.col("values") * VARIED)
+    child = child.join(spread.filter(told).select("host", "template", F.lit(True).alias("told")), ["host", "template"], "left")
+    child = child.withColumn("variable", F.col("variable") & ((F.col("labelled") == 0) | F.col("told").isNotNull()))
+    child = c.stored(child.drop("kinds", "all_paths", "paths", "told"))
     # Branches with the same counts can't be told apart, so a parent has one row for each pair of counts.
     alike = child.filter("NOT variable AND labelled > 0").groupBy("host", "template", "blocked", "labelled").agg(F.count("*").alias("same"))
     by_rate = Window.partitionBy("host", "template").orderBy(F.col("blocked") / F.col("labelled"), "blocked", "labelled")

@@ -104,6 +104,15 @@ def test_clashing_and_odd_rows(spark):
     assert 0 < out.count() <= odd.count()
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    words = [f"{x}{i}" for x in "abc" for i in range(40)]
+    one, two, three = " ".join(words[:40]), " ".join(words[40:80]), " ".join(words[80:])
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (1, two, "en", "s", 1), (2, two + " more", "en", "s", 1), (None, three, "en", "s", 1), (None, one + " x", "en", "s", 1), (0, three + " y", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in p.keep_one_of_near_copies(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (0, three + " y")], key=str)
+
+
 def test_without_any_label_all_stay(spark):
     docs = read_table(spark, SF, "documents").withColumn("lang", F.lit(None).cast("string"))
     assert p.keep_known_language(spark, docs, SF).count() == docs.count()

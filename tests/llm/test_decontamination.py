@@ -85,3 +85,25 @@ def test_query_finds_exact_passages(spark):
     form = lambda t: " ".join(t.lower().split())
     exact = {(d, i) for d, t in docs for i, s in items if form(s) in form(t)}
     assert exact and exact == {k for k, e in got.items() if e == 0}
+
+
+def test_bands_hold_all_windows_with_enough_hits():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        at = np.sort(rng.integers(0, 60, rng.integers(0, 40)))
+        need, e = int(rng.integers(1, 9)), int(rng.integers(0, 6))
+        want = set()
+        for k in range(len(at) - need + 1):
+            if at[k + need - 1] - at[k] <= e:
+                want |= set(range(at[k] - e, at[k + need - 1] + e + 1))
+        got = m.bands(np.bincount(at, minlength=61), need, e)
+        assert {x for s, t in got for x in range(s, t)} == want
+
+
+def test_repeated_characters_take_little_memory():
+    import subprocess
+    import sys
+
+    code = "from parlance.llm import decontamination as m; i = m.Index.build(['a' * 2000, 'ab' * 500]); print(i.hits('a' * 200_000), m.__name__); import resource; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split("\n")
+    assert out[0].startswith("[(0, 0, 2000, 0)]") and int(out[1]) < 500_000  # KB

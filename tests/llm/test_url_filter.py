@@ -41,8 +41,11 @@ def brute(rows, rules=m.RULES):
         for parent, kids in below.items():
             varied = len(kids) >= m.LEAST and len(kids) >= m.VARIED * sum(x[0] for x in kids.values())
             rates = Counter()
+            rare = [l for paths, _, l in kids.values() if varied and paths < m.LEAST]
+            known = sum(l > 0 for l in rare)
+            spread = known >= m.LEAST and known >= m.VARIED * len(rare)
             for seg, (paths, b, l) in kids.items():
-                if varied and paths < m.LEAST:
+                if varied and paths < m.LEAST and (spread or not l):
                     part[parent, seg] = "*"
                 elif not l:
                     part[parent, seg] = "*0"
@@ -102,6 +105,20 @@ def test_clean_sections_of_small_hosts_stay(spark):
     assert found["/fr/1"][5] == found["/*/1"][5] != found["/es/1"][5]
 
 
+def test_rare_clean_sections_beside_a_blocked_one_stay(spark):
+    urls = [f"http://a.example.com/en/{i}" for i in range(4)] + [f"http://a.example.com/{x}/1" for x in ("fr", "de", "it", "pt", "nl")]
+    found = {r[2]: r[4] for r in got(m.judged(spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], SCHEMA)))}
+    assert {path: verdict == "block" for path, verdict in found.items()} == {path: path.startswith("/en/") for path in found}
+
+
+def test_labels_spread_over_a_variable_segment_judge_its_other_values(spark):
+    rules = tuple(("block", f"h.com/u/{i}") for i in range(100, 130)) + (("allow", "h.com/u/99"),)
+    urls = [f"http://h.com/u/{i}/p" for i in range(95, 140)] + [f"http://h.com/about/{i}" for i in range(30)]
+    found = {r[2]: (r[3], r[4]) for r in got(m.judged(spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], SCHEMA), rules))}
+    assert all(found[f"/u/{i}/p"] == (None, "block") for i in (95, 135, 139)) and found["/u/99/p"][1] == "allow"
+    assert all(found[f"/about/{i}"] == (None, "allow") for i in range(30))
+
+
 def test_similar_branches_merge(spark):
     rules = tuple(("block", f"h.com/{x}/b") for x in "pq") + (("allow", "h.com/r/a"), ("allow", "h.com/p/a"), ("allow", "h.com/q/a"))
     urls = [f"http://h.com/{x}/{y}{i}" for x in "pqr" for y in "ab" for i in range(30)]
