@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The fields of each template, as (kind, JSON field).  Text fields may be missing,
@@ -17,6 +17,8 @@ FIELDS = {
 }
 #: Members of the structs in an array; those that an item must have as text come first, then how many these are.
 MEMBERS = {"tasks": (("task", "owner", "due"), 1), "quotes": (("speaker", "quote", "context"), 2), "definitions": (("term", "definition"), 2)}
+#: An answer that couldn't be parsed, and that to a user's own template: text as it is.
+FREE_TEXT, CUSTOM = "freeText", "custom"
 KINDS = {name: kind for fields in FIELDS.values() for kind, name in fields}
 
 
@@ -65,20 +67,30 @@ def _field(v: Column, kind: str, name: str) -> Column:
     return F.filter(rows, lambda x: F.array_size(F.filter(F.array(*(x[m] for m in members[:needed])), lambda y: y.isNull())) == 0)
 
 
-def parsed(template: Column, raw: Column) -> Column:
-    """struct<payload, error> of a model's answer: one of both is null.
+def with_payload(df: DataFrame, template: Column, raw: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, struct<payload, error> of a model's answer: one of both is null.
 
     The payload has ``summary``, which must be a string, and the fields of all templates; those that
     aren't of this template are null.  Items of a wrong type, or without a member they need, are dropped.
+    Templates ``freeText`` and ``custom`` take any answer as it is, as their ``text``.
+
+    The object is found and parsed once, in columns of their own, as each field reads it.
     """
-    block = first_object(raw)
-    v = F.try_parse_json(block)
-    summary = _text(v, "$.summary")
+    free = F.coalesce(template.isin(FREE_TEXT, CUSTOM), F.lit(False))
+    df = df.withColumns({"_template": template, "_raw": raw, "_free": free})
+    df = df.withColumn("_block", F.when(~F.col("_free"), first_object(F.col("_raw"))))
+    df = df.withColumn("_json", F.try_parse_json("_block"))
+    df = df.withColumn("_summary", _text(F.col("_json"), "$.summary"))
     error = (
-        F.when(block.isNull(), "no JSON object found in response")
-        .when(v.isNull(), "invalid JSON")
-        .when(summary.isNull(), "missing required field `summary`")
-        .when(~template.isin(*FIELDS), F.concat(F.lit("unknown template: "), template))
+        F.when(F.col("_free"), None)
+        .when(F.col("_block").isNull(), "no JSON object found in response")
+        .when(F.col("_json").isNull(), "invalid JSON")
+        .when(F.col("_summary").isNull(), "missing required field `summary`")
+        .when(~F.col("_template").isin(*FIELDS), F.concat(F.lit("unknown template: "), "_template"))
     )
-    fields = [F.when(template.isin(*(t for t, fs in FIELDS.items() if any(n == name for _, n in fs))), _field(v, kind, name)).alias(name) for name, kind in KINDS.items()]
-    return F.struct(F.when(error.isNull(), F.struct(summary.alias("summary"), *fields)).alias("payload"), error.alias("error"))
+    of = lambda name: F.col("_template").isin(*(t for t, fs in FIELDS.items() if any(n == name for _, n in fs)))
+    fields = [F.when(of(field), _field(F.col("_json"), kind, field)).alias(field) for field, kind in KINDS.items()]
+    content = F.struct(F.col("_summary").alias("summary"), F.when(F.col("_free"), F.col("_raw")).alias("text"), *fields)
+    df = df.withColumn("_error", error)
+    both = F.struct(F.when(F.col("_error").isNull(), content).alias("payload"), F.col("_error").alias("error"))
+    return df.withColumn(name, both).drop("_template", "_raw", "_free", "_block", "_json", "_summary", "_error")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as t
-from parlance.functions.payload import FIELDS
+from parlance.functions.payload import CUSTOM, FIELDS, FREE_TEXT
 
 # Headings in Markdown, and in a summary's plain text.
 HEADINGS = {
@@ -92,8 +92,9 @@ def _by_template(template: Column, of) -> Column:
 
 
 def summary_markdown(template: Column, payload: Column) -> Column:
-    """A summary's body; a template without fields of its own has none."""
-    return _by_template(template, lambda name: _concat(payload["summary"], "\n\n", *(_section(name, kind, field, payload) for kind, field in FIELDS[name])))
+    """A summary's body; free text stands as it is, and a template without fields of its own has none."""
+    free = _concat(payload["text"], "\n\n")
+    return F.when(template == FREE_TEXT, free).otherwise(_by_template(template, lambda name: _concat(payload["summary"], "\n\n", *(_section(name, kind, field, payload) for kind, field in FIELDS[name]))))
 
 
 def summary_text(template: Column, payload: Column) -> Column:
@@ -120,7 +121,7 @@ def summary_text(template: Column, payload: Column) -> Column:
 
 
 def clipboard_text(template: Column, payload: Column) -> Column:
-    """A summary as bulleted text; sections without an item are left out."""
+    """A summary as bulleted text; sections without an item are left out.  Free text, also that of a user's template, is copied as it is."""
 
     def section(kind, field):
         x, head = payload[field], f"\n{HEADINGS[field]}\n"
@@ -134,7 +135,7 @@ def clipboard_text(template: Column, payload: Column) -> Column:
         }[kind]
         return F.when(F.size(x) > 0, _concat(head, _lines(x, line)))
 
-    return _by_template(template, lambda name: F.concat_ws("\n", F.nullif(payload["summary"], F.lit("")), *(section(kind, field) for kind, field in FIELDS[name])))
+    return F.when(template.isin(FREE_TEXT, CUSTOM), payload["text"]).otherwise(_by_template(template, lambda name: F.concat_ws("\n", F.nullif(payload["summary"], F.lit("")), *(section(kind, field) for kind, field in FIELDS[name]))))
 
 
 def schema_text(template: str) -> str:

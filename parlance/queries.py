@@ -618,7 +618,7 @@ def _(spark, sf):
 @query("t14_typed_payloads", _ANSWERS + """SELECT doc_id, error, CASE WHEN error IS NULL THEN md5(text) END AS summary, CASE WHEN error IS NULL AND template = 'general' THEN 'a,' || lang END AS points,
   CASE WHEN error IS NULL AND template = 'general' THEN 'call/' || source END AS tasks, CASE WHEN error IS NULL AND template = 'lecture' THEN 0::BIGINT END AS definitions FROM a""")
 def _(spark, sf):
-    df = _answers(spark, sf).select("doc_id", payload.parsed(F.col("template"), F.col("raw")).alias("p")).select("doc_id", "p.error", "p.payload.*")
+    df = payload.with_payload(_answers(spark, sf), F.col("template"), F.col("raw"), "p").select("doc_id", "p.error", "p.payload.*")
     tasks = F.array_join(F.transform("actionItems", lambda x: F.concat_ws("/", x["task"], x["owner"])), ",")
     count = F.when(F.col("definitions").isNotNull(), F.size("definitions").cast("long"))
     return df.select("doc_id", "error", F.md5("summary").alias("summary"), F.array_join("keyPoints", ",").alias("points"), tasks.alias("tasks"), count.alias("definitions"))
@@ -649,7 +649,8 @@ def _digests(spark, sf):
     """One summary a meeting, of three templates in turn."""
     template = F.element_at(F.array(F.lit("general"), F.lit("interview"), F.lit("custom")), (F.col("meeting_id") % 3 + 1).cast("int"))
     raw = F.lit('{"summary": "It went well.", "keyPoints": ["one", "two"], "actionItems": [{"task": "call", "owner": "Ana", "due": "May"}, {"task": "write"}], "quotes": [{"speaker": "Bo", "quote": "Yes", "context": "end"}, {"speaker": "Cy", "quote": "No"}], "themes": ["**bold**"]}')
-    return p.meetings(spark, sf).filter("meeting_id % 4 <> 0").select("meeting_id", template.alias("template"), payload.parsed(F.when(template == "custom", "general").otherwise(template), raw)["payload"].alias("payload"))
+    m = p.meetings(spark, sf).filter("meeting_id % 4 <> 0").select("meeting_id", template.alias("template"), raw.alias("raw"))
+    return payload.with_payload(m, F.col("template"), F.col("raw"), "parsed").select("meeting_id", "template", F.col("parsed.payload").alias("payload"))
 
 
 _EXPORT = _NAMED.rstrip() + r""",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,19 +21,28 @@ def names(spark: SparkSession, folder: str) -> list[str]:
 
 
 def create(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
-    """A small file with this text, whole or not at all; fails if it's there, unless it may be replaced."""
+    """A small file with this text, whole or not at all; fails if it's there, unless it may be replaced.
+
+    It's written beside its place and renamed in one step, which replaces what is there or fails if something is; readers see
+    the old file or the new one.  File systems whose renames aren't atomic, such as object stores, don't give that.
+    """
     fs, p = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.part")
+    jvm = spark._jvm
+    part = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if replace:
-        fs.delete(p, False)
-    elif fs.exists(p):
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE if replace else rename.NONE
+    full = fs.makeQualified(p)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), full, how)
+    except Py4JJavaError as e:
         fs.delete(part, False)
-        raise FileExistsError(path)
-    if not fs.rename(part, p):
-        raise FileExistsError(path)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise FileExistsError(path) from e
+        raise
 
 
 def read(spark: SparkSession, path: str) -> str:
@@ -50,13 +61,19 @@ def read_json(spark: SparkSession, path: str) -> dict:
 def write_files(files: DataFrame, folder: str) -> None:
     """Rows (name, body binary) as files of a folder, each whole or not at all.
 
-    Executors write them by pyarrow's file systems, so the folder must be one that all of them share.
+    Executors write them by pyarrow's file systems, so the folder must be one that all of them share: one without a scheme
+    is on the default file system, and a local one is refused where Spark runs on more than one machine.
     """
+    spark = files.sparkSession
+    fs_, p = _fs(spark, folder)
+    folder = fs_.makeQualified(p).toString()
+    if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors don't share a local folder")
 
     def put(rows):
         from pyarrow import fs
 
-        target, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        target, top = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith("file:") else fs.FileSystem.from_uri(folder)
         target.create_dir(top, recursive=True)
         for r in rows:
             with target.open_output_stream(f"{top}/.{r.name}.part") as out:

@@ -1,9 +1,9 @@
-"""A store of meetings as versioned Parquet snapshots, with the changes of ``operators.dml``.
+"""A store of meetings in bucketed, versioned tables (``sources.buckets``), with the changes of ``operators.dml``.
 
-Each table is a folder of snapshots, and a version is a small file ``versions/<n>.json`` that names the
-snapshot of each table.  A change writes new snapshots of the tables it touches and then the next
-version file, which fails if another writer was first; readers keep the version they have opened.
-So a change is seen whole or not at all.  Snapshots of old versions stay until ``vacuum``.
+All that belongs to a meeting lies in the bucket of its id, so a change of one meeting writes one bucket of each table it
+touches.  A change works against one version, read once before anything else, and fails with ``Conflict``
+if another writer's came in between; whoever calls may then try again.  Files of old versions stay until ``vacuum``.
+A segment's id is unique in the whole store: new ones are looked up among the ids of all segments, one column.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance import schema
-from parlance.functions.payload import parsed
+from parlance.functions.payload import with_payload
 from parlance.functions.render import exports
 from parlance.functions.text import normal_label
 from parlance.operators import dml, ordered
 from parlance.operators.search import search, with_snippets
-from parlance.sources import paths
+from parlance.sources.buckets import BUCKETS, Buckets, Version
 
 SCHEMAS = {**schema.TABLES, "templates": schema.TEMPLATES}
 LIMIT = 20
@@ -34,131 +34,152 @@ class Invalid(ValueError):
     pass
 
 
+KEYS = {"meetings": "id", "templates": "id"}
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root = spark, root.rstrip("/")
+        self.data = Buckets(spark, self.root, {t: (s, KEYS.get(t, "meeting_id")) for t, s in SCHEMAS.items()}, buckets)
 
     # --- versions --------------------------------------------------------------------------
 
     def version(self) -> int:
-        found = [int(x.removesuffix(".json")) for x in paths.names(self.spark, f"{self.root}/versions") if x.endswith(".json") and not x.startswith(".")]
-        return max(found, default=0)
+        return self.data.latest()
 
-    def _heads(self, version: int | None = None) -> dict[str, str]:
-        n = self.version() if version is None else version
-        return paths.read_json(self.spark, f"{self.root}/versions/{n:09d}.json") if n else {}
+    def base(self) -> Version:
+        """The version that a change starts from."""
+        return self.data.version(self.version())
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
+    def table(self, name: str, version: int | Version | None = None) -> DataFrame:
         """A table as of a version, by default the last."""
-        head = self._heads(version).get(name)
-        if head is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{head}")
-
-    def commit(self, **changed: DataFrame) -> int:
-        """A new version in which these tables are replaced."""
-        base = self.version()
-        heads = self._heads(base)
-        for name, df in changed.items():
-            heads[name] = uuid.uuid4().hex
-            wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
-            df.select(*(F.col(f.name).cast(f.dataType) for f in wanted)).write.parquet(f"{self.root}/{name}/{heads[name]}")
-        import json
-
-        paths.create(self.spark, f"{self.root}/versions/{base + 1:09d}.json", json.dumps(heads))
-        return base + 1
+        v = version if isinstance(version, Version) else self.data.version(self.version() if version is None else version)
+        return self.data.read(name, v)
+
+    def compact(self) -> None:
+        """One file for each bucket that has several."""
+        self.data.compacted(self.base())
 
     def vacuum(self, keep: int = 1) -> None:
-        """Deletes snapshots that none of the last versions uses."""
-        last = self.version()
-        used = {(t, h) for n in range(max(1, last - keep + 1), last + 1) for t, h in self._heads(n).items()}
-        for name in SCHEMAS:
-            for head in paths.names(self.spark, f"{self.root}/{name}"):
-                if (name, head) not in used:
-                    paths.delete(self.spark, f"{self.root}/{name}/{head}")
+        """Deletes files that none of the last versions uses."""
+        self.data.vacuum(keep)
+
+    def _part(self, name: str, base: Version, key) -> tuple[DataFrame, list[int]]:
+        """The bucket of a table that holds a key."""
+        buckets = self.data.buckets_of(base, [key])
+        return self.data.read(name, base, buckets), buckets
+
+    def _touched(self, base: Version, name: str, rows: DataFrame, key: str) -> tuple[DataFrame, list[int]]:
+        """The buckets of a table that rows with this key lie in; there are no more than buckets of a table."""
+        found = rows.select(self.data.bucket(name, base, F.col(key)).alias("b")).distinct().collect()
+        buckets = sorted(r.b for r in found)
+        return self.data.read(name, base, buckets), buckets
 
     def _rows(self, name: str, rows: list[dict]) -> DataFrame:
         empty = self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.createDataFrame([tuple(r.get(c) for c in empty.columns) for r in rows], empty.schema)
 
-    def _has(self, name: str, where) -> bool:
-        return bool(self.table(name).filter(where).limit(1).count())
+    def _has(self, name: str, base: Version, key, where) -> bool:
+        return bool(self._part(name, base, key)[0].filter(where).limit(1).count())
 
-    def _need(self, meeting_id: str) -> None:
-        if not self._has("meetings", F.col("id") == meeting_id):
+    def _need(self, meeting_id: str, base: Version) -> None:
+        if not self._has("meetings", base, meeting_id, F.col("id") == meeting_id):
             raise NotFound(f"meeting {meeting_id}")
 
     # --- meetings --------------------------------------------------------------------------
 
     def create(self, meeting_id: str, title: str, started_at, sample_rate_hz: int = 16000, channels: int = 1) -> None:
         """A meeting that isn't finished; its counters are 0."""
-        if self._has("meetings", F.col("id") == meeting_id):
+        base = self.base()
+        if self._has("meetings", base, meeting_id, F.col("id") == meeting_id):
             raise Invalid(f"meeting {meeting_id} exists")
         row = {"id": meeting_id, "title": title, "started_at": started_at, "duration_ms": 0, "segment_count": 0, "sample_rate_hz": sample_rate_hz, "channels": channels}
-        self.commit(meetings=self.table("meetings").unionByName(self._rows("meetings", [row])))
+        self.data.changed(base, added={"meetings": self._rows("meetings", [row])})
 
     def upsert_speakers(self, changes: DataFrame) -> None:
         """``changes`` (meeting_id, slot, id, label, seq): first id of a slot stays, last label that isn't null counts."""
-        self.commit(speakers=dml.upsert_speakers(self.table("speakers"), changes))
+        base = self.base()
+        old, buckets = self._touched(base, "speakers", changes, "meeting_id")
+        self.data.changed(base, {"speakers": (dml.upsert_speakers(old, changes), buckets)})
 
     def append_segments(self, segments: DataFrame) -> None:
         """Adds segments whose ids are new, and counts those of their meetings anew.  An empty batch changes nothing."""
         if not segments.limit(1).count():
             return
-        after = dml.append_new(self.table("segments"), segments, "id", ["start_ms", "end_ms", "text"])
-        touched = segments.select("meeting_id").distinct()
-        counts = after.join(touched, "meeting_id", "left_semi").groupBy(F.col("meeting_id").alias("id")).agg(F.count("*").alias("segment_count"))
-        self.commit(segments=after, meetings=dml.patched(self.table("meetings"), counts, "id"))
+        base = self.base()
+        new = self.new_segments(base, segments, ["start_ms", "end_ms", "text"])
+        old, _ = self._touched(base, "segments", segments, "meeting_id")
+        meetings, buckets = self._touched(base, "meetings", segments, "meeting_id")
+        every = old.select("meeting_id").unionByName(new.select("meeting_id")).join(segments.select("meeting_id").distinct(), "meeting_id", "left_semi")
+        counts = every.groupBy(F.col("meeting_id").alias("id")).agg(F.count("*").alias("segment_count"))
+        self.data.changed(base, {"meetings": (dml.patched(meetings, counts, "id"), buckets)}, {"segments": new})
+
+    def new_segments(self, base: Version, segments: DataFrame, order: list) -> DataFrame:
+        """The first of each id that no segment of the store has."""
+        first = ordered.best_per_key(segments, ["id"], order)
+        return first.join(self.data.read("segments", base).select("id"), "id", "left_anti")
 
     def finalize(self, meeting_id: str, ended_at=None, duration_ms: int | None = None, language: str | None = None, segment_count: int | None = None) -> None:
         """Sets what is given; the rest stays."""
-        self._need(meeting_id)
+        base = self.base()
+        self._need(meeting_id, base)
         patch = self._rows("meetings", [{"id": meeting_id, "ended_at": ended_at, "duration_ms": duration_ms, "language": language, "segment_count": segment_count}])
-        self.commit(meetings=dml.patched(self.table("meetings"), patch.select("id", "ended_at", "duration_ms", "language", "segment_count"), "id"))
+        old, buckets = self._part("meetings", base, meeting_id)
+        self.data.changed(base, {"meetings": (dml.patched(old, patch.select("id", "ended_at", "duration_ms", "language", "segment_count"), "id"), buckets)})
 
     def list(self, limit: int = 0) -> DataFrame:
         """Finished meetings, newest first; a limit of 0 is none."""
         df = self.table("meetings").filter("ended_at IS NOT NULL").orderBy(F.desc("started_at"), "id")
         return df.limit(limit) if limit else df
 
-    def header(self, meeting_id: str) -> DataFrame:
-        return self.table("meetings").filter(F.col("id") == meeting_id)
+    def header(self, meeting_id: str, base: Version | None = None) -> DataFrame:
+        return self._part("meetings", base or self.base(), meeting_id)[0].filter(F.col("id") == meeting_id)
+
+    def _of(self, name: str, meeting_id: str, base: Version | None = None) -> DataFrame:
+        return self._part(name, base or self.base(), meeting_id)[0].filter(F.col("meeting_id") == meeting_id)
 
     def get(self, meeting_id: str) -> DataFrame:
         """One row: the meeting with its segments by time, speakers by slot and notes by time; none if there's no such meeting."""
-        mine = F.col("meeting_id") == meeting_id
-        out = self.header(meeting_id)
+        base = self.base()
+        out = self.header(meeting_id, base)
         for name, order, rest in (("segments", ["start_ms", "id"], ["end_ms", "text", "speaker_id", "confidence"]), ("speakers", ["slot", "id"], ["label"]), ("notes", ["timestamp_ms", "id"], ["text", "created_at"])):
-            rows = self.table(name).filter(mine).groupBy(F.col("meeting_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+            rows = self._of(name, meeting_id, base).groupBy(F.col("meeting_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
             out = out.join(rows, "id", "left").withColumn(name, F.coalesce(name, F.array()))
         return out
 
     def export(self, meeting_id: str, style: str = "markdown", template: str | None = None) -> DataFrame:
         """(meeting_id, body): the meeting with its last summary, of any template or of one, as a document."""
-        self._need(meeting_id)
-        mine = F.col("meeting_id") == meeting_id
-        names = self.table("speakers").filter(mine)
-        said = self.table("segments").filter(mine).withColumnRenamed("id", "seg_id")
+        base = self.base()
+        self._need(meeting_id, base)
+        names = self._of("speakers", meeting_id, base)
+        said = self._of("segments", meeting_id, base).withColumnRenamed("id", "seg_id")
         label = names.select(F.col("id").alias("speaker_id"), F.coalesce("label", F.concat(F.lit("Speaker "), F.col("slot") + 1)).alias("speaker"))
-        digests = self.summary(meeting_id, template).select("meeting_id", "template", parsed(F.col("template"), F.col("payload"))["payload"].alias("payload"))
-        head = self.header(meeting_id).select(F.col("id").alias("meeting_id"), "title", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), "duration_ms", "language", "segment_count")
-        notes = self.table("notes").filter(mine).withColumnRenamed("id", "note_id")
+        digests = with_payload(self.summary(meeting_id, template, base), F.col("template"), F.col("payload"), "parsed").select("meeting_id", "template", F.col("parsed.payload").alias("payload"))
+        head = self.header(meeting_id, base).select(F.col("id").alias("meeting_id"), "title", F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), "duration_ms", "language", "segment_count")
+        notes = self._of("notes", meeting_id, base).withColumnRenamed("id", "note_id")
         return exports(head, said.join(label, "speaker_id", "left"), names, notes, digests, style)
 
     def rename(self, meeting_id: str, title: str) -> bool:
         """Whether there is such a meeting."""
-        found = self._has("meetings", F.col("id") == meeting_id)
+        base = self.base()
+        mine = F.col("id") == meeting_id
+        found = self._has("meetings", base, meeting_id, mine)
         if found:
-            self.commit(meetings=dml.set_where(self.table("meetings"), F.col("id") == meeting_id, "title", F.lit(title)))
+            old, buckets = self._part("meetings", base, meeting_id)
+            self.data.changed(base, {"meetings": (dml.set_where(old, mine, "title", F.lit(title)), buckets)})
         return found
 
     def delete(self, meeting_id: str) -> bool:
         """Removes a meeting and all that belongs to it; whether it was there."""
-        found = self._has("meetings", F.col("id") == meeting_id)
+        base = self.base()
+        mine = F.col("id") == meeting_id
+        found = self._has("meetings", base, meeting_id, mine)
         if found:
-            gone = self.header(meeting_id).select(F.col("id").alias("meeting_id"))
-            rest = {n: self.table(n) for n in ("segments", "speakers", "summaries", "notes")}
-            self.commit(meetings=self.table("meetings").filter(F.col("id") != meeting_id), **dml.delete_cascade(rest, gone))
+            gone = self._rows("segments", [{"meeting_id": meeting_id}]).select("meeting_id")
+            parts = {n: self._part(n, base, meeting_id) for n in ("segments", "speakers", "summaries", "notes")}
+            rest = dml.delete_cascade({n: df for n, (df, _) in parts.items()}, gone)
+            old, buckets = self._part("meetings", base, meeting_id)
+            self.data.changed(base, {"meetings": (old.filter(~mine), buckets), **{n: (df, parts[n][1]) for n, df in rest.items()}})
         return found
 
     def status(self) -> dict:
@@ -167,7 +188,7 @@ class Store:
     # --- speakers --------------------------------------------------------------------------
 
     def speakers(self, meeting_id: str) -> DataFrame:
-        return self.table("speakers").filter(F.col("meeting_id") == meeting_id).orderBy("slot")
+        return self._of("speakers", meeting_id).orderBy("slot")
 
     def rename_speaker(self, meeting_id: str, speaker_id: str, label: str | None) -> bool:
         """Blank labels are null; a label of over 80 characters is refused.  Whether that meeting has that speaker."""
@@ -175,49 +196,58 @@ class Store:
         if not fine:
             raise Invalid("the label is too long")
         key = (F.col("meeting_id") == meeting_id) & (F.col("id") == speaker_id)
-        found = self._has("speakers", key)
+        base = self.base()
+        found = self._has("speakers", base, meeting_id, key)
         if found:
-            self.commit(speakers=dml.set_where(self.table("speakers"), key, "label", F.lit(stored).cast("string")))
+            old, buckets = self._part("speakers", base, meeting_id)
+            self.data.changed(base, {"speakers": (dml.set_where(old, key, "label", F.lit(stored).cast("string")), buckets)})
         return found
 
     # --- search ----------------------------------------------------------------------------
 
     def search(self, query: str, limit: int = LIMIT) -> DataFrame:
         """Ranked hits, one a meeting, with the meeting's title and a snippet."""
-        s = self.table("segments").withColumnRenamed("id", "seg_id")
+        base = self.base()
+        s = self.table("segments", base).withColumnRenamed("id", "seg_id")
         hits = with_snippets(search(s, query, limit), query)
-        heads = self.table("meetings").select(F.col("id").alias("meeting_id"), "title", "started_at")
+        heads = self.table("meetings", base).select(F.col("id").alias("meeting_id"), "title", "started_at")
         return hits.join(heads, "meeting_id").select("meeting_id", "title", "started_at", "seg_id", "start_ms", "snippet", "rank").orderBy("rank", "seg_id")
 
     # --- summaries and notes ---------------------------------------------------------------
 
     def upsert_summary(self, meeting_id: str, summary: dict) -> None:
         """One summary for each template of a meeting: a new one replaces all of the old, its id too."""
-        self._need(meeting_id)
+        base = self.base()
+        self._need(meeting_id, base)
         row = self._rows("summaries", [{**summary, "meeting_id": meeting_id}]).withColumn("seq", F.lit(0).cast("long"))
-        self.commit(summaries=dml.upsert_last(self.table("summaries"), row, ["meeting_id", "template"]))
+        old, buckets = self._part("summaries", base, meeting_id)
+        self.data.changed(base, {"summaries": (dml.upsert_last(old, row, ["meeting_id", "template"]), buckets)})
 
-    def summary(self, meeting_id: str, template: str | None = None) -> DataFrame:
+    def summary(self, meeting_id: str, template: str | None = None, base: Version | None = None) -> DataFrame:
         """The last summary of a meeting, of any template or of one; no row if there's none."""
-        s = self.table("summaries").filter(F.col("meeting_id") == meeting_id)
+        s = self._of("summaries", meeting_id, base)
         s = s if template is None else s.filter(F.col("template") == template)
         return ordered.best_per_key(s, ["meeting_id"], [F.desc("created_at"), F.desc("id")])
 
     def add_note(self, meeting_id: str, text: str, timestamp_ms: int, created_at=None) -> str:
-        self._need(meeting_id)
+        base = self.base()
+        self._need(meeting_id, base)
         note = {"id": str(uuid.uuid4()), "meeting_id": meeting_id, "text": text, "timestamp_ms": timestamp_ms}
         row = self._rows("notes", [note]).withColumn("created_at", F.coalesce(F.lit(created_at).cast("timestamp"), F.timestamp_seconds(F.lit(time.time()))))
-        self.commit(notes=self.table("notes").unionByName(row))
+        self.data.changed(base, added={"notes": row})
         return note["id"]
 
     def notes(self, meeting_id: str) -> DataFrame:
-        return self.table("notes").filter(F.col("meeting_id") == meeting_id).orderBy("timestamp_ms", "id")
+        return self._of("notes", meeting_id).orderBy("timestamp_ms", "id")
 
     def delete_note(self, note_id: str) -> bool:
-        found = self._has("notes", F.col("id") == note_id)
+        """Whether there was such a note.  Its meeting isn't known, so it's looked up by id in all buckets; one is written."""
+        base = self.base()
+        found = self.data.read("notes", base).filter(F.col("id") == note_id).select("meeting_id").limit(1).collect()
         if found:
-            self.commit(notes=self.table("notes").filter(F.col("id") != note_id))
-        return found
+            old, buckets = self._part("notes", base, found[0].meeting_id)
+            self.data.changed(base, {"notes": (old.filter(F.col("id") != note_id), buckets)})
+        return bool(found)
 
     # --- templates -------------------------------------------------------------------------
 
@@ -230,18 +260,21 @@ class Store:
         row, wrong = dml.checked_template(row)
         if wrong:
             raise Invalid(wrong)
-        base = self.table("templates")
+        base = self.base()
         if template_id is None:
-            if base.count() >= dml.MOST_TEMPLATES:
+            if self.table("templates", base).count() >= dml.MOST_TEMPLATES:
                 raise Invalid(f"there are {dml.MOST_TEMPLATES} templates already")
-            self.commit(templates=base.unionByName(row))
+            self.data.changed(base, added={"templates": row})
         else:
-            if not self._has("templates", F.col("id") == template_id):
+            if not self._has("templates", base, template_id, F.col("id") == template_id):
                 raise NotFound(f"template {template_id}")
-            self.commit(templates=dml.patched(base, row, "id"))
+            old, buckets = self._part("templates", base, template_id)
+            self.data.changed(base, {"templates": (dml.patched(old, row, "id"), buckets)})
         return row.first()["id"]
 
     def delete_template(self, template_id: str) -> None:
-        if not self._has("templates", F.col("id") == template_id):
+        base = self.base()
+        if not self._has("templates", base, template_id, F.col("id") == template_id):
             raise NotFound(f"template {template_id}")
-        self.commit(templates=self.table("templates").filter(F.col("id") != template_id))
+        old, buckets = self._part("templates", base, template_id)
+        self.data.changed(base, {"templates": (old.filter(F.col("id") != template_id), buckets)})

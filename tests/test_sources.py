@@ -13,6 +13,7 @@ from parlance.functions import payload, render
 from parlance.functions import text as t
 from parlance.operators import dml
 from parlance.sources import files, paths, wav
+from parlance.sources.buckets import Conflict
 from parlance.sources.store import Invalid, NotFound, Store
 
 SEGMENT = "id string, meeting_id string, start_ms long, end_ms long, text string, speaker_id string, confidence double"
@@ -135,6 +136,41 @@ def test_a_second_writer_fails(spark, tmp_path):
     assert [r.id for r in a.table("meetings").collect()] == ["m"]
 
 
+def test_interleaved_writers(spark, tmp_path, monkeypatch):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    a.create("m", "x", None)
+    plain = dml.set_where
+
+    def late(*x):
+        monkeypatch.setattr(dml, "set_where", plain)
+        a.add_note("m", "between", 1)  # after b has read, before it writes
+        return plain(*x)
+
+    monkeypatch.setattr(dml, "set_where", late)
+    with pytest.raises(Conflict):
+        b.rename("m", "lost?")
+    assert a.header("m").first().title == "x" and a.notes("m").count() == 1
+    assert b.rename("m", "again") and a.header("m").first().title == "again" and a.notes("m").count() == 1
+
+
+def test_a_change_writes_one_bucket(spark, tmp_path):
+    s = Store(spark, str(tmp_path), buckets=8)
+    for i in range(6):
+        s.create(f"m{i}", "x", None)
+    s.append_segments(segments(spark, *((f"s{i}", f"m{i}", 0, "x") for i in range(6))))
+    before = s.base()
+    s.append_segments(segments(spark, ("t", "m3", 1, "y")))
+    after = s.base()
+    (mine,) = s.data.buckets_of(after, ["m3"])
+    for name in ("segments", "meetings"):
+        assert {b for b, x in after.files[name].items() if x != before.files[name].get(b)} == {mine}
+    assert len(after.files["segments"][mine]) == 2 and s.header("m3").first().segment_count == 2
+    s.compact()
+    assert all(len(x) == 1 for of in s.base().files.values() for x in of.values())
+    assert sorted(r.id for r in s.table("segments").collect()) == sorted([*(f"s{i}" for i in range(6)), "t"])
+    assert sorted(r.id for r in s.table("segments", before.number).collect()) == sorted(f"s{i}" for i in range(6))
+
+
 # --- files --------------------------------------------------------------------------------------
 
 
@@ -230,7 +266,7 @@ def test_typed_payloads(spark):
         ("interview", '{"summary": "s", "quotes": [{"speaker": "a", "quote": "b"}, {"speaker": "a"}]}'), ("salesCall", '{"summary": "s", "customerContext": 4, "dealStageIndicator": "late"}'),
         ("lecture", '{"summary": 4}'), ("lecture", '{"summary": "s", }'), ("other", '{"summary": "s"}'), ("general", "none"), ("general", None),
     ]
-    got = [r.p for r in spark.createDataFrame(rows, "t string, x string").select(payload.parsed(F.col("t"), F.col("x")).alias("p")).collect()]
+    got = [r.p for r in payload.with_payload(spark.createDataFrame(rows, "t string, x string"), F.col("t"), F.col("x"), "p").collect()]
     assert [g.error for g in got] == [None] * 3 + ["missing required field `summary`", "invalid JSON", "unknown template: other"] + ["no JSON object found in response"] * 2
     a, b, c = (g.payload for g in got[:3])
     assert a.keyPoints == ["a"] and [tuple(x) for x in a.actionItems] == [("t", None, None)] and a.decisions == [] and a.quotes is None
@@ -245,7 +281,7 @@ def test_summary_documents(spark):
         ("lecture", '{"summary": "s", "definitions": [{"term": "a", "definition": "b"}]}', "s\n\n### Definitions\n\n- **a**: b\n\n", "s\n\nDefinitions\n\n**a**: b\n\n"),
         ("sprintReview", '{"summary": "s", "risks": ["r"]}', "s\n\n### Risks\n\n- r\n\n", "s\n\nRisks\n\nr\n\n"),
     ]
-    df = spark.createDataFrame(rows, "t string, x string, md string, txt string").withColumn("p", payload.parsed(F.col("t"), F.col("x"))["payload"])
+    df = payload.with_payload(spark.createDataFrame(rows, "t string, x string, md string, txt string"), F.col("t"), F.col("x"), "p").withColumn("p", F.col("p.payload"))
     for r in df.select("md", "txt", render.summary_markdown(F.col("t"), F.col("p")).alias("a"), render.summary_text(F.col("t"), F.col("p")).alias("b")).collect():
         assert (r.a, r.b) == (r.md, r.txt)
 

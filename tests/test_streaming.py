@@ -174,11 +174,52 @@ def test_record_stream_is_batch(spark, tmp_path):
         spark.createDataFrame([r for r in rows if min(r[2] // 2, 2) == part], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
     store = Store(spark, f"{tmp_path}/store")
     source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    recorder.record_stream(source, store, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination()
+    recorder.record_stream(source, store, f"{tmp_path}/cp").awaitTermination()
     got = tables({n: store.table(n) for n in ("meetings", "speakers", "segments")})
     assert got == tables(recorder.recorded(spark.createDataFrame(rows, EVENTS)))
 
 
+def test_record_stream_keeps_what_users_change(spark, tmp_path):
+    rows = recording()
+    store = Store(spark, f"{tmp_path}/store")
+    parts = [[r for r in rows if min(r[2] // 2, 2) == part] for part in range(3)]
+    read = lambda: spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for i, part in enumerate([parts[0], parts[1] + parts[0], parts[2] + parts[1]]):  # each batch repeats the one before
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        recorder.record_stream(read(), store, f"{tmp_path}/cp").awaitTermination()
+        if i == 0:
+            store.rename_speaker("a", "p1", "Ana")
+            store.rename("c", "My title")
+    got = tables({n: store.table(n) for n in ("meetings", "speakers", "segments")})
+    want = tables(recorder.recorded(spark.createDataFrame(rows, EVENTS)))
+    want["meetings"] = [(m[0], "My title" if m[0] == "c" else m[1], *m[2:]) for m in want["meetings"]]
+    assert got == want
+    assert [r.label for r in store.speakers("a").collect()] == ["Ana"]
+
+
+def test_a_repeated_batch_is_applied_once_and_touches_its_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for i in range(4):
+        store.create(f"old{i}", "x", None)
+    row = lambda **x: tuple(x.get(c) for c in ("meeting_id", "seq", "kind", "title", "at", "speaker_id", "slot", "segments", "duration_ms", "language", "segment_count"))
+    batch = spark.createDataFrame([row(meeting_id="new", seq=0, kind="create", title="T"), row(meeting_id="new", seq=1, kind="chunk", speaker_id="p", slot=0, segments=[("s", 0, 5, "hi", "p", 0.5)], segment_count=1)], recorder.CHANGES)
+    before = store.base()
+    recorder.apply_changes(store, batch, "q", 0)
+    after = store.base()
+    recorder.apply_changes(store, batch, "q", 0)
+    assert store.base() == after and after.number == before.number + 1 and after.marks == {"q": 0}
+    (mine,) = store.data.buckets_of(after, ["new"])
+    assert {b for b, x in after.files["meetings"].items() if x != before.files["meetings"].get(b)} == {mine}
+    assert set(after.files["segments"]) == set(after.files["speakers"]) == {mine}
+    assert store.table("meetings").count() == 5 and store.get("new").first().segments[0].text == "hi"
+
+
+def test_the_plan_of_recordings_shuffles_sessions_once(spark):
+    df = spark.createDataFrame(recording(), EVENTS)
+    plan = recorder.recorded(df)["meetings"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("tokens, stops, want", [
     (["a <think>x", "y</think>", " b"], (), "a  b"), (["<think>x</think>\nb", " c STOP d", "e"], ("STOP",), "\nb c "), (["<think>", "x", "</think>  b"], (), "b"),
     (["ab", "cS", "TOPd"], ("STOP", "z"), "abcS"), (["<think>never"], (), ""), (["plain"], (), "plain"),
