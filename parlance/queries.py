@@ -605,14 +605,10 @@ _ANSWERS = """WITH a AS (SELECT doc_id, lang, source, text, CASE lang WHEN 'en'
 """
 
 
-@query("t13_first_objects", """SELECT doc_id, doc_id % 7 <> 0 AS found, CASE WHEN doc_id % 7 <> 0 THEN length(lang) + length(source) END AS names FROM documents""")
+@query("t13_first_objects", """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN md5('{"keyPoints": ["a", 3, null, {"b": 1}, "' || lang || '"], "actionItems": [{"task": "call", "owner": "' || source || '"}, {"owner": "x"}, {"task": 5}, "y"], "more": {"deep": '
+  || to_json(text)::VARCHAR || '}' || CASE WHEN doc_id % 5 <> 0 THEN ', "summary": ' || to_json(text)::VARCHAR ELSE '' END || '}') END AS object FROM documents""")
 def _(spark, sf):
-    a = _answers(spark, sf)
-    block = payload.first_object(F.col("raw"))
-    # What is around the quoted text has a fixed length but for two names.
-    rest = F.length(block) - F.length("quoted") * F.when(F.col("doc_id") % 5 != 0, 2).otherwise(1) - F.when(F.col("doc_id") % 5 != 0, 13).otherwise(0)
-    fixed = len('{"keyPoints": ["a", 3, null, {"b": 1}, ""], "actionItems": [{"task": "call", "owner": ""}, {"owner": "x"}, {"task": 5}, "y"], "more": {"deep": }}')
-    return a.select("doc_id", block.isNotNull().alias("found"), (rest - fixed).cast("long").alias("names"))
+    return _answers(spark, sf).select("doc_id", F.md5(payload.first_object(F.col("raw"))).alias("object"))
 
 
 @query("t14_typed_payloads", _ANSWERS + """SELECT doc_id, error, CASE WHEN error IS NULL THEN md5(text) END AS summary, CASE WHEN error IS NULL AND template = 'general' THEN 'a,' || lang END AS points,
@@ -645,17 +641,94 @@ def _(spark, sf):
     return plain.join(cited, "meeting_id").select("meeting_id", F.md5("plain").alias("plain"), F.md5("cited").alias("cited"))
 
 
+#: The variants of a summary, dealt to meetings in turn; every ninth has none.
+_VARIANTS = (*payload.FIELDS, payload.FREE_TEXT, payload.CUSTOM)
+
+
 def _digests(spark, sf):
-    """One summary a meeting, of three templates in turn."""
-    template = F.element_at(F.array(F.lit("general"), F.lit("interview"), F.lit("custom")), (F.col("meeting_id") % 3 + 1).cast("int"))
-    raw = F.lit('{"summary": "It went well.", "keyPoints": ["one", "two"], "actionItems": [{"task": "call", "owner": "Ana", "due": "May"}, {"task": "write"}], "quotes": [{"speaker": "Bo", "quote": "Yes", "context": "end"}, {"speaker": "Cy", "quote": "No"}], "themes": ["**bold**"]}')
-    m = p.meetings(spark, sf).filter("meeting_id % 4 <> 0").select("meeting_id", template.alias("template"), raw.alias("raw"))
-    return payload.with_payload(m, F.col("template"), F.col("raw"), "parsed").select("meeting_id", "template", F.col("parsed.payload").alias("payload"))
+    """One summary a meeting, of all variants in turn, with its title and number of segments in each section."""
+    m = p.meetings(spark, sf).withColumn("place", (F.col("meeting_id") % (len(_VARIANTS) + 1)).cast("int")).filter(F.col("place") < len(_VARIANTS))
+    n = F.col("segment_count").cast("string")
+    with_n = lambda x: F.concat(F.lit(f"{x} "), n)
+    none = F.lit(None).cast("string")
+    task = lambda t, owner, due: F.struct(t.alias("task"), owner.alias("owner"), due.alias("due"))
+    quote = lambda who, q, x: F.struct(F.lit(who).alias("speaker"), q.alias("quote"), x.alias("context"))
+    made = {
+        "list": lambda f: F.array(F.lit(f"{f} **one**"), with_n(f)),
+        "text": with_n,
+        "tasks": lambda f: F.array(task(with_n("call"), F.lit("Ana"), F.lit("May")), task(F.lit("write"), none, none)),
+        "quotes": lambda f: F.array(quote("Bo", with_n("Yes"), F.lit("end")), quote("Cy", F.lit("No"), none)),
+        "definitions": lambda f: F.array(F.struct(with_n("term").alias("term"), F.lit("what it is").alias("definition"))),
+    }
+    whole = F.to_json(F.struct(F.concat("title", F.lit(" went well.")).alias("summary"), *(made[kind](f).alias(f) for f, kind in payload.KINDS.items())))
+    template = F.element_at(F.array(*map(F.lit, _VARIANTS)), F.col("place") + 1)
+    raw = F.when(template.isin(payload.FREE_TEXT, payload.CUSTOM), F.concat(F.lit("# Free "), n, F.lit("\n- text"))).otherwise(whole)
+    parsed = payload.with_payload(m, template, raw, "parsed").withColumn("template", template)
+    return parsed.select("meeting_id", "template", F.col("parsed.payload").alias("payload"))
+
+
+def _md_text(name: str) -> str:
+    """A digest's Markdown, with {title} and {n} in the place of what is the meeting's own."""
+    if name == payload.FREE_TEXT:
+        return "# Free {n}\n- text\n\n"
+    if name == payload.CUSTOM:
+        return ""
+    out = "{title} went well.\n\n"
+    for kind, f in payload.FIELDS[name]:
+        h = render.HEADINGS[f]
+        out += {
+            "list": f"### {h}\n\n- {f} **one**\n- {f} {{n}}\n\n",
+            "text": f"**{h}:** {f} {{n}}\n\n",
+            "tasks": f"### {h}\n\n- [ ] call {{n}}{ {'general': ' — *Ana* (due: May)', 'oneOnOne': ' — *Ana*'}.get(name, '') }\n- [ ] write\n\n",
+            "quotes": f'### {h}\n\n> "Yes {{n}}"\n> — Bo (end)\n\n> "No"\n> — Cy\n\n',
+            "definitions": f"### {h}\n\n- **term {{n}}**: what it is\n\n",
+        }[kind]
+    return out
+
+
+def _plain_text(name: str) -> str:
+    if name == "general":
+        out = "{title} went well.\n\n"
+        for kind, f in payload.FIELDS[name]:
+            items = ("call {n} (Ana) [due: May]", "write") if kind == "tasks" else (f"{f} **one**", f"{f} {{n}}")
+            out += render.HEADINGS[f].upper() + "\n" + "".join(f"  - {x}\n" for x in items) + "\n"
+        return out
+    lines = []
+    for line in _md_text(name).splitlines():
+        line = line.lstrip("#")
+        line = line.removeprefix("**") if line.startswith("**") else line
+        line = line.removesuffix("**") if line.endswith("**") else line
+        for mark in ("- [ ] ", "- ", "> "):
+            line = line.removeprefix(mark)
+        lines.append(line.strip())
+    return "".join(x + "\n" for x in lines)
+
+
+def _copied_text(name: str) -> str:
+    if name in (payload.FREE_TEXT, payload.CUSTOM):
+        return "# Free {n}\n- text"
+    out = ["{title} went well."]
+    for kind, f in payload.FIELDS[name]:
+        h = render.HEADINGS[f]
+        out += {
+            "list": [f"\n{h}", f"• {f} **one**", f"• {f} {{n}}"],
+            "text": [f"\nDeal stage: {f} {{n}}"] if f == "dealStageIndicator" else [f"\n{h}", f"{f} {{n}}"],
+            "tasks": [f"\n{h}", "• call {n} (Ana) — May", "• write"],
+            "quotes": [f"\n{h}", '• "Yes {n}" — Bo', '• "No" — Cy'],
+            "definitions": [f"\n{h}", "• term {n}: what it is"],
+        }[kind]
+    return "\n".join(out)
+
+
+def _by_variant(of) -> str:
+    """What each variant's meetings have, as SQL."""
+    text = lambda x: "'" + of(x).replace("'", "''").replace("{n}", "' || segment_count || '").replace("{title}", "' || title || '") + "'"
+    return f"CASE meeting_id % {len(_VARIANTS) + 1} " + " ".join(f"WHEN {i} THEN {text(x)}" for i, x in enumerate(_VARIANTS)) + " END"
 
 
 _EXPORT = _NAMED.rstrip() + r""",
 m AS (SELECT *, CASE WHEN duration_ms // 1000 < 60 THEN (duration_ms // 1000) || 's' ELSE (duration_ms // 60000) || 'm ' || lpad(((duration_ms // 1000) % 60)::VARCHAR, 2, '0') || 's' END AS dur,
-  CASE WHEN meeting_id % 4 = 0 THEN NULL WHEN meeting_id % 3 = 0 THEN '{general}' WHEN meeting_id % 3 = 1 THEN '{interview}' ELSE '' END AS digest FROM meetings),
+  {digests} AS digest FROM meetings),
 said AS (SELECT meeting_id, string_agg({line}, '' ORDER BY start_ms, seg_id) AS said FROM (SELECT *, '[' || lpad((start_ms // 60000)::VARCHAR, 2, '0') || ':' || lpad(((start_ms // 1000) % 60)::VARCHAR, 2, '0') || ']' AS ts FROM named WHERE x <> '') GROUP BY meeting_id),
 people AS (SELECT meeting_id, string_agg(coalesce(label, 'Speaker ' || (slot + 1)), ', ' ORDER BY slot) AS people FROM speakers GROUP BY meeting_id),
 noted AS (SELECT meeting_id, string_agg({note}, '' ORDER BY timestamp_ms, note_id) AS noted FROM (SELECT *, '[' || CASE WHEN timestamp_ms // 60000 < 10 THEN '0' ELSE '' END || (timestamp_ms // 60000) || ':' || lpad(((timestamp_ms // 1000) % 60)::VARCHAR, 2, '0') || ']' AS ts FROM notes) GROUP BY meeting_id)
@@ -670,16 +743,14 @@ def _filled(**parts: str) -> str:
 
 
 _MARKDOWN = _filled(
-    general="It went well.\n\n### Key points\n\n- one\n- two\n\n### Action items\n\n- [ ] call — *Ana* (due: May)\n- [ ] write\n\n",
-    interview='It went well.\n\n### Quotes\n\n> "Yes"\n> — Bo (end)\n\n> "No"\n> — Cy\n\n### Themes\n\n- **bold**\n\n',
+    digests=_by_variant(_md_text),
     line="'**' || ts || coalesce(' ' || speaker || ':**', '**') || ' ' || x || chr(10) || chr(10)", note="'- **' || ts || '** ' || text || chr(10)",
     body="""'# ' || title || chr(10) || chr(10) || '**Date:** ' || started_ms || '  ' || chr(10) || '**Duration:** ' || dur || '  ' || chr(10) || '**Language:** ?  ' || chr(10) || '**Segments:** ' || segment_count || chr(10) || chr(10)
   || coalesce('**Participants:** ' || people || chr(10) || chr(10), '') || '---' || chr(10) || chr(10) || coalesce('## Summary' || chr(10) || chr(10) || digest || '---' || chr(10) || chr(10), '')
   || '## Transcript' || chr(10) || chr(10) || coalesce(said, '') || coalesce('---' || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || noted || chr(10), '')""",
 )
 _PLAIN = _filled(
-    general="It went well.\n\nKEY POINTS\n  - one\n  - two\n\nACTION ITEMS\n  - call (Ana) [due: May]\n  - write\n\n",
-    interview='It went well.\n\nQuotes\n\n"Yes"\n— Bo (end)\n\n"No"\n— Cy\n\nThemes\n\n**bold\n\n',
+    digests=_by_variant(_plain_text),
     line="ts || coalesce(' ' || speaker || ':', '') || ' ' || x || chr(10)", note="ts || ' ' || text || chr(10)",
     body="""title || chr(10) || repeat('=', length(title)) || chr(10) || chr(10) || 'Date:     ' || started_ms || chr(10) || 'Duration: ' || dur || chr(10) || 'Language: ?' || chr(10) || 'Segments: ' || segment_count || chr(10)
   || coalesce('Participants: ' || people || chr(10), '') || coalesce(chr(10) || chr(10) || 'SUMMARY' || chr(10) || '-------' || chr(10) || chr(10) || digest, '')
@@ -703,7 +774,7 @@ def _(spark, sf):
     return _exports(spark, sf, "text")
 
 
-@query("t29_clipboard_texts", """SELECT meeting_id, CASE meeting_id % 3 WHEN 0 THEN 'It went well.\n\nKey points\n• one\n• two\n\nAction items\n• call (Ana) — May\n• write' WHEN 1 THEN 'It went well.\n\nQuotes\n• "Yes" — Bo\n• "No" — Cy\n\nThemes\n• **bold**' ELSE '' END AS copied FROM meetings WHERE meeting_id % 4 <> 0""", "meetings")
+@query("t29_clipboard_texts", f"SELECT meeting_id, {_by_variant(_copied_text)} AS copied FROM meetings WHERE meeting_id % {len(_VARIANTS) + 1} < {len(_VARIANTS)}", "meetings")
 def _(spark, sf):
     return _digests(spark, sf).select("meeting_id", render.clipboard_text(F.col("template"), F.col("payload")).alias("copied"))
 
@@ -741,10 +812,10 @@ def _(spark, sf):
     return p.table(spark, sf, "documents").select("doc_id", label.alias("label"), fits.alias("fits"))
 
 
-@query("t33_frames", "SELECT user_id, event_id, (event_id * 7) // 2 AS frames, (((event_id * 7) // 2) * 1000) // 16000 AS ms, CASE WHEN value > 50 THEN round(value / event_id, 6) ELSE 0 END AS rtf, greatest(event_id - 500, 0) * 10 AS at_ms FROM events WHERE event_id > 0")
+@query("t33_frames", "SELECT user_id, event_id, (event_id * 7) // 2 AS frames, (((event_id * 7) // 2) * 1000) // 16000 AS ms, CASE WHEN value > 50 AND event_id > 0 THEN round(value / event_id, 6) ELSE 0 END AS rtf, greatest(event_id - 500, 0) * 10 AS at_ms FROM events")
 def _(spark, sf):
     n = F.col("event_id") * 7
-    e = p.table(spark, sf, "events").filter("event_id > 0")
+    e = p.table(spark, sf, "events")
     audio = F.when(F.col("value") > 50, F.col("event_id")).otherwise(0)
     return e.select("user_id", "event_id", t.frames_of(n, F.lit(2)).alias("frames"), t.ms_of(n, F.lit(16000), F.lit(2)).cast("long").alias("ms"), F.round(t.real_time_factor(F.col("value"), audio), 6).alias("rtf"), chunks.from_centiseconds(F.col("event_id") - 500).alias("at_ms"))
 
@@ -888,13 +959,14 @@ def _(spark, sf):
     return replies.answer_text(replies.shown(_tokens(spark, sf))).select("reply_id", F.md5("text").alias("shown"))
 
 
-@query("st18_answer_events", """WITH c AS (SELECT conv_id * 100000 + turn AS reply_id, text, len(string_split(text, ' ')) AS n FROM conversations WHERE turn % 2 = 1)
+@query("st18_answer_events", """WITH c AS (SELECT conv_id * 100000 + turn AS reply_id, text, len(string_split(text, ' ')) AS n FROM conversations)
 SELECT reply_id, 0::BIGINT AS event, 'started' AS type, md5('m1') AS text, NULL AS cited FROM c
 UNION ALL SELECT reply_id, i, 'token', md5(string_split(text, ' ')[i] || CASE WHEN i < n THEN ' ' ELSE '' END), NULL FROM c, generate_series(1, n) g(i)
 UNION ALL SELECT reply_id, n + 1, CASE WHEN reply_id % 5 = 0 THEN 'failed' ELSE 'finished' END, md5(CASE WHEN reply_id % 5 = 0 THEN 'broken' ELSE text END), CASE WHEN reply_id % 5 <> 0 THEN '' END FROM c""")
 def _(spark, sf):
-    tokens = _tokens(spark, sf).filter("reply_id % 100000 % 2 = 1").withColumnRenamed("token", "delta").filter("reply_id % 2 = 1")
-    asked = p.table(spark, sf, "conversations").filter("turn % 2 = 1").select((F.col("conv_id") * 100000 + F.col("turn")).alias("reply_id"))
-    asked = asked.select("reply_id", F.lit("m1").alias("model"), F.when(F.col("reply_id") % 5 == 0, "broken").alias("error"), F.array(F.lit("1")).alias("ids"))
+    c = p.table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("reply_id"), "text")
+    words = F.split(F.regexp_replace("text", " ", " \x00"), "\x00")
+    tokens = c.select("reply_id", F.posexplode(words).alias("seq", "delta")).withColumn("seq", F.col("seq").cast("long"))
+    asked = c.select("reply_id", F.lit("m1").alias("model"), F.when(F.col("reply_id") % 5 == 0, "broken").alias("error"), F.array(F.lit("1")).alias("ids"))
     out = replies.answer_events(asked, tokens)
     return out.select("reply_id", "event", "type", F.md5("text").alias("text"), F.array_join("citations", ",").alias("cited"))
