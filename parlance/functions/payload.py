@@ -41,8 +41,8 @@ def first_object(text: Column) -> Column:
         new = F.struct(depth.alias("depth"), (s["quoted"] != (mark == '"')).alias("quoted"), size.alias("size"), F.when(ended, size).otherwise(0).alias("end"))
         return F.when(s["end"] > 0, s).otherwise(new)
 
-    end = F.aggregate(pieces, start, step)["end"]
-    return F.when(end > 0, F.substring(tail, F.lit(1), end))
+    # The fold's last step cuts the text, so that the fold isn't repeated where its end is read twice.
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["end"] > 0, F.substring(tail, F.lit(1), s["end"])))
 
 
 def _text(v: Column, path: str) -> Column:
