@@ -6,6 +6,7 @@ The fold keeps single precision, as borderline similarities decide by it.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -119,6 +120,58 @@ def online_speakers(vectors: DataFrame, session: str, seq: str, vector: str, con
     return rows.mapInArrow(fold, "session long, seq long, slot int")
 
 
+SPEAKERS = "session long, seq long, slot int, into int"
+SPEAKER_STATE = "slots string, centroids binary, counts string, last int, next_slot int, seq long"
+
+
+def speaker_stream(vectors: DataFrame, session: str, seq: str, vector: str, config: OnlineConfig = OnlineConfig(), forget_ms: int | None = None) -> DataFrame:
+    """Rows (session, seq, slot, into) over a stream: the speaker of each embedding when it arrived, and, with ``into``, that
+    a speaker was merged into another by the embedding seq.
+
+    State is a session's centroids, of which there are at most ``most_speakers``; merges are told, not kept, and ``settled``
+    applies them to what has been assigned before.  Embeddings of a session come in order of seq, but for those within a
+    micro-batch; repeated ones are told by their seq.  With ``forget_ms`` a session goes after so long without one.
+    """
+
+    def fold(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        clusters, at = OnlineClusters(config), None
+        if state.exists:
+            slots, centroids, counts, clusters.last, clusters.next_slot, at = state.get
+            clusters.slots, clusters.counts = json.loads(slots), json.loads(counts)
+            clusters.centroids = list(np.frombuffer(bytes(centroids), np.float32).reshape(len(clusters.slots), -1)) if clusters.slots else []
+        rows = []
+        for n, v in pd.concat(list(batches)).sort_values("seq")[["seq", "vector"]].itertuples(index=False):
+            if (at is not None and n <= at) or v is None or not len(v):
+                continue
+            slot = clusters.assign(v)
+            rows.append((key[0], n, slot, None))
+            rows += [(key[0], n, gone, keep) for gone, keep in clusters.merged]
+            clusters.merged, at = [], n
+        if at is not None:
+            centroids = np.concatenate(clusters.centroids).astype(np.float32).tobytes() if clusters.centroids else b""
+            state.update((json.dumps(clusters.slots), centroids, json.dumps(clusters.counts), clusters.last, clusters.next_slot, int(at)))
+            if forget_ms:
+                state.setTimeoutDuration(forget_ms)
+        if rows:
+            pdf = pd.DataFrame(rows, columns=["session", "seq", "slot", "into"])
+            yield pdf.astype({"slot": "Int32", "into": "Int32"})
+
+    rows = vectors.select(F.col(session).cast("long").alias("session"), F.col(seq).cast("long").alias("seq"), F.col(vector).cast("array<float>").alias("vector"))
+    return rows.groupBy("session").applyInPandasWithState(fold, SPEAKERS, SPEAKER_STATE, "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """(session, seq, slot, speaker): what a stream has assigned, with the speaker who answers for the slot in the end."""
+    merged = F.transform(F.array_sort(F.collect_list(F.struct("seq", "place", "slot", "into"))), lambda m: F.struct(m["slot"].alias("gone"), m["into"].alias("keep")))
+    log = rows.filter("into IS NOT NULL").withColumn("place", F.monotonically_increasing_id()).groupBy("session").agg(merged.alias("log"))
+    ends = F.aggregate("log", F.col("slot"), lambda slot, m: F.when(m["gone"] == slot, m["keep"]).otherwise(slot))
+    out = rows.filter("into IS NULL").join(log, "session", "left")
+    return out.select("session", "seq", "slot", F.when(F.col("log").isNull(), F.col("slot")).otherwise(ends).alias("speaker"))
+
+
 def refine(slots, vectors, threshold: float = 0.75, least: int = 2) -> list[tuple[int, int]]:
     """(absorbed, survivor) in the order of merging the mean vectors of over-split speakers."""
     groups: dict[int, list] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,31 +72,69 @@ def pause_edges(events: DataFrame) -> DataFrame:
 
 def hysteresis(frames: DataFrame, session: str, seq: str, level: str, start: float, start_frames: int, end: float, end_frames: int) -> DataFrame:
     """(session, seq, voiced): voice begins after so many frames at ``start`` or more in a row, and ends
-    after so many at ``end`` or less.  An ordered fold; sessions are spread over tasks."""
+    after so many at ``end`` or less.  An ordered fold: a session's rows come in order to one task, which holds a batch
+    of them and the automaton's state."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        return pd.DataFrame({"session": pdf[session], "seq": pdf[seq], "voiced": VoiceState(start, start_frames, end, end_frames).over(pdf[level])})
+    def fold(batches):
+        import pyarrow as pa
 
-    return frames.select(session, seq, level).groupBy(session).applyInPandas(fold, "session long, seq long, voiced boolean")
+        at, voice = None, None
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            levels = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            voiced = []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j > i and (voice is None or keys[i] != at):
+                    at, voice = keys[i], VoiceState(start, start_frames, end, end_frames)
+                voiced.append(voice.states(levels[i:j]) if j > i else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(voiced))], ["session", "seq", "voiced"])
+
+    rows = frames.select(F.col(session).cast("long"), F.col(seq).cast("long"), F.col(level).cast("double"))
+    return rows.repartition(session).sortWithinPartitions(session, seq).mapInArrow(fold, "session long, seq long, voiced boolean")
 
 
 class VoiceState:
-    """The two-threshold automaton of a voice detector."""
+    """The two-threshold automaton of a voice detector.  ``run`` counts the frames in a row that speak for a change."""
 
     def __init__(self, start: float, start_frames: int, end: float, end_frames: int, voiced: bool = False, run: int = 0):
         self.limits, self.voiced, self.run = (start, start_frames, end, end_frames), voiced, run
 
-    def step(self, level: float) -> bool:
-        start, start_frames, end, end_frames = self.limits
-        hit = level <= end if self.voiced else level >= start
-        self.run = self.run + 1 if hit else 0
-        if self.run >= (end_frames if self.voiced else start_frames):
-            self.voiced, self.run = not self.voiced, 0
-        return self.voiced
-
     def over(self, levels) -> list[bool]:
-        return [self.step(x) for x in levels]
+        return self.states(levels).tolist()
+
+    def states(self, levels) -> np.ndarray:
+        """The state after each of some frames.  Only changes of state are stepped through; where one can be is looked up in run lengths."""
+        x = np.asarray(levels, float)
+        n = len(x)
+        out = np.empty(n, bool)
+        if not n:
+            return out
+        start, start_frames, end, end_frames = self.limits
+        need = {False: max(1, start_frames), True: max(1, end_frames)}
+        runs = {}
+        for voiced, hit in ((False, x >= start), (True, x <= end)):
+            since = np.maximum.accumulate(np.where(hit, -1, np.arange(n)))
+            runs[voiced] = np.arange(n) - since + np.where((since < 0) & (voiced == self.voiced), self.run, 0)
+            runs[voiced][~hit] = 0
+        ready = {v: np.flatnonzero(r >= need[v]) for v, r in runs.items()}
+        at, fresh = 0, True
+        while True:
+            # A run that goes on from the frames before counts at the first frame; later ones begin anew after a change.
+            first = at if fresh else at + need[self.voiced] - 1
+            k = np.searchsorted(ready[self.voiced], first)
+            if k == len(ready[self.voiced]):
+                out[at:] = self.voiced
+                last = int(runs[self.voiced][-1])
+                self.run = last if fresh else min(last, n - at)
+                return out
+            j = int(ready[self.voiced][k])
+            out[at:j] = self.voiced
+            self.voiced = not self.voiced
+            out[j] = self.voiced
+            at, fresh, self.run = j + 1, False, 0
+            if at == n:
+                return out
 
 
 def dominant_speaker(segments: DataFrame, chunk: list[str]) -> DataFrame:

@@ -9,80 +9,98 @@ from pyspark.sql import functions as F
 from parlance.functions.text import citations
 
 OPEN, CLOSE = "<think>", "</think>"
+SHOWN = "reply_id long, seq long, delta string, stopped boolean"
+STATE = "text string, opened long, closed long, searched long, stopped boolean"
 
 
 class ReplyFilter:
-    """What of each token may be shown: nothing of a first thought, nothing from a stop sequence on."""
+    """What of each token may be shown: nothing of a first thought, nothing from a stop sequence on.
 
-    def __init__(self, stops: tuple[str, ...] = ()):
-        self.stops, self.total, self.phase, self.stopped = stops, "", "plain", False
+    ``opened`` and ``closed`` are where the first thought begins and where what follows it does, -1 while that isn't known.
+    A mark or a stop sequence is looked for once in each place, from ``searched`` on.
+    """
+
+    def __init__(self, stops: tuple[str, ...] = (), state: tuple | None = None):
+        self.stops = stops
+        self.text, self.opened, self.closed, self.searched, self.stopped = state or ("", -1, -1, 0, False)
+
+    def state(self) -> tuple:
+        return self.text, self.opened, self.closed, self.searched, self.stopped
+
+    def _find(self, what: str, since: int) -> int:
+        return self.text.find(what, max(0, since - len(what) + 1))
 
     def push(self, token: str) -> str:
-        seen = len(self.total)
-        self.total += token
+        since, self.text = len(self.text), self.text + token
         if self.stopped:
             return ""
-        if self.phase == "plain" and OPEN in self.total:
-            shown = self.total[seen : self.total.index(OPEN)]
-            if CLOSE not in self.total:
-                self.phase = "thinking"
-                return shown
-            return self._after(shown + self._rest())
-        if self.phase == "thinking":
-            return self._after(self._rest().lstrip()) if CLOSE in self.total else ""
-        cuts = [self.total.index(s) for s in self.stops if s in self.total]
-        if not cuts:
-            return token
-        self.stopped = True
-        return self.total[seen : min(cuts)]
-
-    def _rest(self) -> str:
-        return self.total[self.total.index(CLOSE) + len(CLOSE) :]
-
-    def _after(self, text: str) -> str:
-        self.phase = "thought"
-        for s in self.stops:
-            if s in text:
-                self.stopped = True
-                return text[: text.index(s)]
-        return text
+        was_open = self.opened >= 0
+        if not was_open:
+            self.opened = self._find(OPEN, since)
+        if self.opened < 0 or self.closed >= 0:
+            return self._until_stop(since)
+        before = "" if was_open else self.text[since : self.opened]
+        # The end of a thought may stand before its beginning, as the first of each mark counts.
+        close = self._find(CLOSE, since if was_open else 0)
+        if close < 0:
+            return before
+        self.closed = close + len(CLOSE)
+        after = self.text[self.closed :]
+        shown = after.lstrip() if was_open else before + after  # a thought that ends later takes the blanks behind it along
+        stop = next((s for s in self.stops if s in shown), None)
+        self.stopped = stop is not None
+        return shown if stop is None else shown[: shown.index(stop)]
+
+    def _until_stop(self, since: int) -> str:
+        cuts = [i for i in (self._find(s, self.searched) for s in self.stops) if i >= 0]
+        self.searched, self.stopped = len(self.text), bool(cuts)
+        return self.text[since : min(cuts)] if cuts else self.text[since:]
+
+
+def _shown(f: ReplyFilter, reply, pdf: pd.DataFrame) -> list[tuple]:
+    rows = []
+    for seq, token in pdf.sort_values("seq")[["seq", "token"]].itertuples(index=False):
+        if f.stopped:
+            break
+        rows.append((reply, seq, f.push(token), f.stopped))
+    return rows
 
 
 def shown(tokens: DataFrame, stops: tuple[str, ...] = ()) -> DataFrame:
     """(reply_id, seq, delta, stopped): an ordered fold over each reply's tokens; a reply is as long as a model's answer."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        f, rows = ReplyFilter(stops), []
-        for rid, seq, token in zip(pdf["reply_id"], pdf["seq"], pdf["token"]):
-            done = f.stopped
-            rows.append((rid, seq, f.push(token), f.stopped))
-            if done:
-                rows.pop()
-        return pd.DataFrame(rows, columns=["reply_id", "seq", "delta", "stopped"])
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_shown(ReplyFilter(stops), key[0], pdf), columns=["reply_id", "seq", "delta", "stopped"])
+
+    return tokens.select("reply_id", "seq", "token").groupBy("reply_id").applyInPandas(fold, SHOWN)
 
-    return tokens.select("reply_id", "seq", "token").groupBy("reply_id").applyInPandas(fold, "reply_id long, seq long, delta string, stopped boolean")
 
+def shown_stream(tokens: DataFrame, stops: tuple[str, ...] = (), forget_ms: int | None = None) -> DataFrame:
+    """The same over a stream; state is a reply's text so far.
 
-def shown_stream(tokens: DataFrame, stops: tuple[str, ...] = ()) -> DataFrame:
-    """The same over a stream; state is a reply's text so far."""
-    schema = "reply_id long, seq long, delta string, stopped boolean"
+    A token that has ``last`` set, where ``tokens`` has that column, ends its reply and its state; with ``forget_ms`` state also goes
+    after so long without a token.
+    """
+    last = F.coalesce(F.col("last"), F.lit(False)) if "last" in tokens.columns else F.lit(False)
 
     def fold(key, batches, state):
-        f = ReplyFilter(stops)
-        if state.exists:
-            f.total, f.phase, f.stopped = state.get
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        rows = []
-        for seq, token in zip(pdf["seq"], pdf["token"]):
-            done = f.stopped
-            delta = f.push(token)
-            if not done:
-                rows.append((key[0], seq, delta, f.stopped))
-        state.update((f.total, f.phase, f.stopped))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        f = ReplyFilter(stops, state.get if state.exists else None)
+        pdf = pd.concat(list(batches))
+        rows = _shown(f, key[0], pdf)
+        if pdf["last"].any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(f.state())
+            if forget_ms:
+                state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(rows, columns=["reply_id", "seq", "delta", "stopped"])
 
-    return tokens.select("reply_id", "seq", "token").groupBy("reply_id").applyInPandasWithState(fold, schema, "total string, phase string, stopped boolean", "append", "NoTimeout")
+    rows = tokens.select("reply_id", "seq", "token", last.alias("last"))
+    return rows.groupBy("reply_id").applyInPandasWithState(fold, SHOWN, STATE, "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
 
 
 def answer_text(tokens: DataFrame) -> DataFrame:
@@ -107,3 +125,42 @@ def answer_events(replies: DataFrame, tokens: DataFrame) -> DataFrame:
     event = (F.coalesce("seq", F.lit(-1)) + 2).cast("long").alias("event")
     ends = ends.select("reply_id", event, F.when(failed, "failed").otherwise("finished").alias("type"), F.when(failed, F.col("error")).otherwise(text).alias("text"), cited)
     return started.unionByName(body).unionByName(ends)
+
+
+def answer_stream(parts: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """The events of ``answer_events`` over a stream of parts (reply_id, seq, kind, body, ids).
+
+    ``started`` has the model as its body and the ids that may be cited, ``token`` a delta, ``finished`` nothing and ``failed`` the
+    error.  Parts come in order of seq, but for those within a micro-batch; repeated ones are told by their seq.  State is the text so far; it
+    goes with the terminal event, or, with ``forget_ms``, after so long without a part, which then fails the answer.
+    """
+    schema = "reply_id long, event long, type string, text string, ids array<string>"
+
+    def fold(key, batches, state):
+        events, text, ids, at = state.get if state.exists else (0, "", "", -1)
+        rows, over = [], state.hasTimedOut
+        if over:
+            rows.append((key[0], events, "failed", "no part came in time", None))
+        else:
+            known = ids.split("\x00") if ids else []
+            for seq, kind, body, some in pd.concat(list(batches)).sort_values("seq")[["seq", "kind", "body", "ids"]].itertuples(index=False):
+                if over or seq <= at:
+                    continue
+                at = int(seq)
+                if kind == "started":
+                    known = list(some) if some is not None else []
+                text += body if kind == "token" else ""
+                over = kind in ("finished", "failed")
+                rows.append((key[0], events, kind, text if kind == "finished" else body, known if kind == "finished" else None))
+                events += 1
+            ids = "\x00".join(known)
+        if not over:
+            state.update((events, text, ids, at))
+            if forget_ms:
+                state.setTimeoutDuration(forget_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["reply_id", "event", "type", "text", "ids"])
+
+    out = parts.select("reply_id", "seq", "kind", "body", "ids").groupBy("reply_id").applyInPandasWithState(fold, schema, "events long, text string, ids string, seq long", "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+    return out.select("reply_id", "event", "type", "text", F.when(F.col("ids").isNotNull(), F.array_intersect(citations(F.col("text")), "ids")).alias("citations"))
