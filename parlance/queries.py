@@ -538,7 +538,22 @@ def _(spark, sf):
     return cluster.refined_speakers(e, "session", "slot", "embedding").select("session", "vec_id", "slot", "refined")
 
 
-@query("st05_voice_activity")
+def _automaton(level: str, start: float, start_frames: int, end: float, end_frames: int) -> str:
+    """The two-threshold automaton frame by frame, as recursion over a session's rows."""
+    hit = f"(CASE WHEN r.voiced THEN e.level <= {end} ELSE e.level >= {start} END)"
+    flips = f"({hit} AND r.run + 1 >= CASE WHEN r.voiced THEN {end_frames} ELSE {start_frames} END)"
+    return f"""WITH e AS (SELECT session_id, seq, {level} AS level FROM session_events),
+r AS (SELECT session_id, -1::BIGINT AS seq, false AS voiced, 0 AS run FROM e GROUP BY session_id
+  UNION ALL SELECT e.session_id, e.seq, CASE WHEN {flips} THEN NOT r.voiced ELSE r.voiced END, CASE WHEN {hit} AND NOT {flips} THEN r.run + 1 ELSE 0 END
+  FROM r JOIN e ON e.session_id = r.session_id AND e.seq = r.seq + 1)
+"""
+
+
+def _recursive(sql: str) -> str:
+    return p.with_sql(sql, "session_events").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("st05_voice_activity", _recursive(_automaton("rms", 0.02, 3, 0.01, 10) + "SELECT session_id AS session, seq, voiced FROM r WHERE seq >= 0"))
 def _(spark, sf):
     return sessions.hysteresis(p.session_events(spark, sf), "session_id", "seq", "rms", 0.02, 3, 0.01, 10)
 
@@ -938,7 +953,7 @@ def _(spark, sf):
     return recorder.session_totals(e).select("session_id", "chunks", "skipped", "audio_ms")
 
 
-@query("st06_voiced_chunks")
+@query("st06_voiced_chunks", _recursive(_automaton("rms * 10", *sessions.NEURAL) + "SELECT session_id AS session, seq // 16 AS chunk, bool_or(voiced) AS voiced FROM r WHERE seq >= 0 GROUP BY ALL"))
 def _(spark, sf):
     """Levels as probabilities of a neural detector, 16 frames a chunk; a chunk is voiced if one of its frames is."""
     e = p.session_events(spark, sf).withColumn("probability", F.col("rms") * 10)
