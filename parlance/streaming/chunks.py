@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.vectors import rms
@@ -159,6 +160,59 @@ def captured(frames: DataFrame, seconds: float, rate: int, channels: int = 1) ->
     return out.withColumn("total_samples", F.size("samples").cast("long")).withColumn("audio_seconds", F.col("total_samples") / channels / rate)
 
 
+CAPTURED = "session_id string, seq long, samples array<float>, total_samples long, done boolean"
+
+
+def capture_stream(frames: DataFrame, seconds: float, rate: int, channels: int = 1) -> DataFrame:
+    """(``CAPTURED``): each session's frames up to the one that reaches the deadline or ends it, which is ``done``; later ones are dropped.
+
+    State is a number of samples for each session.  Frames come in order of seq, but for those within a micro-batch.
+    """
+    most = int(seconds * rate) * channels
+
+    def fold(key, batches, state):
+        total, at, done = state.get if state.exists else (0, None, False)
+        rows = []
+        for seq, samples, ended in pd.concat(list(batches)).sort_values("seq")[["seq", "samples", "ended"]].itertuples(index=False):
+            if done or (at is not None and seq <= at):
+                continue
+            n = 0 if samples is None else len(samples)
+            total, at = total + n, int(seq)
+            done = total >= most or bool(ended)
+            rows.append((key[0], at, samples if n else [], total, done))
+        state.update((total, at, done))
+        yield pd.DataFrame(rows, columns=["session_id", "seq", "samples", "total_samples", "done"])
+
+    rows = frames.select(F.col("session_id").cast("string"), "seq", F.col("samples").cast("array<float>"), F.coalesce("ended", F.lit(False)).alias("ended"))
+    return rows.groupBy("session_id").applyInPandasWithState(fold, CAPTURED, "total long, seq long, done boolean", "append", "NoTimeout")
+
+
+def capture(frames: DataFrame, sink, seconds: float, rate: int, checkpoint: str, channels: int = 1, sessions: int = 1, poll: float = 0.2, **trigger) -> dict:
+    """Captures a stream of frames into ``sink(rows, number)`` until so many sessions are done, and reports what it took.
+
+    The report has frames, total_samples, audio_seconds (of one channel), done and error.  A sink that fails ends the capture, with its
+    error in the report; so does the end of the stream.
+    """
+    report = {"frames": 0, "total_samples": 0, "done": 0, "error": None}
+
+    def put(batch: DataFrame, number: int) -> None:
+        seen = Observation(f"capture-{number}")
+        sizes = F.sum(F.size("samples")).cast("long")
+        sink(batch.observe(seen, F.count("*").alias("frames"), F.coalesce(sizes, F.lit(0)).alias("total_samples"), F.count_if("done").alias("done")), number)
+        for name, x in seen.get.items():
+            report[name] += x
+
+    query = capture_stream(frames, seconds, rate, channels).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+    try:
+        while not query.awaitTermination(poll):
+            if report["done"] >= sessions:
+                query.stop()
+    except StreamingQueryException as e:
+        report["error"] = str(e)
+    report["audio_seconds"] = report["total_samples"] / channels / rate
+    return report
+
+
 def heard(chunks: DataFrame, transcribe, most_silence: float = 0.6) -> DataFrame:
     """(session_id, chunk_index, start_ms, end_ms, text, language, error): what a model hears in each chunk.
 

@@ -234,6 +234,24 @@ def test_sample_formats(bits, kind):
     assert (rate, channels, got.tolist()) == (8000, 1, x.tolist())
 
 
+@pytest.mark.parametrize("channels, seconds", [(1, 60.0), (2, 7.3)])
+def test_long_recordings_are_read_in_ranges(spark, tmp_path, channels, seconds):
+    x = np.random.default_rng(1).uniform(-1, 1, int(seconds * 8000) * channels).astype(np.float32)
+    (tmp_path / "long.wav").write_bytes(wav.encode(x, 8000, channels))
+    (tmp_path / "bad.wav").write_bytes(b"RIFFxxxxJUNK")
+    (tmp_path / "none.wav").write_bytes(wav.encode(x[:0], 8000, channels))
+    rows = wav.read_frames(spark, str(tmp_path), frame=800, range_bytes=50_000)
+    ranges = rows.filter("path LIKE '%long.wav'").withColumn("task", F.spark_partition_id())
+    assert ranges.select("task").distinct().count() > 1
+    got = ranges.orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(len(got))) and all(len(r.samples) == 800 * channels for r in got[:-1])
+    want = wav.decode((tmp_path / "long.wav").read_bytes())
+    assert (got[0].sample_rate, got[0].channels) == want[:2]
+    assert np.array_equal(np.concatenate([r.samples for r in got]).astype(np.float32), want[2])
+    (bad,) = rows.filter("error IS NOT NULL").collect()
+    assert bad.path.endswith("bad.wav") and bad.error == "not a WAV file" and rows.filter("path LIKE '%none.wav'").count() == 0
+
+
 @pytest.mark.parametrize("rate", [8000, 16000, 44100, 48000])
 def test_resampling_keeps_a_tone(spark, rate):
     n = rate // 2

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import cluster, sessions
-from parlance.streaming import replies, voices
+from parlance.streaming import chunks, replies, voices
 
 
 def streamed(spark, folder, batches, schema, f):
@@ -154,3 +154,32 @@ def test_answer_stream_is_batch(spark, tmp_path, parts):
     batch = replies.answer_events(spark.createDataFrame(asked, "reply_id long, model string, error string, ids array<string>"), spark.createDataFrame(tokens, "reply_id long, seq long, delta string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, batch.select(*out.columns).collect()), key=str)
     assert left == 0 and out.filter(F.size("citations") > 0).count() > 0
+
+
+FRAMES = "session_id string, seq long, samples array<float>, ended boolean"
+
+
+def frames_of(spark, folder):
+    for i in range(6):
+        rows = [(s, 2 * i + j, [float(i)] * n, s == "short" and i == 1 and j == 1) for s, n in (("a", 10), ("short", 3)) for j in range(2)]
+        spark.createDataFrame(rows, FRAMES).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    return spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+def test_capture_stops_at_the_deadline_and_reports(spark, tmp_path):
+    sink = lambda rows, number: rows.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}")
+    report = chunks.capture(frames_of(spark, tmp_path), sink, 0.035, 1000, f"{tmp_path}/cp", sessions=2)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = {r.session_id: (r.n, r.frames) for r in out.groupBy("session_id").agg(F.sum(F.size("samples")).alias("n"), F.count("*").alias("frames")).collect()}
+    assert got == {"a": (40, 4), "short": (12, 4)}
+    assert report == {"frames": 8, "total_samples": 52, "done": 2, "error": None, "audio_seconds": 0.052}
+
+
+def test_a_failing_sink_stops_the_capture(spark, tmp_path):
+    def sink(rows, number):
+        if number == 1:
+            raise OSError("disk full")
+        rows.write.format("noop").mode("overwrite").save()
+
+    report = chunks.capture(frames_of(spark, tmp_path), sink, 9, 1000, f"{tmp_path}/cp")
+    assert "disk full" in report["error"] and report["frames"] == 4 and report["done"] == 0
