@@ -126,7 +126,9 @@ def read_frames(spark: SparkSession, path: str, frame: int, range_bytes: int = R
     ranges = found.withColumn("frame_bytes", frame_bytes).withColumn("step", F.greatest(F.floor(F.lit(range_bytes) / F.col("frame_bytes")), F.lit(1)) * F.col("frame_bytes"))
     last = F.greatest(F.coalesce("size", F.lit(1)) - 1, F.lit(0))
     ranges = ranges.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.col("step").cast("long"))))
-    return ranges.repartition("path", "start").mapInPandas(cut, FRAMES)
+    # Rows of ranges are small but what they read isn't, so their number of tasks is given, and not left to their size.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ranges.repartition(tasks, "path", "start").mapInPandas(cut, FRAMES)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
