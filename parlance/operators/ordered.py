@@ -41,3 +41,10 @@ def runs(df: DataFrame, keys: list[str], at: str, active: Column, least: int = 1
     island = F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at))
     out = on.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(at).alias("start"), (F.max(at) + 1).alias("end"), F.count("*").alias("length"))
     return out.drop("_island").filter(F.col("length") >= least)
+
+
+def speaker_spans(segments: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, speaker, start_ms, end_ms, place): a speaker's turns in a row as one span, numbered from 0 in the order of start, then speaker."""
+    island = F.col(at) - F.row_number().over(Window.partitionBy(key, "speaker").orderBy(at))
+    spans = segments.withColumn("_island", island).groupBy(key, "speaker", "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+    return numbered(spans, [key], ["start_ms", "speaker", "end_ms"], "place").select(key, "speaker", "start_ms", "end_ms", "place")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parlance.functions import payload, picks, render
 from parlance.functions import text as t
 from parlance.functions import vectors as v
-from parlance.operators import catalog, cluster, dml, evaluate, ordered, search, sessions
+from parlance.operators import catalog, cluster, dml, evaluate, ordered, search, sessions, similar
 from parlance.plans import projections as p
 from parlance.sources import files
 from parlance.streaming import chunks, recorder, replies
@@ -493,6 +493,22 @@ def _(spark, sf):
     return v.best_match(e, v.centroids(e, ["label"], "embedding", 1), "embedding", "centroid", "label").select("vec_id", "best", "sim")
 
 
+@query("j09_similar_centroids", """WITH m AS (SELECT vec_id // 4 AS g, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL),
+c AS (SELECT g, list(x ORDER BY i) AS v FROM m GROUP BY g)
+SELECT a.g AS a, b.g AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM c a JOIN c b ON a.g < b.g WHERE list_cosine_similarity(a.v, b.v) >= 0.3""")
+def _(spark, sf):
+    e = p.table(spark, sf, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 4))
+    c = v.centroids(e, ["g"], "embedding", 1)
+    return similar.similar_pairs(c, "g", "centroid", 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("o03_speaker_spans", """WITH a AS (SELECT meeting_id, role, turn, start_ms, end_ms, turn - row_number() OVER (PARTITION BY meeting_id, role ORDER BY turn) AS island FROM segments),
+s AS (SELECT meeting_id, role AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM a GROUP BY meeting_id, role, island)
+SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, speaker, end_ms) - 1 AS place FROM s""", "segments")
+def _(spark, sf):
+    return ordered.speaker_spans(p.segments(spark, sf).withColumnRenamed("role", "speaker"), "meeting_id", "turn")
+
+
 @query("v05_downmix", f"SELECT vec_id, {_DIGEST.format('list_transform(range(1, len(embedding) // 2 + 1), lambda i: (embedding[2 * i - 1]::DOUBLE + embedding[2 * i]) / 2)')} AS mono, len(embedding) // 2 AS frames FROM embeddings")
 def _(spark, sf):
     m = v.mono(F.col("embedding"), 2)

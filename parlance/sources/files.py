@@ -49,8 +49,11 @@ def export(bodies: DataFrame, target: str, home: str) -> None:
 
 
 def export_all(bodies: DataFrame, folder: str, suffix: str = ".md") -> None:
-    """Any number of documents (meeting_id, body) as files of a folder, written by the executors."""
-    name = F.concat(F.col("meeting_id").cast("string"), F.lit(suffix))
+    """Any number of documents (meeting_id, body) as files of a folder, written by the executors.
+
+    What an id has besides letters, digits and ``.-*_`` is encoded in its file's name, so no file leaves the folder.
+    """
+    name = F.concat(F.url_encode(F.col("meeting_id").cast("string")), F.lit(suffix))
     paths.write_files(bodies.select(name.alias("name"), F.col("body").cast("binary").alias("body")), folder)
 
 

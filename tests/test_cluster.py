@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from parlance import queries as q
-from parlance.operators import cluster
+from parlance.operators import cluster, similar
 
 ROWS = 8500
 
@@ -55,3 +55,21 @@ def test_refined_keeps_rows_without_session_or_slot(spark):
     df = spark.createDataFrame(rows, "session long, slot int, v array<double>")
     out = cluster.refined_speakers(df, "session", "slot", "v").select("session", "slot", "refined")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, 1, 0), (None, 1, 0), (None, 0, 0), (None, 0, 0), (1, None, None), (1, 3, 3)], key=str)
+
+
+@pytest.mark.parametrize("least, block", [(0.2, 16), (0.8, 512), (0.95, 7), (1.0, 16)])
+def test_similar_pairs_are_those_of_brute_force(spark, least, block):
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(200, 6)), r.normal(size=(1, 6)) + r.normal(scale=0.2, size=(60, 6))])
+    x[20:25] = x[3]  # equal vectors
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(900, None, ""), (901, [], ""), (902, [0.0] * 6, ""), (None, x[0].tolist(), "")]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, band string")
+    out = similar.similar_pairs(df, "id", "vec", least, block)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    got = sorted((p.a, p.b) for p in out.collect())
+    clear = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= least + 1e-9}
+    possible = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= least - 1e-9}
+    assert len(got) == len(set(got)) and clear <= set(got) <= possible

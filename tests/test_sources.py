@@ -195,6 +195,8 @@ def test_exports_to_files(spark, tmp_path):
     assert (tmp_path / "a.md").read_text() == "# A\n\nb"
     files.export_all(body, f"{home}/all")
     assert (tmp_path / "all/m1.md").read_text() == "# A\n\nb"
+    files.export_all(spark.createDataFrame([("../out", "x")], "meeting_id string, body string"), f"{home}/all")
+    assert (tmp_path / "all/..%2Fout.md").read_text() == "x" and not (tmp_path / "out.md").exists()
     files.write_report({"wer": 0.1}, spark, f"{home}/r.json")
     assert json.loads((tmp_path / "r.json").read_text()) == {"wer": 0.1}
     assert json.loads(files.json_lines(spark.createDataFrame([(1, None)], "a int, b string")).first()["value"]) == {"a": 1, "b": None}
