@@ -58,19 +58,48 @@ def rolled_up(counts: DataFrame, *keys: str) -> DataFrame:
     return g.withColumn("wer", error_rate(F.col("reference_words"), F.col("substitutions") + F.col("deletions") + F.col("insertions")))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles sorted[round((n - 1) p)] without interpolation, null values left out.
+#: Into how many ranges a key's values are dealt, from how many distinct values on, and to how many tasks its ranges are read.
+RANGES, FEW, SALTS = 128, 10_000, 16
 
-    Equal values are counted first, so that what is put in order are a key's distinct values with their counts; the
-    percentile is the first value whose running count passes the rank.
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], ranges: int = RANGES, few: int = FEW) -> DataFrame:
+    """Percentiles sorted[round((n - 1) p)] without interpolation, null values left out; a null key is a key of its own.
+
+    Values are numbers, dates or times.  Equal values are counted first.  A key of more than ``few`` distinct values is cut
+    into ranges at approximate quantiles of these; the ranges' exact counts tell which of them holds a rank, and no
+    other is put in order.  So no task sorts more than about one part in ``ranges`` of a key, and exactness doesn't
+    rest on where the cuts lie.  A key without values has no row, but a table without keys always has one.
     """
     each = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_m"))
-    sizes = each.groupBy(*keys).agg(F.sum("_m").alias("_n")) if keys else each.agg(F.sum("_m").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("_upto", F.sum("_m").over(upto))
-    each = each.join(sizes, keys) if keys else each.join(F.broadcast(sizes), F.lit(True))  # one row
-    picks = (F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in shares.items())
-    return each.groupBy(*keys).agg(*picks)
+    inner = [i / ranges for i in range(1, ranges)]
+    cuts = each.groupBy(*keys).agg(F.count("*").alias("_d"), F.percentile_approx(value, inner, 10 * ranges).alias("_cuts"))
+    cuts = cuts.filter(F.col("_d") > few).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("_d")
+    salted = each.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    dealt = _same(salted, cuts, [*keys, "_salt"], "left").drop("_salt")
+    dealt = dealt.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.col(value))), F.lit(-1))).drop("_cuts")
+    # At most ``ranges`` rows a key from here.
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    counts = dealt.groupBy(*keys, "_range").agg(F.sum("_m").alias("_c"))
+    counts = counts.select(*keys, "_range", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(upto).alias("_after"), F.sum("_c").over(whole).alias("_n"))
+    rank = {name: F.floor((F.col("_n") - 1) * p + 0.5) for name, p in shares.items()}
+    held = F.lit(False)
+    for x in rank.values():
+        held = held | ((F.col("_before") <= x) & (x < F.col("_after")))
+    near = _same(dealt, counts.filter(held), [*keys, "_range"], "inner")
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_upto", F.col("_before") + F.sum("_m").over(inside))
+    picks = (F.min(F.when((F.col("_before") <= x) & (x < F.col("_upto")), F.col(value))).alias(name) for name, x in rank.items())
+    return near.groupBy(*keys).agg(*picks)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Joined on keys of which null equals null, with the left's keys."""
+    named = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    both = F.lit(True)
+    for k in keys:
+        both = both & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(named, both, how).drop(*(f"_same_{k}" for k in keys))
 
 
 def real_time_factors(clips: DataFrame) -> DataFrame:

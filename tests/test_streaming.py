@@ -285,6 +285,28 @@ def test_report(spark):
     assert (e.wer, e.clips, e.rtf_p50, e.audio_seconds) == (0.0, 0, 0.0, 0.0)
 
 
+def test_percentiles_in_ranges(spark):
+    """One key with most rows is cut into ranges; null keys, ties, NaN, infinities and empty tables have results."""
+    r = random.Random(5)
+    rows = [("hot", r.choice([r.gauss(0, 1), 0.25, float(r.randint(-3, 3))])) for _ in range(4000)]
+    rows += [(k, float(v)) for k in ("few", None) for v in (3, 1, 2, 2)] + [("none", None), ("odd", float("nan")), ("odd", float("-inf")), ("odd", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double").withColumn("_rank", F.lit(1))
+    shares = {"low": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}
+
+    def plain(values):
+        v = sorted(values, key=lambda x: (x != x, x))
+        return [v[int((len(v) - 1) * p + 0.5)] for p in shares.values()]
+
+    want = {k: plain([x for key, x in rows if key == k and x is not None]) for k in ("hot", "few", None, "odd")}
+    for ranges, few in ((8, 10), (128, 1), (4, 10_000)):
+        out = evaluate.nearest_rank(df, ["k"], "x", shares, ranges, few)
+        assert {x.k: list(map(str, x[1:])) for x in out.collect()} == {k: list(map(str, v)) for k, v in want.items()}
+    one = evaluate.nearest_rank(df.filter("k = 'hot'"), [], "x", shares, 8, 10).collect()
+    assert [list(x) for x in one] == [want["hot"]]
+    assert evaluate.nearest_rank(df.limit(0), ["k"], "x", shares).count() == 0
+    assert evaluate.nearest_rank(df.limit(0), [], "x", shares).first()[:] == (None,) * 4
+
+
 def test_voice_state():
     levels = [0.0, 0.03, 0.03, 0.0, 0.03, 0.03, 0.03, 0.02, 0.005, 0.015, 0.005, 0.005, 0.03]
     assert sessions.VoiceState(0.02, 3, 0.01, 2).over(levels) == [False] * 6 + [True] * 5 + [False] * 2
