@@ -1,7 +1,8 @@
 """Exact top-k inner products over vectors sorted by length, with rotated partial sums.
 
 Candidates are dealt by descending length into packed blocks of rows, queries into blocks
-of their own; a pair of blocks is one row of work, and no side is broadcast, so both may grow.
+of their own.  A block of candidates goes to several blocks of queries at once, and no side is broadcast
+but the one block of the longest candidates (``BLOCK_BYTES`` twice at most), so both may grow.
 
 1. Each block of queries meets the block of the longest candidates.  The k-th best score
    found there, with its id, is the floor of each query, and stays one for the rest.
@@ -38,6 +39,12 @@ BLOCK = 8192
 #: Candidates that a task bounds at once.
 STRIP = 1024
 PARTIAL = 16
+#: What a block of candidates may weigh (a block of queries a quarter), however wide its vectors; and how many blocks of
+#: queries a task holds beside a block of candidates.
+BLOCK_BYTES = 16 << 20
+TOGETHER = 16
+#: Tasks that sum the Gram matrix, each some of its rows.
+GRAM_PARTS = 16
 SCALE = 64
 #: What rounding may add to a bound, as a share; and below which product of lengths doubles add exactly.
 SLACK = 1e-6
@@ -61,25 +68,43 @@ def _matrix(col, width: int | None = None) -> np.ndarray:
 
 
 def _gram(vectors: DataFrame, width: int) -> np.ndarray:
-    def gram(batches):
+    """The Gram matrix, summed within partitions, then row by row in ``GRAM_PARTS`` tasks; the driver takes one row a component."""
+
+    def out(rows):
         import pyarrow as pa
 
+        for i, g in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([g], pa.list_(pa.float64()))], ["i", "g"])
+
+    def gram(batches):
         g = np.zeros((width, width))
         for batch in batches:
             m = _matrix(batch.column("v"), width)
             g += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], ["i", "g"])
+        yield from out(enumerate(g))
+
+    def sums(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, g in zip(batch.column("i").to_pylist(), c.list_rows(batch.column("g"), np.float64)):
+                held[i] = held[i] + g if i in held else g.copy()
+        yield from out(held.items())
 
     rows = vectors.select("v").mapInArrow(c.released(gram), "i int, g array<double>")
-    sums = rows.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros((width, width))
-    for r in sums:
-        out[r.i, r.j] = r.x
-    return out
+    rows = rows.repartition(GRAM_PARTS, "i").mapInArrow(c.released(sums), "i int, g array<double>").collect()
+    whole = np.zeros((width, width))
+    for r in rows:
+        whole[r.i] = r.g
+    return whole
 
 
 def _blocks(vectors: DataFrame, rows: int, width: int, order) -> DataFrame:
-    """(block, ids binary, m binary, longest): packed rows, in blocks of about that many by the given order; block counts from 0."""
+    """(block, ids array<binary>, m array<binary>, longest): packed rows by the given order; block counts from 0.
+
+    No block has twice ``rows`` vectors, the first has at least ``rows`` (or all), and there are about as many as that takes, into
+    however many partitions Spark deals them: neighbouring pieces of partitions are put together by the running count of vectors before them, which is
+    taken over one short row a piece.
+    """
     n = vectors.count()
     parts = max(1, -(-n // rows))
     dealt = vectors.withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -95,24 +120,28 @@ def _blocks(vectors: DataFrame, rows: int, width: int, order) -> DataFrame:
             body = np.concatenate(ms)
             longest = float(np.sqrt((body * body).sum(1)).max())
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([body.astype("<f8").tobytes()], pa.binary()), pa.array([longest])],
-                ["part", "k", "ids", "m", "longest"],
+                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(body)], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([body.astype("<f8").tobytes()], pa.binary()), pa.array([longest])],
+                ["part", "k", "n", "ids", "m", "longest"],
             )
 
         for batch in batches:
-            for i in range(0, len(batch), rows):
-                ids.append(np.asarray(batch.column("vec_id")[i : i + rows]))
-                ms.append(_matrix(batch.column("v").slice(i, rows), width))
-                held += len(ids[-1])
-                if held >= rows:
+            at = 0
+            while at < len(batch):
+                take = min(rows - held, len(batch) - at)
+                ids.append(np.asarray(batch.column("vec_id")[at : at + take]))
+                ms.append(_matrix(batch.column("v").slice(at, take), width))
+                held, at = held + take, at + take
+                if held == rows:
                     yield out()
                     k, held, ids, ms = k + 1, 0, [], []
         if ids:
             yield out()
 
-    packed = c.stored(dealt.select("vec_id", "v").mapInArrow(c.released(pack), "part int, k int, ids binary, m binary, longest double"))
-    names = packed.select("part", "k").withColumn("block", F.row_number().over(Window.orderBy("part", "k")) - 1)
-    return packed.join(names, ["part", "k"]).drop("part", "k")
+    packed = c.stored(dealt.select("vec_id", "v").mapInArrow(c.released(pack), "part int, k int, n long, ids binary, m binary, longest double"))
+    before = F.sum("n").over(Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    names = packed.select("part", "k", "n").withColumn("block", F.floor(before / rows).cast("int")).drop("n")
+    pieces = packed.join(names, ["part", "k"]).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "k", "ids", "m"))).alias("p"), F.max("longest").alias("longest"))
+    return pieces.select("block", F.col("p.ids").alias("ids"), F.col("p.m").alias("m"), "longest")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
@@ -122,6 +151,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
     if wide is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     wide = max(1, wide)
+    block = max(1, min(block, BLOCK_BYTES // (8 * wide)))
+    query_block = max(1, min(query_block, BLOCK_BYTES // (32 * wide)))
     gram = _gram(candidates, wide)
     rotation = np.linalg.eigh(gram)[1][:, ::-1].copy() if np.isfinite(gram).all() else np.eye(wide)
     v = c.stored(_blocks(candidates, block, wide, [F.desc("len"), "vec_id"]))
@@ -131,7 +162,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
     def arrays(batch, names):
         cols = [(batch.column(x).to_pylist(), t, s) for x, t, s in shapes if x in names]
         for row in zip(*(x for x, _, _ in cols)):
-            yield tuple(np.frombuffer(x, t).reshape(s) for x, (_, t, s) in zip(row, cols))
+            yield tuple(np.frombuffer(b"".join(x), t).reshape(s) for x, (_, t, s) in zip(row, cols))
 
     def seed(batches):
         """The k-th best score of each query in one block, and the least length that could still reach it."""
@@ -147,20 +178,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_block: in
                     ["q_block", "floor", "last", "reach"],
                 )
 
-    def search(batches):
+    def search(asked, held):
         import pyarrow as pa
 
-        for batch in batches:
-            for floor, last, row in zip(batch.column("floor").to_pylist(), batch.column("last").to_pylist(), arrays(batch, {"q_ids", "q_m", "ids", "m"})):
-                limits = np.frombuffer(floor, "<f8"), np.frombuffer(last, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*row, k, rotation, limits)], ["query_id", "vec_id", "score"])
+        (ids, m), out = next(arrays(held, {"ids", "m"})), []
+        for floor, last, row in zip(asked.column("floor").to_pylist(), asked.column("last").to_pylist(), arrays(asked, {"q_ids", "q_m"})):
+            limits = np.frombuffer(floor, "<f8"), np.frombuffer(last, "<i8")
+            out.append(best_of(*row, ids, m, k, rotation, limits))
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    longest = v.filter("block = 0").select("ids", "m")  # one row of at most ``block`` vectors
+    longest = v.filter("block = 0").select("ids", "m")  # one row of fewer than twice ``block`` vectors
     floor = c.stored(q.join(F.broadcast(longest), F.lit(True)).select("q_block", "q_ids", "q_m", "ids", "m").mapInArrow(c.released(seed), "q_block int, floor binary, last binary, reach double"))
-    # Each block of candidates meets those blocks of queries that it can reach.
-    meet = v.select("block", "longest").join(floor.select("q_block", "reach"), F.col("longest") * (1 + SLACK) >= F.col("reach")).select("q_block", "block")
-    pairs = meet.join(q, "q_block").join(floor.select("q_block", "floor", "last"), "q_block").join(v.select("block", "ids", "m"), "block")
-    near = pairs.select("q_ids", "q_m", "ids", "m", "floor", "last").mapInArrow(c.released(search), found)
+    # Each block of candidates meets those blocks of queries that it can reach, some at a time.
+    meet = v.select("block", "longest").join(floor.select("q_block", "reach"), F.col("longest") * (1 + SLACK) >= F.col("reach"))
+    meet = c.stored(meet.select("block", "q_block", F.floor(F.col("q_block") / TOGETHER).alias("some")))
+    asked = meet.join(q, "q_block").join(floor.select("q_block", "floor", "last"), "q_block").select("block", "some", "q_ids", "q_m", "floor", "last")
+    held = meet.select(F.col("block").alias("home"), F.col("some").alias("share")).distinct().join(v.select(F.col("block").alias("home"), "ids", "m"), "home")
+    near = asked.groupBy("block", "some").cogroup(held.groupBy("home", "share")).applyInArrow(search, found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

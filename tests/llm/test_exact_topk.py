@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import exact_topk as m
 
@@ -50,6 +51,43 @@ def test_floors_leave_few_rows(spark):
     assert len(m.best_of(np.arange(40) + 5000, np.floor(q), np.arange(-200, 0), same[100:], 5, rotation, floor)[0]) == 200
 
 
+def test_blocks_are_full_however_spark_deals(spark):
+    """Pieces of many small partitions make full blocks in order; wide vectors make smaller ones."""
+    v = m.integer_vectors(spark.createDataFrame(rows(), SCHEMA)).repartition(37)
+    n = v.count()
+    frame = type(v)
+    dealt, frame.repartitionByRange = frame.repartitionByRange, lambda self, n, *by: dealt(self, 37, *by)
+    try:
+        blocks = m._blocks(v, 100, 12, [F.desc("len"), "vec_id"]).orderBy("block").collect()
+        got = sorted(map(tuple, m.top_k(v.filter("vec_id % 20 = 0"), v, 20, 7, 100).collect()))
+    finally:
+        frame.repartitionByRange = dealt
+    sizes = [sum(len(x) // 8 for x in b.ids) for b in blocks]
+    assert sum(sizes) == n and sizes[0] >= 100 and max(sizes) < 200 and [b.block for b in blocks] == list(range(4))
+    lengths = np.concatenate([np.sqrt((np.frombuffer(b"".join(b.m)).reshape(-1, 12) ** 2).sum(1)) for b in blocks])
+    assert (np.diff(lengths) <= 1e-9).all()
+    assert got == brute(rows(), 20)
+
+
+def test_wide_vectors(spark, monkeypatch):
+    """One vector far wider than the rest makes blocks of few rows, and nothing else changes."""
+    monkeypatch.setattr(m, "BLOCK_BYTES", 1 << 14)
+    wide = [*rows(), (2000, [0.5] * 300, 1, "")]
+    v = m.integer_vectors(spark.createDataFrame(wide, SCHEMA))
+    got = sorted(map(tuple, m.top_k(v.filter("vec_id % 20 = 0"), v, 5).collect()))
+    pad = [(i, None if x is None else [*x, *[0.0] * (300 - len(x))] if x and all(y is not None and np.isfinite(y) for y in x) else x, a, b) for i, x, a, b in wide]
+    whole = {}
+    for i, x, _, _ in pad:
+        if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x):
+            whole.setdefault(i, []).append(np.floor(np.array(list(x) + [0.0] * (300 - len(x)), np.float32).astype(float) * 64))
+    want = []
+    for q in (i for i in whole if i % 20 == 0):
+        for x in whole[q]:
+            best = sorted((-int(x @ y), i) for i, ys in whole.items() if i != q for y in ys)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_large_components_are_exact(spark):
     big = [(i, [float((i + 1) * 10**6), 1e15, -3.0 * i], 1, "") for i in range(50)] + [(100, [1e18, 1e18, 0.0], 1, "")]
     v = m.integer_vectors(spark.createDataFrame(big, "vec_id long, embedding array<double>, label int, v string"))
