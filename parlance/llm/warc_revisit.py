@@ -16,7 +16,8 @@ The as-of join is cut by time: each url's captures are dealt to slices of about
 ``slice_rows`` records, the last response before each slice is carried over, and only
 within slices are rows put in order.  A url with a third of all records is so many
 slices, even in time, and a slice that holds a burst is cut once more.  A null url or time
-resolves to nothing; header names are lower-cased; null headers are none; urls and headers
+resolves to nothing; a revisit without record_id is resolved like any other, but a response without one can't be
+named and takes no part; header names are lower-cased; null headers are none; urls and headers
 may have any length; other columns are left out.  Repeated rows are resolved alike, and of
 responses that share a record_id but differ the greatest (time, tag, date, headers) counts.
 """
@@ -52,7 +53,7 @@ def as_of(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
         place = F.floor((F.col("at") - F.col("lo")).cast("double") * F.col("slices") / (F.col("hi") - F.col("lo") + 1))
         rows = rows.join(size, keys).withColumn(level, place).drop("lo", "hi", "slices")
         keys.append(level)
-    full = F.when(~F.col("revisit"), F.struct("at", "record_id"))
+    full = F.when(~F.col("revisit") & F.col("record_id").isNotNull(), F.struct("at", "record_id"))
     last = rows.groupBy(*keys).agg(F.max(full).alias("last"))
     before = Window.partitionBy("url_key").orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*keys, F.max("last").over(before).alias("carried"))
@@ -84,10 +85,12 @@ def resolved(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     df = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "at", "revisit", "etag", "last_modified", lower_keys(F.col("headers")).alias("headers"))
     revisits = df.filter("revisit")
     found = as_of(df.select("record_id", "url_key", "at", "revisit"), slice_rows).filter("response_id IS NOT NULL").groupBy("record_id", "url_key", "at").agg(F.max("response_id").alias("response_id"))
+    found = found.withColumnsRenamed({x: f"found_{x}" for x in ("record_id", "url_key", "at")})
     entries = F.array_sort(F.map_entries("headers")).alias("entries")
     full = df.filter("NOT revisit").groupBy(F.col("record_id").alias("response_id")).agg(F.max(F.struct("at", "etag", "last_modified", entries)).alias("full"))
     full = full.select("response_id", F.col("full.etag").alias("full_etag"), F.col("full.last_modified").alias("full_last_modified"), F.map_from_entries("full.entries").alias("full_headers"))
-    out = revisits.join(found, ["record_id", "url_key", "at"], "left").join(full, "response_id", "left")
+    same_row = (F.col("url_key") == F.col("found_url_key")) & (F.col("at") == F.col("found_at")) & F.col("record_id").eqNullSafe(F.col("found_record_id"))
+    out = revisits.join(found, same_row, "left").join(full, "response_id", "left")
     weak = lambda x: F.regexp_replace(x, "^W/", "")
     tags, dates = F.col("etag").isNotNull() & F.col("full_etag").isNotNull(), F.col("last_modified").isNotNull() & F.col("full_last_modified").isNotNull()
     same = F.when(tags, weak(F.col("etag")) == weak(F.col("full_etag"))).when(dates, F.col("last_modified") == F.col("full_last_modified"))

@@ -72,6 +72,17 @@ def test_responses_of_one_record_id_that_differ(spark):
     assert len(got) == 2 and {(r.response_id, r.outcome, r.headers["a"], len(r.headers)) for r in got} == {(1, "resolved", '"b"', 2)}
 
 
+def test_rows_without_record_id(spark):
+    """A revisit without an id finds its response; a response without one can't be named, so an older one that can is found."""
+    x = "http://a.org/x"
+    rows = [(1, x, 5, False, '"a"', None, {"A": "1"}, "x"), (None, x, 6, False, '"b"', None, {"A": "2"}, "x")]
+    rows += [(None, x, 9, True, '"a"', None, {"B": "3"}, "x")] * 2 + [(7, x, 9, True, '"b"', None, None, "x"), (None, x, 5, True, None, None, None, "x"), (None, None, 9, True, None, None, None, "x")]
+    got = m.resolved(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.record_id, r.at, r.response_id, r.outcome) for r in got), key=str) == sorted(
+        [(None, 9, 1, "resolved")] * 2 + [(7, 9, 1, "mismatch"), (None, 5, None, "no_response"), (None, 9, None, "no_response")], key=str
+    )
+
+
 def test_empty_table(spark):
     assert m.resolved(spark.createDataFrame([], SCHEMA)).count() == 0
 
