@@ -596,23 +596,53 @@ def _wer_pairs(spark, sf):
     return pairs.filter("other IS NOT NULL").select("conv_id", "turn", evaluate.error_counts(F.col("ref"), t.wer_words(F.col("other"))).alias("e")).select("conv_id", "turn", "e.*")
 
 
-@query("t11_word_errors")
+# A cell of the cost table is one number: cost, substitutions, deletions and insertions, 16 bits each.
+_WORD_ERRORS = r"""
+WITH w AS (
+  SELECT *, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}'']', '', 'g')), lambda w: w <> '') AS r FROM conversations),
+pairs AS (SELECT *, lead(r) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM w),
+cells AS (
+  SELECT conv_id, turn, len(r) AS n, len(h) AS m,
+         list_reduce(list_transform(range(1, len(r) + 1), lambda i: [i]), lambda above, i:
+           list_reduce(list_transform(range(1, len(h) + 1), lambda j: [j]), lambda done, j: list_append(done,
+             CASE WHEN least(above[j[1]] + (h[j[1]] <> r[i[1]])::BIGINT * 281479271677952, above[j[1] + 1] + 281474976776192) >> 48 > (done[-1] + 281474976710657) >> 48 THEN done[-1] + 281474976710657
+                  WHEN (above[j[1]] + (h[j[1]] <> r[i[1]])::BIGINT * 281479271677952) >> 48 <= (above[j[1] + 1] + 281474976776192) >> 48 THEN above[j[1]] + (h[j[1]] <> r[i[1]])::BIGINT * 281479271677952
+                  ELSE above[j[1] + 1] + 281474976776192 END),
+             [above[1] + 281474976776192]),
+           list_transform(range(0, len(h) + 1), lambda j: j * 281474976710657))[-1] AS x
+  FROM pairs WHERE h IS NOT NULL),
+errors AS (
+  SELECT conv_id, turn, n::INTEGER AS reference_words, m::INTEGER AS hypothesis_words, ((x >> 32) & 65535)::INTEGER AS substitutions, ((x >> 16) & 65535)::INTEGER AS deletions, (x & 65535)::INTEGER AS insertions FROM cells)
+"""
+
+
+@query("t11_word_errors", _WORD_ERRORS + "SELECT * FROM errors")
 def _(spark, sf):
     return _wer_pairs(spark, sf)
 
 
-@query("a09_wer_by_conversation")
+_RATE = "CASE WHEN reference_words > 0 THEN (substitutions + deletions + insertions) / reference_words WHEN substitutions + deletions + insertions > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS wer"
+_SUMS = ", ".join(f"sum({x})::BIGINT AS {x}" for x in ("reference_words", "hypothesis_words", "substitutions", "deletions", "insertions"))
+
+
+@query("a09_wer_by_conversation", _WORD_ERRORS + f", sums AS (SELECT conv_id, {_SUMS} FROM errors GROUP BY conv_id) SELECT *, {_RATE} FROM sums")
 def _(spark, sf):
     return evaluate.rolled_up(_wer_pairs(spark, sf), "conv_id")
 
 
-@query("ev1_wer_report")
+@query("ev1_wer_report", _WORD_ERRORS + f""", clips AS (SELECT *, reference_words / 3.0::DOUBLE AS audio, reference_words / 30.0::DOUBLE + (substitutions + deletions + insertions) / 10.0::DOUBLE AS elapsed FROM errors),
+ranked AS (SELECT *, elapsed / greatest(audio, 1e-6::DOUBLE) AS rtf FROM clips),
+placed AS (SELECT *, row_number() OVER (ORDER BY rtf) - 1 AS i, count(*) OVER () AS n FROM ranked),
+sums AS (
+  SELECT {_SUMS}, count(*) AS clips, round(sum(audio), 6) AS audio_seconds, round(sum(elapsed), 6) AS elapsed_seconds,
+         round(max(CASE WHEN i = floor((n - 1) * 0.5 + 0.5) THEN rtf END), 9) AS rtf_p50, round(max(CASE WHEN i = floor((n - 1) * 0.95 + 0.5) THEN rtf END), 9) AS rtf_p95 FROM placed)
+SELECT *, {_RATE} FROM sums""")
 def _(spark, sf):
     """Each pair as a clip; a word lasts a third of a second, and an error takes a tenth more to hear."""
     words = F.col("reference_words")
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     clips = _wer_pairs(spark, sf).withColumn("audio_seconds", words / 3.0).withColumn("elapsed_seconds", words / 30.0 + errors / 10.0)
-    return evaluate.report(clips)
+    return evaluate.report(clips).withColumns({x: F.round(x, n) for x, n in (("audio_seconds", 6), ("elapsed_seconds", 6), ("rtf_p50", 9), ("rtf_p95", 9))})
 
 
 # --- answers of models, documents ---------------------------------------------------------------
