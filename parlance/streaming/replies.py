@@ -10,69 +10,82 @@ from parlance.functions.text import citations
 
 OPEN, CLOSE = "<think>", "</think>"
 SHOWN = "reply_id long, seq long, delta string, stopped boolean"
-STATE = "text string, opened long, closed long, searched long, stopped boolean"
+STATE = "text string, places array<long>, stopped boolean"
 
 
 class ReplyFilter:
     """What of each token may be shown: nothing of a first thought, nothing from a stop sequence on.
 
-    ``opened`` and ``closed`` are where the first thought begins and where what follows it does, -1 while that isn't known.
-    A mark or a stop sequence is looked for once in each place, from ``searched`` on.
+    A token is a span of the reply's text, and what it may show follows from where marks and stop sequences first stand in the
+    text: ``places``, -1 for what isn't there yet.  Each is looked for once in each place, however the text is cut.
     """
 
     def __init__(self, stops: tuple[str, ...] = (), state: tuple | None = None):
-        self.stops = stops
-        self.text, self.opened, self.closed, self.searched, self.stopped = state or ("", -1, -1, 0, False)
+        self.marks = (OPEN, CLOSE, *(s for s in stops if s))
+        text, places, stopped = state or ("", [-1] * len(self.marks), False)
+        self.text, self.places, self.stopped = text, list(places), stopped
 
     def state(self) -> tuple:
-        return self.text, self.opened, self.closed, self.searched, self.stopped
-
-    def _find(self, what: str, since: int) -> int:
-        return self.text.find(what, max(0, since - len(what) + 1))
+        return self.text, self.places, self.stopped
 
     def push(self, token: str) -> str:
-        since, self.text = len(self.text), self.text + token
-        if self.stopped:
+        return "".join(self.take([token]))
+
+    def take(self, tokens: list[str]) -> list[str]:
+        """What each of the next tokens shows, up to the one that stops the reply."""
+        at = len(self.text)
+        self.text += "".join(tokens)
+        self.places = [p if p >= 0 else self.text.find(m, max(0, at - len(m) + 1)) for m, p in zip(self.marks, self.places)]
+        out = []
+        for token in tokens:
+            if self.stopped:
+                break
+            out.append(self._span(at, at := at + len(token)))
+        return out
+
+    def _span(self, a: int, b: int) -> str:
+        """A thought is known to begin and end with the tokens that complete its marks.
+
+        The end's may stand first in the text. The token that ends a thought searches what it shows for stop sequences in their
+        order; others take the first in the text, hidden or not.
+        """
+        opened, closed = self.places[:2]
+        known = opened + len(OPEN) if opened >= 0 else None
+        after = closed + len(CLOSE)
+        over = max(known, after) if known and closed >= 0 else None
+        begins = known is not None and a < known <= b
+        if over is not None and a < over <= b:
+            text = self.text[a:opened] + self.text[after:b] if begins else self.text[after:b].lstrip()
+            cut = next((text.index(s) for s in self.marks[2:] if s in text), None)
+            self.stopped = cut is not None
+            return text[:cut]
+        if begins:
+            return self.text[a:opened]
+        if known is not None and known <= a and (over is None or b < over):
             return ""
-        was_open = self.opened >= 0
-        if not was_open:
-            self.opened = self._find(OPEN, since)
-        if self.opened < 0 or self.closed >= 0:
-            return self._until_stop(since)
-        before = "" if was_open else self.text[since : self.opened]
-        # The end of a thought may stand before its beginning, as the first of each mark counts.
-        close = self._find(CLOSE, since if was_open else 0)
-        if close < 0:
-            return before
-        self.closed = close + len(CLOSE)
-        after = self.text[self.closed :]
-        shown = after.lstrip() if was_open else before + after  # a thought that ends later takes the blanks behind it along
-        stop = next((s for s in self.stops if s in shown), None)
-        self.stopped = stop is not None
-        return shown if stop is None else shown[: shown.index(stop)]
-
-    def _until_stop(self, since: int) -> str:
-        cuts = [i for i in (self._find(s, self.searched) for s in self.stops) if i >= 0]
-        self.searched, self.stopped = len(self.text), bool(cuts)
-        return self.text[since : min(cuts)] if cuts else self.text[since:]
+        stops = [p for s, p in zip(self.marks[2:], self.places[2:]) if 0 <= p <= b - len(s)]
+        self.stopped = bool(stops)
+        return self.text[a : min([b, *stops])]
 
 
 def _shown(f: ReplyFilter, reply, pdf: pd.DataFrame) -> list[tuple]:
-    rows = []
-    for seq, token in pdf.sort_values("seq")[["seq", "token"]].itertuples(index=False):
-        if f.stopped:
-            break
-        rows.append((reply, seq, f.push(token), f.stopped))
-    return rows
+    pdf = pdf.sort_values("seq")
+    if f.stopped:
+        return []
+    shown = f.take(pdf["token"].tolist())
+    return [(reply, seq, delta, f.stopped and i + 1 == len(shown)) for i, (seq, delta) in enumerate(zip(pdf["seq"].tolist(), shown))]
 
 
 def shown(tokens: DataFrame, stops: tuple[str, ...] = ()) -> DataFrame:
-    """(reply_id, seq, delta, stopped): an ordered fold over each reply's tokens; a reply is as long as a model's answer."""
+    """(reply_id, seq, delta, stopped): an ordered fold over each reply's tokens; a reply is as long as a model's answer.
+
+    A null token is an empty one, and an empty stop sequence is none.
+    """
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_shown(ReplyFilter(stops), key[0], pdf), columns=["reply_id", "seq", "delta", "stopped"])
 
-    return tokens.select("reply_id", "seq", "token").groupBy("reply_id").applyInPandas(fold, SHOWN)
+    return tokens.select("reply_id", "seq", F.coalesce("token", F.lit("")).alias("token")).groupBy("reply_id").applyInPandas(fold, SHOWN)
 
 
 def shown_stream(tokens: DataFrame, stops: tuple[str, ...] = (), forget_ms: int | None = None) -> DataFrame:
@@ -99,7 +112,7 @@ def shown_stream(tokens: DataFrame, stops: tuple[str, ...] = (), forget_ms: int
                 state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(rows, columns=["reply_id", "seq", "delta", "stopped"])
 
-    rows = tokens.select("reply_id", "seq", "token", last.alias("last"))
+    rows = tokens.select("reply_id", "seq", F.coalesce("token", F.lit("")).alias("token"), last.alias("last"))
     return rows.groupBy("reply_id").applyInPandasWithState(fold, SHOWN, STATE, "append", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
 
 

@@ -229,6 +229,25 @@ def test_thoughts_and_stops(spark, tmp_path, tokens, stops, want):
     assert "".join(f.push(x) for x in tokens) == want
 
 
+def test_replies_are_the_same_in_any_batches(spark):
+    """A filter that takes tokens in batches, with its state between, shows what one that takes them singly shows."""
+    r = random.Random(9)
+    parts = ["<think>", "</think>", "STOP", "ST", "OP", "END", " ", "a", "\n", "<th", "ink>", "</"]
+    for _ in range(3000):
+        tokens = ["".join(r.choice(parts) for _ in range(r.randint(0, 3))) for _ in range(r.randint(0, 6))]
+        stops = r.choice([(), ("STOP",), ("END", "STOP", ""), ("OP",)])
+        one, some, got, at = replies.ReplyFilter(stops), replies.ReplyFilter(stops), [], 0
+        want = [one.push(x) for x in tokens]
+        while at < len(tokens):
+            n = r.randint(1, 3)
+            some = replies.ReplyFilter(stops, some.state())
+            got += some.take(tokens[at : at + n])
+            at += n
+        assert got == want[: len(got)] and not any(want[len(got) :]) and one.stopped == some.stopped
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "b")], "reply_id long, seq long, token string")
+    assert [x.delta for x in replies.shown(df, ("", "x")).orderBy("seq").collect()] == ["a", "", "b"]
+
+
 def test_reply_stream_is_batch(spark, tmp_path):
     rows = [(r, i, x) for r in range(4) for i, x in enumerate(["<think>h", "m</think> a", f" b{r}", " STOP", " c"])]
     schema = "reply_id long, seq long, token string"
