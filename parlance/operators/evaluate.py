@@ -58,7 +58,7 @@ def rolled_up(counts: DataFrame, *keys: str) -> DataFrame:
     return g.withColumn("wer", error_rate(F.col("reference_words"), F.col("substitutions") + F.col("deletions") + F.col("insertions")))
 
 
-#: Into how many ranges a key's values are dealt, from how many distinct values on, and to how many tasks its ranges are read.
+#: Into how many ranges a key's values are dealt, from how many distinct values on (fewer are sorted at once), and to how many tasks each key's go.
 RANGES, FEW, SALTS = 128, 10_000, 16
 
 
