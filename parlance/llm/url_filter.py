@@ -37,8 +37,8 @@ from parlance.llm import _common as c
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
-    ("allow", "example.net/de/8"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
 LEAST, VARIED, Z = 5, 0.5, 1.96
