@@ -24,6 +24,8 @@ HALLUCINATIONS = (
     "subtitulado por la comunidad de amara.org", "subtitulos en espanol", "mas informacion www.alimmenta.com", "no speech", "blank audio", "silence",
     "silencio", "music", "musica", "thanks for watching", "thank you for watching", "subscribe to the channel", "subtitles by the amara.org community",
 )
+# Letters whose full capital is several characters (SS), by the capital that is one; others of the kind have none and stay.
+ONE_CAPITAL = {"ß": "ẞ", "ᾳ": "ᾼ", "ῃ": "ῌ", "ῳ": "ῼ"} | {chr(i + j): chr(i + j + 8) for i in (0x1F80, 0x1F90, 0x1FA0) for j in range(8)}
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 TRUNCATED = "\n[… (transcript truncated for length) …]\n"
 LABEL_CHARS = 80
@@ -68,10 +70,16 @@ def is_question(text: Column, language: Column) -> Column:
     return text.startswith("¿") | F.when(F.coalesce(language, F.lit("en")).startswith("es"), spanish).otherwise(english)
 
 
+def capital_letter(letter: Column) -> Column:
+    """The capital of one letter, as one letter."""
+    one = F.translate(letter, "".join(ONE_CAPITAL), "".join(ONE_CAPITAL.values()))
+    return F.when(F.char_length(F.upper(letter)) > 1, one).otherwise(F.upper(letter))
+
+
 def punctuated(text: Column, language: Column) -> Column:
     """A capital letter and a closing mark, unless there is one."""
     t = trimmed(text)
-    capital = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
+    capital = F.concat(capital_letter(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
     closed = F.substring(t, -1, 1).isin(".", "!", "?", "…", ":", ";")
     return F.when(t == "", "").when(closed, capital).otherwise(F.concat(capital, F.when(is_question(t, language), "?").otherwise(".")))
 
