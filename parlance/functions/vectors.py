@@ -24,10 +24,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Of length 1; a zero vector stays."""
+    """Of length 1; a zero vector stays.
+
+    The length is an argument of its own, as within a lambda it would be computed anew for each component.
+    """
     v = doubles(v)
     n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return F.when(n > 0, F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, y: x / y)).otherwise(v)
 
 
 def weighted_mean(a: Column, na: Column, b: Column, nb: Column) -> Column:

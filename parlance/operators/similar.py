@@ -29,13 +29,10 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block
     if not 0 < least <= 1:
         raise ValueError("the threshold must be in (0, 1]")
     width = math.acos(min(1.0, least)) + 2 * SLACK
-    x = F.transform(F.col(vector), lambda e: e.cast("double"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
-    df = vectors.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), x.alias("v")).withColumn("size", size).filter("size > 0")
-    df = df.select("id", F.transform("v", lambda e: e / F.col("size")).alias("v"))
-    square = lambda part: F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, e: a + e * e))
+    square = lambda part: F.aggregate(part, F.lit(0.0), lambda a, e: a + e * e)
+    df = vectors.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(square("v") > 0)
     cut = F.greatest(F.floor(F.size("v") * HEAD).cast("int"), F.lit(1))
-    theta = F.atan2(square(F.slice("v", cut + 1, F.size("v"))), square(F.slice("v", F.lit(1), cut)))
+    theta = F.atan2(F.sqrt(square(F.slice("v", cut + 1, F.size("v")))), F.sqrt(square(F.slice("v", F.lit(1), cut))))
     df = df.withColumn("theta", theta).withColumn("band", F.floor(F.col("theta") / width))
     deals = max(1, -(-df.count() // block))
     dealt = df.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(deals)))
@@ -49,16 +46,23 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block
     def score(batches):
         import pyarrow as pa
 
+        def unit(vectors):
+            n = vectors.value_lengths().to_numpy()
+            m = np.zeros((len(n), n.max()))
+            m[np.arange(n.max()) < n[:, None]] = vectors.flatten().to_numpy()
+            return m / np.sqrt((m * m).sum(1, keepdims=True))
+
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                ids = [np.array(row[f"ids_{s}"], np.int64) for s in "ab"]
-                wide = max(len(v) for s in "ab" for v in row[f"vs_{s}"])
-                m = [np.array([v + [0.0] * (wide - len(v)) for v in row[f"vs_{s}"]]) for s in "ab"]
-                s = m[0] @ m[1].T
-                hit = (s >= least) & (ids[0][:, None] != ids[1][None])
-                if row["banded"] and row["deal_a"] == row["deal_b"]:
-                    hit = np.triu(hit, 1)
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                ids = [row[f"ids_{s}"].values.to_numpy() for s in "ab"]
+                m = [unit(row[f"vs_{s}"].values) for s in "ab"]
+                wide = min(x.shape[1] for x in m)  # what lies beyond is multiplied by zeros
+                s = m[0][:, :wide] @ m[1][:, :wide].T
+                # The two lists of a block that meets itself may be in different orders, so its pairs are told by their ids.
+                itself = row["banded"].as_py() and row["deal_a"] == row["deal_b"]
+                x, y = ids[0][:, None], ids[1][None]
+                hit = (s >= least) & (x < y if itself else x != y)
                 p, q = np.nonzero(hit)
                 a, b = ids[0][p], ids[1][q]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s[p, q])], ["a", "b", "similarity"])

@@ -73,3 +73,21 @@ def test_similar_pairs_are_those_of_brute_force(spark, least, block):
     clear = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= least + 1e-9}
     possible = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= least - 1e-9}
     assert len(got) == len(set(got)) and clear <= set(got) <= possible
+
+
+def test_similar_pairs_do_not_rest_on_the_order_of_rows(spark):
+    """Both sides of the join of blocks read the rows, which come in another order each time."""
+    x = np.random.default_rng(4).normal(size=(300, 6))
+
+    def shuffled(frames):
+        for f in frames:
+            yield f.sample(frac=1, random_state=np.random.default_rng().integers(1 << 30))
+
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").mapInPandas(shuffled, "id long, vec array<double>")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sorted((p.a, p.b) for p in similar.similar_pairs(rows, "id", "vec", 0.8).collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == sorted(zip(*(i.tolist() for i in np.nonzero(np.triu(u @ u.T >= 0.8, 1)))))
