@@ -188,12 +188,15 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     # The member with the least doc_id speaks for a class; where all ids are null, a fingerprint names it.
     classes = sets.groupBy("class").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"), F.max("n").alias("n"))
     classes = c.stored(classes.select("class", F.coalesce("id", F.xxhash64("class")).alias("node"), F.col("m.row").alias("row"), "n"))
-    lists = sets.select(F.explode("head").alias("key"), "n").groupBy("key").agg(F.count("*").alias("length"))
-    top = lists.filter(F.col("length") >= COMMON_LEAST).orderBy(F.desc("length"), "key").limit(common)
+    # In one pass: a row for each frequent key, and one for all others.
+    lists = sets.select(F.explode("head").alias("key")).groupBy("key").agg(F.count("*").alias("length"))
+    frequent = F.when(F.col("length") >= COMMON_LEAST, F.col("key")).alias("key")
+    lists = c.stored(lists.groupBy(frequent).agg(F.sum("length").alias("length"), F.sum(F.col("length") * F.col("length")).alias("scans")))
+    top = lists.filter("key IS NOT NULL").orderBy(F.desc("length"), "key").limit(common)
     late = np.sort(np.array([r.key for r in top.collect()], np.int64).view(c.U64))
     if boundary is None:
         per = sets.filter(F.col("n") <= MAX_SUBSETS).groupBy("n").agg(F.count("*").alias("sets"), F.sum(F.size("head")).alias("heads")).collect()
-        scan = lists.filter(F.col("length") < COMMON_LEAST).agg(F.sum(F.col("length") * F.col("length")) / F.sum("length")).first()[0] or 1
+        scan = lists.filter("key IS NULL").agg(F.sum("scans") / F.sum("length")).first()[0] or 1
         boundary = boundary_by_cost([(r.n, r.sets, int(r.heads * scan)) for r in per], num, den)
     # Only one row of each class goes on.
     speakers = classes.filter("n > 0").select("row", "node").groupBy("row").agg(F.min("node").alias("node"))
@@ -206,7 +209,8 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
     bad = edges.filter("NOT linked").select("a", "b")
     again = pairs.join(bad, ["a", "b"]).select("key").unionByName(members.filter(F.col("length") > tile).select("key")).distinct()
     if again.limit(1).count():
-        more = _between_components(members.join(again, "key", "left_semi"), found, num, den, wide)
+        again = members.select("key", "node", "row", "n").join(again, "key", "left_semi")
+        more = _between_components(again, signed.select("row", "sketch"), found, num, den, wide)
         more = more.drop("key").distinct().join(bad, ["a", "b"], "left_anti")
         more = _verified(docs, more, shingle, num, den)
         found = components(edges.unionByName(more).filter("linked"))
@@ -221,12 +225,15 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: i
 def _lists_of(signed: DataFrame, tile: int) -> DataFrame:
     """(key, length, node, row, n, sketch): the members of the lists that more than one set is in."""
     postings = signed.select(F.explode("keys").alias("key"), "row")
+    # Most keys are one set's only. They go before anything is counted but how many sets have them.
+    several = c.stored(postings.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"))
+    postings = c.stored(postings.join(several, "key", "left_semi"))
     # Two independent fingerprints of all members, and two min-hashes of them.
     hashes = [F.xxhash64("row", F.lit(i)) for i in range(4)]
     named = postings.groupBy("key").agg(
         F.count("*").alias("length"), F.bit_xor(hashes[0]).alias("x"), F.bit_xor(hashes[1]).alias("y"), F.min(hashes[2]).alias("u"), F.min(hashes[3]).alias("v")
     )
-    named = c.stored(named.filter("length > 1"))
+    named = c.stored(named)
     short = named.filter(F.col("length") <= tile).groupBy("length", "x", "y").agg(F.min("key").alias("key")).select("key", "length")
     short = postings.join(short, "key").select("key", "length", "row")
     least = named.filter(F.col("length") > tile).groupBy("u", "v").agg(F.min("key").alias("least"), F.collect_list("key").alias("keys"))
@@ -255,9 +262,9 @@ def _forests(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     return _compared(df, num, den, forest=True)
 
 
-def _between_components(members: DataFrame, found: DataFrame, num: int, den: int, tile: int) -> DataFrame:
-    """All pairs of a list that lie in two components and aren't refuted by their sketches."""
-    df = members.drop("length").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _between_components(members: DataFrame, sketches: DataFrame, found: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    """All pairs of a list that lie in two components and aren't refuted by their sketches, which only what is left of the lists gets."""
+    df = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = df.groupBy("key", "component").agg(F.count("*").alias("m"))
     lists = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("length"), F.count("*").alias("parts")).filter("parts > 1")
     df = df.join(lists.select("key", "length", F.col("top.component").alias("main"), (F.col("length") - F.col("top.m")).alias("rest")), "key")
@@ -267,7 +274,7 @@ def _between_components(members: DataFrame, found: DataFrame, num: int, den: int
     visitor = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: place(i, _dealt(F.lit(2), visits), VISITOR))
     places = F.when(F.col("length") <= tile, F.array(place(F.lit(0), F.lit(0), PEER)))
     places = places.when(F.col("component") == F.col("main"), resident).otherwise(F.concat(resident, visitor))
-    df = df.withColumn("place", F.explode(places)).select("*", "place.*")
+    df = df.join(sketches, "row").withColumn("place", F.explode(places)).select("*", "place.*")
     return _compared(df, num, den, forest=False)
 
 

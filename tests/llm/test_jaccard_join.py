@@ -121,3 +121,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (100, 200), (7, 7), (300, 300)]
     rows = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert rows == {(i, 0) for i in range(61)} | {(100, 100), (101, 100), (200, 100)}
+
+
+def test_only_shared_keys_and_no_sketches_are_sent_on(spark, monkeypatch):
+    stored, second = [], []
+
+    def store(df, stored_=m.c.stored):
+        stored.append(stored_(df))
+        return stored[-1]
+
+    def between(members, *more, between_=m._between_components):
+        second.append(members.columns)
+        return between_(members, *more)
+
+    monkeypatch.setattr(m.c, "stored", store)
+    monkeypatch.setattr(m, "_between_components", between)
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{near} x{i}") for i in range(12)] + [(100 + i, " ".join(f"u{i}_{j}" for j in range(40))) for i in range(30)]
+    out = m.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), tile=4)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: 0 if i < 12 else i for i, _ in rows}
+    postings = [x for x in stored if x.columns == ["key", "row"]]
+    assert postings and all(x.groupBy("key").count().filter("count < 2").count() == 0 for x in postings[:1])
+    assert second and not any("sketch" in x for x in second)
