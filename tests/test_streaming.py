@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parlance import queries
 from parlance.operators import evaluate, sessions
 from parlance.operators.cluster import STRICT, OnlineClusters, OnlineConfig, merges, refine, survivors
 from parlance.sources.store import Store
@@ -290,6 +291,26 @@ def test_alignment():
     assert evaluate.align(words, words[:1500] + words[1501:]) == (0, 1, 0)
 
 
+def test_alignment_of_many_pairs_at_once(monkeypatch):
+    r = random.Random(2)
+    pairs = [tuple([r.choice("abcdefgh"[:k]) for _ in range(r.randint(0, 12))] for _ in range(2)) for k in (1, 2, 4, 8) for _ in range(150)]
+    pairs += [([], []), ([], ["a"]), (["a", "b"], []), (["x"] * 300, ["x", "y"] * 140)]
+    want = [evaluate.align(*p) for p in pairs]
+    assert want[:300] == [plain_alignment(*p) for p in pairs[:300]]
+    for cells, long in ((1, 1 << 15), (500, 1 << 15), (1 << 15, 1 << 15), (1 << 15, 6)):
+        monkeypatch.setattr(evaluate, "CELLS", cells)
+        monkeypatch.setattr(evaluate, "LONG", long)
+        assert evaluate.align_all(pairs) == want
+    assert evaluate.align_all([]) == []
+
+
+def test_a_report_aligns_clips_at_most_three_times(spark):
+    df = queries.QUERIES["ev1_wer_report"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ArrowEvalPython") <= 3
+
+
 def test_report(spark):
     clips = [("a", 10, 10, 1, 0, 0, 5.0, 1.0), ("b", 100, 90, 0, 10, 0, 50.0, 5.0), ("c", 0, 2, 0, 0, 2, 0.0, 1.0), ("d", 10, 10, 0, 0, 0, 4.0, 2.0)]
     df = spark.createDataFrame(clips, "clip string, reference_words int, hypothesis_words int, substitutions int, deletions int, insertions int, audio_seconds double, elapsed_seconds double")
