@@ -176,7 +176,7 @@ def report(clips: DataFrame) -> DataFrame:
 
     ``clips`` has the breakdown of ``error_counts`` with audio_seconds and elapsed_seconds.
     """
-    # Equal clips are counted first, and all that follows reads that one exchange, so that clips are aligned once or twice, not for each figure.
+    # Equal clips are counted first, and all that follows reads that one exchange, so that clips are aligned in fewer places of the plan (three; four before).
     parts = [p.split()[0] for p in BREAKDOWN.split(", ")]
     c = real_time_factors(clips).groupBy(*parts, "audio_seconds", "elapsed_seconds", "rtf").agg(F.count("*").alias("_clips"))
     times = lambda x: F.col(x) * F.col("_clips")
